@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from salesflow.functions import per, to_cents, to_usd
 from salesflow.operators.clean import valid_zips
 from salesflow.operators.enrich import enrich_sku, enrich_zip, local_flag
-from salesflow.schemas import GROUP_KEYS
+from salesflow.schemas import GROUP_KEYS, UNKNOWN_CATEGORY, UNKNOWN_GROUP
 from salesflow.sources.lookups import Lookups
 
 SUMS = ["_quantity", "_quantity_n", "_cents", "_cents_n", "_orders", "_days", "_days_n"]
@@ -24,20 +24,70 @@ SUMS = ["_quantity", "_quantity_n", "_cents", "_cents_n", "_orders", "_days", "_
 def sales_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
     """Additive measures per ``(*by, *GROUP_KEYS)``, from cleaned transactions.
 
-    With a small SKU lookup both joins happen inside the scan stage and there is
-    one exchange. With a large one the rows are first collapsed to one per SKU,
-    day, maturity and locality; only that is shuffled to the SKU join. The sums
-    are the same either way, also when a lookup key repeats.
+    A group may span several categories and reports the smallest. A minimum of
+    text would make Spark sort all rows instead of hashing them, so it is taken
+    of numbers in category order (``_direct``). With a large SKU lookup, or very
+    many categories, rows are first collapsed per SKU (``_by_sku``). Both give the
+    same sums, also when a lookup key repeats.
     """
     localized = valid_zips(cleaned).transform(enrich_zip, lookups.zip_side()).transform(local_flag)
-    if lookups.sku_small:
-        return localized.transform(enrich_sku, lookups.sku_side()).transform(_grouped, by, _row_sums())
+    if lookups.sku_small and lookups.few_categories:
+        return _direct(localized, lookups, by)
+    return _by_sku(localized, lookups, by)
+
+
+def _direct(localized: DataFrame, lookups: Lookups, by: Sequence[str]) -> DataFrame:
+    """Join and aggregate inside the scan stage; one exchange, of partial sums."""
+    numbers = F.broadcast(category_numbers(lookups.sku))
+    sku = lookups.sku.withColumn("category", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)))
+    numbered = lookups.sku_side(sku.join(numbers, "category").drop("category"))
+    sums = (
+        localized.join(numbered, "sku_id", "left")
+        .withColumns(
+            {
+                "sku_group": F.coalesce("sku_group", F.lit(UNKNOWN_GROUP)),
+                "is_high_priority": F.coalesce("is_high_priority", F.lit(False)),
+                "_category": F.coalesce("_category", F.lit(0)),
+            }
+        )
+        .groupBy(*by, *GROUP_KEYS)
+        .agg(
+            F.min("_category").alias("_category"),
+            F.max("is_high_priority").alias("is_high_priority"),
+            *[c.alias(n) for n, c in _row_sums().items()],
+        )
+    )
+    return sums.join(numbers, "_category", "left").drop("_category")
+
+
+def _by_sku(localized: DataFrame, lookups: Lookups, by: Sequence[str]) -> DataFrame:
+    """Collapse to one row per SKU, day, maturity and locality; only those rows go
+    to the SKU join, so a hot SKU is gone before anything is shuffled on it."""
     keys = [*by, "transaction_date", "maturity_date", "sku_id", "local"]
     per_sku = localized.groupBy(*keys).agg(*[c.alias(n) for n, c in _row_sums().items()])
-    return per_sku.transform(enrich_sku, lookups.sku_side()).transform(_grouped, by, _merged_sums())
+    return (
+        per_sku.transform(enrich_sku, lookups.sku_side())
+        .groupBy(*by, *GROUP_KEYS)
+        .agg(
+            F.min("category").alias("category"),
+            F.max("is_high_priority").alias("is_high_priority"),
+            *[F.sum(name).alias(name) for name in SUMS],
+        )
+    )
+
+
+def category_numbers(sku: DataFrame) -> DataFrame:
+    """``category`` and ``_category``, a number in category order; the sentinel for
+    unmatched SKUs is 0. One task orders the distinct categories only."""
+    sentinel = F.lit(UNKNOWN_CATEGORY)
+    known = sku.select(F.explode(F.array(F.coalesce("category", sentinel), sentinel)).alias("category")).distinct()
+    everything = W.partitionBy(F.lit(1))
+    place = F.row_number().over(everything.orderBy("category"))
+    before = F.count_if(F.col("category") < sentinel).over(everything)
+    return known.select("category", (place - before - 1).cast("int").alias("_category"))
 
 
-def finish(sums: DataFrame, *kept: str) -> DataFrame:
+def finish(sums: DataFrame) -> DataFrame:
     """Turn additive measures into the reported totals and means.
 
     ``_cents`` stays, as the exact value that shares and ranks are taken from.
@@ -52,7 +102,6 @@ def finish(sums: DataFrame, *kept: str) -> DataFrame:
         per(to_usd(F.col("_cents")), F.col("_cents_n")).alias("avg_order_value"),
         per(F.col("_days"), F.col("_days_n")).alias("days_to_maturity"),
         F.coalesce("_cents", F.lit(0)).alias("_cents"),
-        *kept,
     )
 
 
@@ -104,15 +153,6 @@ def sku_concentration(txn: DataFrame, top_share: float = 0.2) -> DataFrame:
     ).withColumn("top_share", per(F.col("top_weight"), F.col("total_weight")))
 
 
-def _grouped(frame: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    return frame.groupBy(*by, *GROUP_KEYS).agg(
-        # a group may span several categories; the smallest is a repeatable choice
-        F.min("category").alias("category"),
-        F.max("is_high_priority").alias("is_high_priority"),
-        *[c.alias(n) for n, c in sums.items()],
-    )
-
-
 def _row_sums() -> dict[str, Column]:
     return {
         "_quantity": F.sum("quantity_sold"),
@@ -125,10 +165,6 @@ def _row_sums() -> dict[str, Column]:
     }
 
 
-def _merged_sums() -> dict[str, Column]:
-    return {name: F.sum(name) for name in SUMS}
-
-
 def _totals() -> list[Column]:
     cents = F.sum(to_cents(F.col("revenue_usd")))
     return [

@@ -21,16 +21,19 @@ def from_date(txn: DataFrame, last: str | None) -> DataFrame:
 
 
 def on_date(frame: DataFrame, day: str) -> DataFrame:
-    return frame.filter(F.col("transaction_date") == F.lit(day).cast(frame.schema["transaction_date"].dataType))
+    kind = frame.schema["transaction_date"].dataType
+    return frame.filter(F.col("transaction_date") == F.lit(day).cast(kind))
 
 
 def parse_dates(txn: DataFrame) -> DataFrame:
-    return txn.withColumns(
+    parsed = txn.withColumns(
         {
-            "transaction_date": strict_date(F.col("transaction_date")),
+            "_transaction_parsed": lenient_date(F.col("transaction_date")),
             "maturity_parsed": lenient_date(F.col("maturity_date")),
         }
     )
+    checked = strict_date(F.col("transaction_date"), F.col("_transaction_parsed"))
+    return parsed.withColumn("transaction_date", checked).drop("_transaction_parsed")
 
 
 def normalize_zip(txn: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesflow.operators.clean import on_date
-from salesflow.schemas import GROUP_KEYS, METRICS, PARITY_ATOL, PARITY_RTOL
+from salesflow.schemas import DIFF_ATOL, GROUP_KEYS, METRICS, PARITY_ATOL, PARITY_RTOL
 
 EXACT = ["total_quantity", "order_count", "revenue_rank"]
 LEFT, RIGHT = "incremental", "baseline"
@@ -18,12 +18,14 @@ def parity_join(
     baseline: DataFrame,
     day: str | None = None,
     keys: list[str] = GROUP_KEYS,
+    atol: float = PARITY_ATOL,
+    rtol: float = PARITY_RTOL,
 ) -> DataFrame:
     """Full outer join on the group keys, with ``differs_<metric>`` per metric.
 
     Keys are unique on each side, so no key is hot. Null keys match each other.
     A metric differs when one side is null and the other is not, or when the
-    values are further apart than the tolerance; counts and ranks must be equal.
+    values are further apart than ``atol + rtol * |baseline|``; counts and ranks must be equal.
     """
     left, right = _side(incremental, LEFT, day, keys), _side(baseline, RIGHT, day, keys)
     same_key = [F.col(f"_{LEFT}_{k}").eqNullSafe(F.col(f"_{RIGHT}_{k}")) for k in keys]
@@ -33,14 +35,16 @@ def parity_join(
         F.when(in_left & in_right, "both").when(in_left, LEFT).otherwise(RIGHT).alias("found_in"),
         *[f"{m}_{side}" for m in METRICS for side in (LEFT, RIGHT)],
     )
-    return joined.withColumns({f"differs_{m}": _differs(m) for m in METRICS})
+    return joined.withColumns({f"differs_{m}": _differs(m, atol, rtol) for m in METRICS})
 
 
 def parity_diff(incremental: DataFrame, baseline: DataFrame, day: str | None = None, **kw) -> DataFrame:
-    """The keys that differ, with both sides' metrics."""
+    """The keys that differ, with both sides' metrics. Looks at absolute distance, so
+    it also names small differences in large values, which the verdict lets pass."""
     checks = [F.col(f"differs_{m}") for m in METRICS] + [F.col("found_in") != "both"]
     flags = [f"differs_{m}" for m in METRICS]
-    return parity_join(incremental, baseline, day, **kw).filter(reduce(or_, checks)).drop(*flags)
+    joined = parity_join(incremental, baseline, day, atol=DIFF_ATOL, rtol=0.0, **kw)
+    return joined.filter(reduce(or_, checks)).drop(*flags)
 
 
 def parity_head(diff: DataFrame, k: int = 5, keys: list[str] = GROUP_KEYS) -> DataFrame:
@@ -77,9 +81,9 @@ def _side(frame: DataFrame, side: str, day: str | None, keys: list[str]) -> Data
     )
 
 
-def _differs(metric: str) -> Column:
+def _differs(metric: str, atol: float, rtol: float) -> Column:
     a, b = F.col(f"{metric}_{LEFT}"), F.col(f"{metric}_{RIGHT}")
     if metric in EXACT:
         return ~a.eqNullSafe(b)
-    apart = F.abs(a - b) > F.lit(PARITY_ATOL) + F.lit(PARITY_RTOL) * F.abs(b)
+    apart = F.abs(a - b) > F.lit(atol) + F.lit(rtol) * F.abs(b)
     return (a.isNull() != b.isNull()) | F.coalesce(apart, F.lit(False))

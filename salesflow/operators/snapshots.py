@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from salesflow.functions import lenient_date
+
 
 def snapshot(txn: DataFrame, day: str) -> DataFrame:
     """The rows a snapshot of that day holds, out of a table of all rows."""
@@ -31,7 +33,9 @@ def late_rows(arrived: DataFrame, by: Sequence[str] = ("client_id",)) -> DataFra
     already held a row of its own day or a later one. High-water dates come from
     one row per arrival day, so only that small table is ordered and joined.
     """
-    seen = arrived.groupBy(*by, "arrival_day").agg(F.max("transaction_date").alias("_newest"))
+    # a maximum of dates is hashed; one of text would sort all rows
+    newest = F.max(lenient_date(F.col("transaction_date")))
+    seen = arrived.groupBy(*by, "arrival_day").agg(newest.cast("string").alias("_newest"))
     before = W.partitionBy(*by).orderBy("arrival_day").rowsBetween(W.unboundedPreceding, -1)
     marks = seen.select(*by, "arrival_day", F.max("_newest").over(before).alias("high_water"))
     return arrived.join(marks, [*by, "arrival_day"]).filter(F.col("transaction_date") <= F.col("high_water"))

@@ -70,7 +70,7 @@ def late_rows(spark, sf):
 
 
 def parse_dates(spark, sf):
-    dirty = model.transactions(spark, sf, malformed=True)
+    dirty = model.lines_only(spark, sf, malformed=True)
     parsed = dirty.withColumn("maturity_text", F.col("maturity_date")).transform(clean.parse_dates)
     return text_dates(parsed.select("transaction_id", "transaction_date", "maturity_text", "maturity_parsed"))
 

@@ -140,13 +140,16 @@ _METRICS = [
     "revenue_rank",
 ]
 
+_VERDICT = "1e-6 + 1e-6 * abs(b.{m})"
+_DISTANCE = "1e-4"
+
 _EXACT = ["total_quantity", "order_count", "revenue_rank"]
 
 
-def _differs(m: str) -> str:
+def _differs(m: str, bound: str) -> str:
     if m in _EXACT:
         return f"(i.{m} IS DISTINCT FROM b.{m})"
-    apart = f"coalesce(abs(i.{m} - b.{m}) > 1e-6 + 1e-6 * abs(b.{m}), false)"
+    apart = f"coalesce(abs(i.{m} - b.{m}) > {bound.format(m=m)}, false)"
     return f"((i.{m} IS NULL) <> (b.{m} IS NULL) OR {apart})"
 
 
@@ -174,6 +177,104 @@ _KEYS_TEXT = (
 )
 
 
+# --- generators: the same hashes, lanes and weight line as plain SQL ---
+
+
+def _lane(text: str, index: int) -> str:
+    return f"CAST('0x' || substr(md5({text}), {1 + 8 * index}, 8) AS BIGINT)"
+
+
+def _uniform(text: str, index: int) -> str:
+    return f"(CAST({_lane(text, index)} AS DOUBLE) / CAST(4294967296 AS DOUBLE))"
+
+
+def _seeded(seed: str, row: str = "CAST(id AS VARCHAR)") -> str:
+    return f"{row} || ':{seed}'"
+
+
+def _draw(index: int, count: int, seed: str) -> str:
+    return f"CAST(floor({_uniform(_seeded(seed), index)} * {count}) AS BIGINT)"
+
+
+def _line(key: str, weighted: str) -> str:
+    """Adjoining pieces of [0, 2**32), ordered by block and key."""
+    return f"""
+        SELECT {key}, CAST(floor(CAST(upto - weight AS DOUBLE) * CAST(4294967296 AS DOUBLE)
+                                 / CAST(total AS DOUBLE)) AS BIGINT) AS lo,
+               CAST(floor(CAST(upto AS DOUBLE) * CAST(4294967296 AS DOUBLE)
+                          / CAST(total AS DOUBLE)) AS BIGINT) AS hi
+        FROM (SELECT {key}, weight, CAST(sum(weight) OVER () AS BIGINT) AS total,
+                     CAST(sum(weight) OVER (ORDER BY substr(md5({key}), 1, 2), {key}) AS BIGINT) AS upto
+              FROM ({weighted}))"""
+
+
+_IDS = "SELECT range AS id FROM range((SELECT count(*) FROM lineitem))"
+
+_SKU_LINE = _line(
+    "sku_id",
+    f"""SELECT sku_id, CAST(ceil((pow(1 - {_uniform(_seeded('sku', 'sku_id'), 0)},
+                                     CAST(-1.0 AS DOUBLE) / CAST(1.16 AS DOUBLE)) - 1) * 1000000) AS BIGINT) AS weight
+        FROM sku""",
+)
+
+_ZIP_LINE = _line(
+    "zip_code",
+    """SELECT zip_code, CASE WHEN zip_code = '00000' THEN 500000
+                                WHEN state = 'CA' THEN 3000000 ELSE 1000000 END AS weight FROM zip""",
+)
+
+_NOISE = f"""
+    CASE WHEN shape < 0.20 THEN zip_code || '-' || printf('%04d', {_draw(1, 10000, 'txn-noise')})
+         WHEN shape < 0.35 THEN ' ' || zip_code || '  '
+         WHEN shape < 0.45 THEN substr(zip_code, 1, 3) || ' ' || substr(zip_code, 4)
+         WHEN shape < 0.52 THEN 'ZIP' || zip_code
+         WHEN shape < 0.58 THEN lower(zip_code)
+         WHEN shape < 0.63 THEN 'INTL 00000'
+         WHEN shape < 0.67 THEN 'INVALID_ZIP'
+         WHEN shape < 0.70 THEN NULL
+         ELSE zip_code END"""
+
+_MATURITY = f"""
+    CASE WHEN {_uniform(_seeded('txn-kinds'), 3)} >= 0.04
+         THEN CAST(day + CAST(CASE
+             WHEN {_uniform(_seeded('txn-kinds'), 2)} < 0.04 THEN 45 + {_draw(2, 75, 'txn-offsets')}
+             WHEN {_uniform(_seeded('txn-kinds'), 1)} < 0.03 THEN -1 - {_draw(1, 4, 'txn-offsets')}
+             WHEN {_uniform(_seeded('txn-kinds'), 0)} < 0.05 THEN 0
+             ELSE 1 + {_draw(0, 44, 'txn-offsets')} END AS INTEGER) AS VARCHAR) END"""
+
+
+def _generators() -> dict[str, str]:
+    picks = f"""
+        SELECT id, {_lane(_seeded('txn-picks'), 0)} AS sku_point, {_lane(_seeded('txn-picks'), 3)} AS zip_point,
+               {_uniform(_seeded('txn-noise'), 0)} AS shape FROM ({_IDS})"""
+    noisy = f"""
+        SELECT id, sku_point, zip_code, {_NOISE} AS zip_code_raw
+        FROM picks JOIN zip_line ON zip_point >= zip_line.lo AND zip_point < zip_line.hi"""
+    steps = {"zip_line": _ZIP_LINE, "picks": picks, "noisy": noisy}
+    dated = """
+        SELECT noisy.*, DATE '2025-10-01' + CAST(CASE WHEN id < first_day THEN 0
+                   ELSE 1 + (id - first_day) // per_day END AS INTEGER) AS day
+        FROM noisy, (SELECT n - 9 * greatest(1, n // 100) AS first_day, greatest(1, n // 100) AS per_day
+                     FROM (SELECT count(*) AS n FROM lineitem))"""
+    return {
+        "synth_transactions": _with(
+            "zip",
+            f"""SELECT 'TXN_' || printf('%010d', id) AS transaction_id, CAST(day AS VARCHAR) AS transaction_date, sku_id,
+                   1 + {_draw(1, 10, 'txn-picks')} AS quantity_sold,
+                   CAST(500 + {_draw(2, 49501, 'txn-picks')} AS DOUBLE) / CAST(100 AS DOUBLE) AS revenue_usd,
+                   {_MATURITY} AS maturity_date, zip_code_raw
+            FROM dated JOIN sku_line ON sku_point >= sku_line.lo AND sku_point < sku_line.hi""",
+            **steps,
+            sku_line=_SKU_LINE,
+            dated=dated,
+        ),
+        "synth_zip_noise": _with("zip", "SELECT id, zip_code, zip_code_raw FROM noisy", **steps),
+        "synth_maturity": f"""
+            SELECT id, CAST(day AS VARCHAR) AS transaction_date, {_MATURITY} AS maturity_date
+            FROM (SELECT id, DATE '2025-10-01' + CAST(id % 10 AS INTEGER) AS day FROM ({_IDS}))""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     flat = "SELECT transaction_id, transaction_date, sku_id, quantity_sold FROM lines"
     after = f"{flat} WHERE transaction_date > '2025-10-05'"
@@ -303,7 +404,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT count(*) AS keys_compared, count(i.order_count) AS incremental_keys,
                    count(*) FILTER (WHERE b.order_count IS NULL) AS only_in_incremental,
                    count(*) FILTER (WHERE i.order_count IS NULL) AS only_in_baseline,
-                   {', '.join(f'count(*) FILTER (WHERE i.order_count IS NOT NULL AND b.order_count IS NOT NULL AND {_differs(m)}) AS differs_{m}' for m in _METRICS)}
+                   {', '.join(f'count(*) FILTER (WHERE i.order_count IS NOT NULL AND b.order_count IS NOT NULL AND {_differs(m, _VERDICT)}) AS differs_{m}' for m in _METRICS)}
                   {_BOTH_SIDES})""",
             copy=_PERTURBED,
         ),
@@ -315,7 +416,7 @@ def oracle_sql() -> dict[str, str]:
                         WHEN i.order_count IS NULL THEN 'baseline' ELSE 'both' END AS found_in,
                    {', '.join(f'i.{m} AS {m}_incremental, b.{m} AS {m}_baseline' for m in _METRICS)}
             {_BOTH_SIDES}
-            WHERE i.order_count IS NULL OR b.order_count IS NULL OR {' OR '.join(_differs(m) for m in _METRICS)}""",
+            WHERE i.order_count IS NULL OR b.order_count IS NULL OR {' OR '.join(_differs(m, _DISTANCE) for m in _METRICS)}""",
             copy=_PERTURBED,
         ),
         "snapshot_rows": _with(
@@ -326,7 +427,7 @@ def oracle_sql() -> dict[str, str]:
             JOIN txn t ON t.client_id = s.client_id AND t.transaction_date <= s.snapshot_day
             GROUP BY s.client_id, s.snapshot_day""",
         ),
-    }
+    } | _generators()
 
 
 _STATE_COLUMNS = [

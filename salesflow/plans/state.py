@@ -48,13 +48,18 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 def high_water(state: DataFrame) -> DataFrame:
     """The last stored day per client. Reads partition values, no data column."""
-    return state.groupBy("client_id").agg(F.max("transaction_date").alias("last_processed_date"))
+    return state.groupBy("client_id").agg(_last_day())
 
 
 def last_processed_date(state: DataFrame, client_id: str) -> DataFrame:
     """One row for one client, null when it has no stored day."""
-    one = state.filter(F.col("client_id") == client_id)
-    return one.agg(F.max("transaction_date").alias("last_processed_date"))
+    return state.filter(F.col("client_id") == client_id).agg(_last_day())
+
+
+def _last_day():
+    """As a date, because a maximum of text would be taken by sorting."""
+    newest = F.max(F.col("transaction_date").cast("date"))
+    return newest.cast("string").alias("last_processed_date")
 
 
 def write_days(batch: DataFrame, path: str) -> None:

@@ -3,7 +3,6 @@
 from pyspark.sql import types as T
 
 # --- fixed values: names, formats and constants the results depend on -------
-DATE_FORMAT = "yyyy-MM-dd"
 IMPUTE_DAYS = 3
 ZIP_DIGITS = 5
 LOCAL_STATE = "CA"
@@ -14,6 +13,7 @@ UNKNOWN_CITY = "Unknown"
 TOP_ROWS = 5
 PARITY_RTOL = 1e-6
 PARITY_ATOL = 1e-6
+DIFF_ATOL = 1e-4
 
 TRANSACTIONS = T.StructType(
     [

@@ -20,11 +20,19 @@ FILTER_DATE = "2025-10-05"
 NUM_DAYS = 10
 CLIENTS = ["client_1", "client_2"]
 MALFORMED_DATE = "2025-13-01"
+COLUMNS = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT",
+    "part": "p_partkey BIGINT, p_brand STRING, p_type STRING, p_size INT",
+    "customer": "c_custkey BIGINT, c_nationkey INT, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+}
 # --- end of fixed values ----------------------------------------------------
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The columns in use. A given schema saves the job that would read footers."""
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def transactions(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
@@ -34,20 +42,21 @@ def transactions(spark: SparkSession, sf_dir: str, malformed: bool = False) -> D
     sort-merge join spills, and adaptive execution splits an order key that
     holds too many lines.
     """
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("client_"), (1 + F.col("o_custkey") % 2).cast("string")).alias("client_id"),
+        _noisy_zip().alias("zip_code_raw"),
+    )
     lines = table(spark, sf_dir, "lineitem").join(
         orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")
     )
-    columns = _line_columns(malformed) | {
-        "client_id": F.concat(F.lit("client_"), (1 + F.col("o_custkey") % 2).cast("string")),
-        "zip_code_raw": _noisy_zip(),
-    }
-    return lines.select([columns[name].alias(name) for name in LANDING.fieldNames()])
+    columns = _line_columns(malformed)
+    return lines.select([(columns[n] if n in columns else F.col(n)).alias(n) for n in LANDING.fieldNames()])
 
 
-def lines_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_only(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
     """The transaction columns that need no join: all but client and ZIP text."""
-    columns = _line_columns(malformed=False)
+    columns = _line_columns(malformed)
     names = [n for n in TRANSACTIONS.fieldNames() if n in columns]
     return table(spark, sf_dir, "lineitem").select([columns[n].alias(n) for n in names])
 
@@ -129,7 +138,7 @@ def _line_columns(malformed: bool) -> dict[str, Column]:
 
 def _noisy_zip() -> Column:
     code = _padded(F.col("o_custkey"), 5)
-    shape = F.col("l_orderkey") % 100
+    shape = F.col("o_orderkey") % 100
     return (
         F.when(shape < 20, F.concat(code, F.lit("-0042")))
         .when(shape < 35, F.concat(F.lit(" "), code, F.lit("  ")))

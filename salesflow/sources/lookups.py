@@ -15,7 +15,7 @@ BROADCAST_LIMIT = 64 * 1024 * 1024
 """Largest lookup, in estimated in-memory bytes, that is sent to every executor."""
 
 GROUP_LIMIT = 10_000
-"""Most SKU groups for which one day's ranking is done by a single window task."""
+"""Most SKU groups (or categories) that one task is given to put in order."""
 
 ROW_OVERHEAD = 64
 
@@ -27,6 +27,7 @@ class Lookups:
     sku_small: bool = False
     zip_small: bool = False
     few_groups: bool = False
+    few_categories: bool = False
 
     @classmethod
     def measured(
@@ -37,15 +38,26 @@ class Lookups:
         group_limit: int = GROUP_LIMIT,
     ) -> "Lookups":
         """Measure both lookups in one job that returns two rows."""
-        groups = F.approx_count_distinct("sku_group")
-        sizes = _size(sku, "sku", groups).unionByName(_size(zips, "zip", F.lit(0).cast("long")))
-        found = {row["name"]: row for row in sizes.collect()}
+        sizes = _widths(sku, "sku", "sku_group", "category").unionByName(_widths(zips, "zip"))
+        found = {
+            row["name"]: row
+            for row in sizes.groupBy("name")
+            .agg(
+                F.sum("width").alias("size"),
+                F.approx_count_distinct("group").alias("groups"),
+                F.approx_count_distinct("category").alias("categories"),
+            )
+            .collect()
+        }
+        nothing = {"size": 0, "groups": 0, "categories": 0}
+        sku_found, zip_found = found.get("sku", nothing), found.get("zip", nothing)
         return cls(
             sku=sku,
             zip=zips,
-            sku_small=found["sku"]["size"] <= broadcast_limit,
-            zip_small=found["zip"]["size"] <= broadcast_limit,
-            few_groups=found["sku"]["groups"] <= group_limit,
+            sku_small=sku_found["size"] <= broadcast_limit,
+            zip_small=zip_found["size"] <= broadcast_limit,
+            few_groups=sku_found["groups"] <= group_limit,
+            few_categories=sku_found["categories"] <= group_limit,
         )
 
     def sku_side(self, frame: DataFrame | None = None) -> DataFrame:
@@ -56,17 +68,19 @@ class Lookups:
         return _hinted(self.zip if frame is None else frame, self.zip_small)
 
 
-def _size(frame, name, groups):
+def _widths(frame, name, group=None, category=None):
     text = [c for c, kind in frame.dtypes if kind == "string"]
     width = reduce(
         lambda a, b: a + b,
         [F.coalesce(F.octet_length(c), F.lit(0)) for c in text],
         F.lit(ROW_OVERHEAD),
     )
-    return frame.agg(
+    absent = F.lit(None).cast("string")
+    return frame.select(
         F.lit(name).alias("name"),
-        F.coalesce(F.sum(width), F.lit(0)).cast("long").alias("size"),
-        groups.alias("groups"),
+        width.cast("long").alias("width"),
+        (F.col(group) if group else absent).alias("group"),
+        (F.col(category) if category else absent).alias("category"),
     )
 
 
