@@ -1,0 +1,106 @@
+import random
+
+import pytest
+from conftest import rows
+
+from salesflow.operators import topk, windows
+
+SCHEMA = "client_id string, transaction_date date, maturity_date date, sku_group string, local boolean, _cents long"
+
+
+def sales_frame(spark, values):
+    from datetime import date
+
+    data = [
+        (client, day and date(2025, 10, day), date(2025, 11, 1), f"G{i}", local, cents)
+        for i, (client, day, local, cents) in enumerate(values)
+    ]
+    return spark.createDataFrame(data, SCHEMA)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_ties_share_a_rank_without_gaps(spark, wide):
+    frame = sales_frame(spark, [("c", 1, True, c) for c in (300, 300, 200, 100, 100)] + [("c", 1, False, 50)])
+    found = windows.share_and_rank(frame, wide=wide)
+    ranks = rows(found.filter("local"), "_cents", "revenue_rank", "revenue_share_of_day")
+    assert ranks == [(100, 3, 0.1), (100, 3, 0.1), (200, 2, 0.2), (300, 1, 0.3), (300, 1, 0.3)]
+    assert rows(found.filter("not local"), "revenue_rank", "revenue_share_of_day") == [(1, 1.0)]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("cents", [[0, 0], [-100, 50], [-5]])
+def test_share_is_zero_without_a_positive_total(spark, wide, cents):
+    frame = sales_frame(spark, [("c", 1, True, c) for c in cents])
+    shares = windows.share_and_rank(frame, wide=wide).select("revenue_share_of_day").collect()
+    assert {r[0] for r in shares} == {0.0}
+
+
+@pytest.mark.parametrize("by", [(), ("client_id",)])
+@pytest.mark.parametrize("spread", [5, 10_000])
+def test_split_ranking_equals_the_window(spark, by, spread):
+    draw = random.Random(spread)
+    values = [
+        (draw.choice("ab"), draw.choice([1, 1, 1, 1, 2, None]), draw.random() < 0.5, draw.randint(-3, spread))
+        for _ in range(3000)
+    ]
+    frame = sales_frame(spark, values)
+    columns = ["sku_group", "revenue_rank", "revenue_share_of_day"]
+    plain = rows(windows.share_and_rank(frame, by), *columns)
+    assert rows(windows.share_and_rank(frame, by, wide=True), *columns) == plain
+
+
+def full(spark, values):
+    from datetime import date
+
+    data = [
+        (date(2025, 10, day), date(2025, 11, 1), group, local, usd, orders, usd / orders, 2.0, days, 0.5, rank, orders * 2)
+        for day, group, local, usd, orders, days, rank in values
+    ]
+    return spark.createDataFrame(
+        data,
+        "transaction_date date, maturity_date date, sku_group string, local boolean, total_revenue double, "
+        "order_count long, avg_order_value double, avg_quantity_per_order double, days_to_maturity double, "
+        "revenue_share_of_day double, revenue_rank long, total_quantity long",
+    )
+
+
+def test_top_slice_is_of_the_latest_day_only(spark):
+    frame = full(spark, [(1, f"A{i}", True, 1000.0 + i, 1, 1.0, 1) for i in range(9)] + [(2, "B", True, 5.0, 1, 1.0, 1)])
+    assert rows(topk.top_latest_day(frame), "sku_group") == [("B",)]
+    assert topk.max_date(frame).first()[0] == "2025-10-02"
+    many = full(spark, [(2, f"A{i}", False, float(i), 1, 1.0, 1) for i in range(9)])
+    assert rows(topk.top_latest_day(many), "sku_group") == [(f"A{i}",) for i in range(4, 9)]
+
+
+def test_top_slice_of_nothing(spark):
+    empty = full(spark, [])
+    assert topk.top_latest_day(empty).count() == 0
+    assert topk.max_date(empty).first()[0] is None
+
+
+def test_report_order_and_labels(spark):
+    frame = full(spark, [(1, "A", True, 10.0, 2, 1.0, 2), (1, "B", False, 30.0, 3, 1.0, 1), (1, "C", True, 20.0, 1, 1.0, 1)])
+    report = topk.top_report(topk.top_latest_day(frame)).collect()
+    assert [(r["sku_group"], r["locality"], r["revenue_share_percent"]) for r in report] == [
+        ("B", "Non-local", 50.0),
+        ("C", "Local", 50.0),
+        ("A", "Local", 50.0),
+    ]
+
+
+def test_leaderboard_ranks_groups_per_day(spark):
+    frame = full(
+        spark,
+        [(1, "A", True, 10.0, 1, 1.0, 1), (1, "A", True, 15.0, 1, 1.0, 1), (1, "B", True, 20.0, 4, 1.0, 1)]
+        + [(2, f"G{i}", False, float(i + 1), 1, 1.0, 1) for i in range(8)],
+    )
+    found = topk.leaderboard(frame)
+    first = [(r["place"], r["sku_group"], r["total_revenue"], r["order_count"]) for r in found.filter("day(transaction_date) = 1").orderBy("place").collect()]
+    assert first == [(1, "A", 25.0, 2), (2, "B", 20.0, 4)]
+    assert found.filter("day(transaction_date) = 2").count() == 5
+
+
+def test_locality_summary_weights_by_orders(spark):
+    frame = full(spark, [(1, "A", True, 10.0, 1, 4.0, 1), (1, "B", True, 90.0, 3, 8.0, 1), (1, "C", False, 6.0, 2, 1.0, 1), (2, "D", True, 1.0, 1, 1.0, 1)])
+    found = [tuple(r) for r in topk.locality_summary(frame, "2025-10-01").collect()]
+    assert found == [("Local (CA)", True, 8, 100.0, 4, 25.0, 7.0), ("Non-local", False, 4, 6.0, 2, 3.0, 1.0)]
