@@ -13,12 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salesflow.functions import per, to_cents, to_usd
-from salesflow.operators.clean import valid_zips
+from salesflow.operators.clean import clamped_days, valid_zips
 from salesflow.operators.enrich import enrich_sku, enrich_zip, local_flag
 from salesflow.schemas import GROUP_KEYS, UNKNOWN_CATEGORY, UNKNOWN_GROUP
 from salesflow.sources.lookups import Lookups
 
-SUMS = ["_quantity", "_quantity_n", "_cents", "_cents_n", "_orders", "_days", "_days_n"]
+SUMS = ["_quantity", "_quantity_n", "_cents", "_cents_n", "_orders"]
 
 
 def sales_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
@@ -90,7 +90,9 @@ def category_numbers(sku: DataFrame) -> DataFrame:
 def finish(sums: DataFrame) -> DataFrame:
     """Turn additive measures into the reported totals and means.
 
-    ``_cents`` stays, as the exact value that shares and ranks are taken from.
+    The rows of a group agree in both dates, so their mean days to maturity is that
+    of the dates. ``_cents`` stays, as the exact value that shares and ranks are
+    taken from.
     """
     others = [c for c in sums.columns if c not in SUMS]
     return sums.select(
@@ -100,7 +102,7 @@ def finish(sums: DataFrame) -> DataFrame:
         F.col("_orders").alias("order_count"),
         per(F.col("_quantity"), F.col("_quantity_n")).alias("avg_quantity_per_order"),
         per(to_usd(F.col("_cents")), F.col("_cents_n")).alias("avg_order_value"),
-        per(F.col("_days"), F.col("_days_n")).alias("days_to_maturity"),
+        clamped_days().cast("double").alias("days_to_maturity"),
         F.coalesce("_cents", F.lit(0)).alias("_cents"),
     )
 
@@ -160,8 +162,6 @@ def _row_sums() -> dict[str, Column]:
         "_cents": F.sum(to_cents(F.col("revenue_usd"))),
         "_cents_n": F.count("revenue_usd"),
         "_orders": F.count(F.lit(1)),
-        "_days": F.sum("days_to_maturity"),
-        "_days_n": F.count("days_to_maturity"),
     }
 
 

@@ -1,6 +1,6 @@
 """Row-level cleaning of raw transactions."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesflow.functions import lenient_date, strict_date, zip_candidate
@@ -58,13 +58,17 @@ def impute_maturity(txn: DataFrame, days: int = IMPUTE_DAYS) -> DataFrame:
     )
 
 
-def days_to_maturity(txn: DataFrame) -> DataFrame:
+def clamped_days() -> Column:
     """Days from transaction to maturity, never negative; null stays null.
 
     ``greatest`` would turn null into 0, so the floor is a conditional.
     """
     days = F.datediff("maturity_date", "transaction_date")
-    return txn.withColumn("days_to_maturity", F.when(days < 0, 0).otherwise(days).cast("long"))
+    return F.when(days < 0, 0).otherwise(days).cast("long")
+
+
+def days_to_maturity(txn: DataFrame) -> DataFrame:
+    return txn.withColumn("days_to_maturity", clamped_days())
 
 
 def clean(txn: DataFrame, impute_days: int = IMPUTE_DAYS) -> DataFrame:

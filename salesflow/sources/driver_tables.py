@@ -6,7 +6,7 @@ the SKU and ZIP lookups. No row of any table is left out: lookup misses come fro
 lookup rows whose key carries a prefix no transaction uses.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesflow.schemas import LANDING, TRANSACTIONS
@@ -42,51 +42,43 @@ def transactions(spark: SparkSession, sf_dir: str, malformed: bool = False) -> D
     sort-merge join spills, and adaptive execution splits an order key that
     holds too many lines.
     """
-    orders = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey",
-        F.concat(F.lit("client_"), (1 + F.col("o_custkey") % 2).cast("string")).alias("client_id"),
-        _noisy_zip().alias("zip_code_raw"),
-    )
-    lines = table(spark, sf_dir, "lineitem").join(
-        orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")
+        "concat('client_', cast(1 + o_custkey % 2 as string)) AS client_id",
+        f"{_NOISY_ZIP} AS zip_code_raw",
     )
+    lines = table(spark, sf_dir, "lineitem").join(orders.hint("merge"), F.expr("l_orderkey = o_orderkey"))
     columns = _line_columns(malformed)
-    return lines.select([(columns[n] if n in columns else F.col(n)).alias(n) for n in LANDING.fieldNames()])
+    return lines.selectExpr(*[f"{columns.get(n, n)} AS {n}" for n in LANDING.fieldNames()])
 
 
 def lines_only(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
     """The transaction columns that need no join: all but client and ZIP text."""
     columns = _line_columns(malformed)
     names = [n for n in TRANSACTIONS.fieldNames() if n in columns]
-    return table(spark, sf_dir, "lineitem").select([columns[n].alias(n) for n in names])
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{columns[n]} AS {n}" for n in names])
 
 
 def sku_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    raw = table(spark, sf_dir, "part").select(
-        F.when(key % 40 == 7, F.concat(F.lit("RETIRED_"), _padded(key, 5)))
-        .otherwise(F.concat(F.lit("SKU_"), _padded(key, 5)))
-        .alias("sku_id"),
-        F.col("p_brand").alias("sku_group"),
-        F.col("p_type").alias("category"),
-        F.when(F.col("p_size") > 25, "TRUE").otherwise("false").alias("is_high_priority"),
+    raw = table(spark, sf_dir, "part").selectExpr(
+        f"concat(if(p_partkey % 40 = 7, 'RETIRED_', 'SKU_'), {_padded('p_partkey', 5)}) AS sku_id",
+        "p_brand AS sku_group",
+        "p_type AS category",
+        "if(p_size > 25, 'TRUE', 'false') AS is_high_priority",
     )
     return parse_sku_lookup(raw)
 
 
 def zip_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
     nation = table(spark, sf_dir, "nation")
     raw = (
         table(spark, sf_dir, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.when(key % 30 == 7, F.concat(F.lit("CLOSED_"), _padded(key, 5)))
-            .otherwise(_padded(key, 5))
-            .alias("zip_code"),
-            F.col("c_mktsegment").alias("city"),
-            F.when(F.col("n_regionkey") == 1, "CA").otherwise(F.col("n_name")).alias("state"),
-            F.when(key % 5 != 0, "True").otherwise("FALSE").alias("is_us"),
+        .join(nation, F.expr("c_nationkey = n_nationkey"))
+        .selectExpr(
+            f"concat(if(c_custkey % 30 = 7, 'CLOSED_', ''), {_padded('c_custkey', 5)}) AS zip_code",
+            "c_mktsegment AS city",
+            "if(n_regionkey = 1, 'CA', n_name) AS state",
+            "if(c_custkey % 5 <> 0, 'True', 'FALSE') AS is_us",
         )
     )
     return parse_zip_lookup(raw)
@@ -119,40 +111,37 @@ def perturbed(sales: DataFrame) -> DataFrame:
     )
 
 
-def _line_columns(malformed: bool) -> dict[str, Column]:
-    order, line = F.col("l_orderkey"), F.col("l_linenumber").cast("long")
-    day = F.date_add(F.lit(START_DATE).cast("date"), (order % 10).cast("int"))
-    offset = ((order * 7 + line) % 49 - 4).cast("int")
-    maturity = F.when((order + line) % 25 == 0, None)
-    if malformed:
-        maturity = maturity.when((order + line) % 25 == 1, MALFORMED_DATE)
-    return {
-        "transaction_id": F.concat(F.lit("TXN_"), _padded(order * 10 + line, 10)),
-        "transaction_date": day.cast("string"),
-        "sku_id": F.concat(F.lit("SKU_"), _padded(F.col("l_partkey"), 5)),
-        "quantity_sold": F.col("l_quantity").cast("long"),
-        "revenue_usd": F.col("l_extendedprice"),
-        "maturity_date": maturity.otherwise(F.date_add(day, offset).cast("string")),
-    }
+def _padded(number: str, width: int) -> str:
+    """Zero-padded digits; a longer number keeps all of its digits."""
+    digits = f"cast({number} as string)"
+    return f"lpad({digits}, greatest(length({digits}), {width}), '0')"
 
 
-def _noisy_zip() -> Column:
-    code = _padded(F.col("o_custkey"), 5)
-    shape = F.col("o_orderkey") % 100
-    return (
-        F.when(shape < 20, F.concat(code, F.lit("-0042")))
-        .when(shape < 35, F.concat(F.lit(" "), code, F.lit("  ")))
-        .when(shape < 45, F.concat(F.substring(code, 1, 3), F.lit(" "), F.substring(code, 4, 20)))
-        .when(shape < 52, F.concat(F.lit("ZIP"), code))
-        .when(shape < 58, F.concat(F.lit("zip"), code))
-        .when(shape < 63, "INTL 00000")
-        .when(shape < 67, "INVALID_ZIP")
-        .when(shape < 70, None)
-        .otherwise(code)
-    )
+_DAY = f"date_add(DATE '{START_DATE}', cast(l_orderkey % 10 as int))"
 
+_CODE = _padded("o_custkey", 5)
 
-def _padded(number: Column, width: int) -> Column:
-    """Zero-padded digits; a longer number keeps all of its digits."""
-    digits = number.cast("string")
-    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+_NOISY_ZIP = f"""CASE
+    WHEN o_orderkey % 100 < 20 THEN concat({_CODE}, '-0042')
+    WHEN o_orderkey % 100 < 35 THEN concat(' ', {_CODE}, '  ')
+    WHEN o_orderkey % 100 < 45 THEN concat(substring({_CODE}, 1, 3), ' ', substring({_CODE}, 4))
+    WHEN o_orderkey % 100 < 52 THEN concat('ZIP', {_CODE})
+    WHEN o_orderkey % 100 < 58 THEN concat('zip', {_CODE})
+    WHEN o_orderkey % 100 < 63 THEN 'INTL 00000'
+    WHEN o_orderkey % 100 < 67 THEN 'INVALID_ZIP'
+    WHEN o_orderkey % 100 < 70 THEN NULL
+    ELSE {_CODE} END"""
+
+
+def _line_columns(malformed: bool) -> dict[str, str]:
+    bad = f"WHEN (l_orderkey + l_linenumber) % 25 = 1 THEN '{MALFORMED_DATE}'" if malformed else ""
+    offset = "cast((l_orderkey * 7 + l_linenumber) % 49 - 4 as int)"
+    return {
+        "transaction_id": f"concat('TXN_', {_padded('l_orderkey * 10 + l_linenumber', 10)})",
+        "transaction_date": f"cast({_DAY} as string)",
+        "sku_id": f"concat('SKU_', {_padded('l_partkey', 5)})",
+        "quantity_sold": "cast(l_quantity as bigint)",
+        "revenue_usd": "l_extendedprice",
+        "maturity_date": f"""CASE WHEN (l_orderkey + l_linenumber) % 25 = 0 THEN NULL {bad}
+            ELSE cast(date_add({_DAY}, {offset}) as string) END""",
+    }
