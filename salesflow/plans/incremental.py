@@ -14,6 +14,7 @@ Shares and ranks stay right because they are taken per day and a batch holds who
 days.
 """
 
+import logging
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -26,12 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesflow.functions import to_cents
+from salesflow.operators.parity import parity_diff, parity_head, parity_summary
 from salesflow.operators.snapshots import snapshot
 from salesflow.plans.pipeline import sales
 from salesflow.plans.state import clear_days, high_water, read_state, state_path, to_state, write_days
-from salesflow.schemas import TRANSACTIONS
+from salesflow.schemas import STATE_KEYS, TRANSACTIONS
 from salesflow.sources.lookups import Lookups
 
+log = logging.getLogger(__name__)
+
 MODES = ("from", "after", "changed")
 
 LISTED_DAYS = 1_000
@@ -68,18 +72,9 @@ def run_batch(
     """Process one snapshot (``client_id`` plus the transaction columns)."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    path = state_path(spark, root)
-    state = read_state(spark, path)
-    marks = _marks(state, clients)
-    own = txn.filter(F.col("client_id").isin(list(clients)))
-    if mode == "changed":
-        return _run_changed(spark, own, lookups, root, path, state, marks, clients)
-    if read_ledger(spark, root) is not None:
+    if mode != "changed" and read_ledger(spark, root) is not None:
         raise ValueError(f"{root} is kept in mode 'changed'; a run in another mode would outdate its ledger")
-    due = due_since(marks, inclusive=mode == "from")
-    redone = _client_days(state.filter(due)) if mode == "from" else set()
-    days, cleared = _replace(spark, own.filter(due), lookups, path, redone)
-    return BatchResult(path, marks, days, cleared)
+    return _run(spark, txn, lookups, root, state_path(spark, root), clients, mode)
 
 
 def replay(
@@ -96,10 +91,27 @@ def replay(
     Days depend on each other through the state, so this is a loop of jobs. To
     fill a new table from a long history use one full run instead.
     """
-    path = state_path(spark, root)
+    path = None
     for day in days:
-        path = run_batch(spark, snapshot(txn, day), lookups, root, clients, mode).path
-    return path
+        seen = snapshot(txn, day)
+        if path is None:
+            path = run_batch(spark, seen, lookups, root, clients, mode).path
+        else:
+            _run(spark, seen, lookups, root, path, clients, mode)
+    return path or state_path(spark, root)
+
+
+def check_day(txn: DataFrame, lookups: Lookups, state: DataFrame, client_id: str, day: str) -> bool:
+    """Recompute one stored client-day from the source and compare. A difference is
+    logged with the first keys it affects and what each side holds there."""
+    this = (F.col("client_id") == client_id) & (F.col("transaction_date") == day)
+    stored = state.filter(this)
+    again = sales(txn.filter(this), lookups, by=["client_id"]).transform(to_state)
+    if parity_summary(stored, again, keys=STATE_KEYS).first()["parity_pass"]:
+        return True
+    for row in parity_head(parity_diff(stored, again, keys=STATE_KEYS), keys=STATE_KEYS).collect():
+        log.warning("stored result differs from its recomputation: %s", row.asDict())
+    return False
 
 
 def due_since(marks: dict[str, str | None], inclusive: bool) -> Column:
@@ -159,6 +171,19 @@ def changed_days(current: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def _run(spark, txn, lookups, root, path, clients, mode):
+    state = read_state(spark, path)
+    marks = _marks(state, clients)
+    own = txn.filter(F.col("client_id").isin(list(clients)))
+    if mode == "changed":
+        return _run_changed(spark, own, lookups, root, path, state, marks, clients)
+    due = own.filter(due_since(marks, inclusive=mode == "from"))
+    # a mark is the newest stored day, so it is the only stored day that is redone
+    redone = {(c, mark) for c, mark in marks.items() if mark and mode == "from"}
+    days, cleared = _replace(spark, due, lookups, path, redone)
+    return BatchResult(path, marks, days, cleared)
+
+
 def _run_changed(spark, txn, lookups, root, path, state, marks, clients):
     known = read_ledger(spark, root)
     if known is None:

@@ -235,3 +235,24 @@ def test_large_lookups_give_the_same_state(spark, run, stored, lookups, txn_fram
     other = str(tmp_path / "wide")
     incremental.run_batch(spark, txn, wide, other, CLIENTS)
     assert rows(states.read_state(spark, states.state_path(spark, other))) == stored()
+
+
+def test_parity_check_of_a_stored_day_warns(spark, root, run, lookups, txn_frame, caplog):
+    txn = txn_frame(txn_rows([1, 2]))
+    run(txn)
+    state = states.read_state(spark, states.state_path(spark, root))
+    assert incremental.check_day(txn, lookups, state, "client_1", day(2))
+    assert not caplog.records
+    other = state.withColumn("order_count", F.col("order_count") + 1)
+    assert not incremental.check_day(txn, lookups, other, "client_1", day(2))
+    assert "order_count_incremental" in caplog.text
+    gone = state.filter("sku_group <> 'Alpha'")
+    assert not incremental.check_day(txn, lookups, gone, "client_1", day(2))
+
+
+def test_artifacts_of_a_run(lookups, txn_frame):
+    made = pipeline.run(txn_frame(txn_rows([1, 2], ["client_1"])), lookups)
+    assert made.target_date.first()[0] == day(2)
+    assert made.quality.first()["rows_input"] == 8
+    assert {str(r["transaction_date"]) for r in made.top_slice.collect()} == {day(2)}
+    assert made.aggregated.count() > made.top_slice.count() > 0
