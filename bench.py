@@ -22,6 +22,7 @@ from salesflow.sources.landing import land, read_landing
 from salesflow.sources.tables import read_transactions
 
 HEADLINE = ["full_pipeline", "incremental_batch", "daily_totals", "date_filter_gt", "quality_report", "multi_client_pipeline"]
+WARM_UPS = 2
 REPEATS = 3
 
 
@@ -30,13 +31,13 @@ def consume(frame):
 
 
 def timed(build, repeats=REPEATS):
-    """Median seconds of ``repeats`` runs after one warm-up run."""
+    """Median seconds of ``repeats`` runs after the warm-up runs."""
     seconds = []
-    for _ in range(repeats + 1):
+    for _ in range(WARM_UPS + repeats):
         start = time.perf_counter()
         consume(build())
         seconds.append(time.perf_counter() - start)
-    return round(statistics.median(seconds[1:]), 3)
+    return round(statistics.median(seconds[WARM_UPS:]), 3)
 
 
 def headline(spark, sf_dir):

@@ -17,7 +17,7 @@ MEDIUM = "/root/testdata/sf0.01"
 def spark():
     from salesflow.session import local_session
 
-    session = local_session("8", "salesflow-tests")
+    session = local_session("4", "salesflow-tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
