@@ -5,6 +5,7 @@ second run, or a rerun after a lost executor or a failed job, writes the same
 days with the same rows.
 """
 
+import re
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -78,8 +79,7 @@ def clear_days(spark: SparkSession, path: str, days: Iterable[tuple[str, str]])
     data = [f for f in STATE.fields if f.name not in STATE_PARTITIONS]
     nothing = spark.createDataFrame([], STATE).select(*[f.name for f in data])
     for client_id, day in days:
-        folder = f"{path}/client_id={client_id}/transaction_date={day}"
-        nothing.write.mode("overwrite").parquet(folder)
+        nothing.write.mode("overwrite").parquet(f"{_client_folder(path, client_id)}/transaction_date={day}")
 
 
 def rebuild_client(batch: DataFrame, path: str, client_id: str) -> None:
@@ -91,10 +91,16 @@ def rebuild_client(batch: DataFrame, path: str, client_id: str) -> None:
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("transaction_date")
-        .parquet(f"{path}/client_id={client_id}")
+        .parquet(_client_folder(path, client_id))
     )
 
 
+def _client_folder(path, client_id):
+    """The partition folder; characters special in paths are written as %XX there."""
+    special = r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]"""
+    return f"{path}/client_id={re.sub(special, lambda c: f'%{ord(c[0]):02X}', client_id)}"
+
+
 def _required(name, kind):
     failure = F.raise_error(F.lit(f"null in stored column {name}")).cast(kind)
     return F.when(F.col(name).isNull(), failure).otherwise(F.col(name))

@@ -256,3 +256,15 @@ def test_artifacts_of_a_run(lookups, txn_frame):
     assert made.quality.first()["rows_input"] == 8
     assert {str(r["transaction_date"]) for r in made.top_slice.collect()} == {day(2)}
     assert made.aggregated.count() > made.top_slice.count() > 0
+
+
+def test_client_names_that_are_special_in_paths(spark, root, run, stored, recomputed, lookups, txn_frame):
+    names = ["a:b/c=1", "50% [x]'y"]
+    run(txn_frame(txn_rows([1, 2], names)), clients=names)
+    one_day = txn_frame(txn_rows([1], names))
+    assert run(one_day, clients=names).cleared == sorted((c, day(2)) for c in names)
+    assert stored() == recomputed(one_day)
+    path = states.state_path(spark, root)
+    again = txn_frame(txn_rows([3], names))
+    states.rebuild_client(states.to_state(pipeline.sales(again, lookups, by=["client_id"])), path, names[0])
+    assert stored() == recomputed(txn_frame(txn_rows([3], names[:1]) + txn_rows([1], names[1:])))
