@@ -27,6 +27,8 @@ from salesflow.llm.op1_bpe import WordBpe
 
 CAPACITY = 4096
 END = 1
+#: Words in a generation of the cache: this operator holds little else.
+MOST_WORDS = 600_000
 #: Pieces in a block within which those of one length are numbered.
 BLOCK_PIECES = 20_000
 
@@ -39,6 +41,7 @@ class FastWords(WordBpe):
         import tokenizers
 
         super().__init__(path)
+        self.packed.most = MOST_WORDS
         self.library = tokenizers.Tokenizer.from_file(path)
         self.last_ids = np.zeros(max(self.strings) + 1, bool)
         self.last_ids[[i for i, s in self.strings.items() if s.endswith("</w>")]] = True
@@ -80,7 +83,7 @@ def _cut(path, capacity, batches):
         ids, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
         while at < len(ids):
             some, size = [], 0
-            while at < len(ids) and size < CHUNK_CHARS // 8:
+            while at < len(ids) and size < CHUNK_CHARS // 2:
                 text = texts[at].as_py() or ""
                 some.append((ids[at], text, None if "<|" in text else bpe.words(text)))
                 size += len(text)
