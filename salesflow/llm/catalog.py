@@ -2,12 +2,13 @@
 
 from collections.abc import Callable
 
-from salesflow.llm import op1_bpe, op3_secrets, op4_fingerprints, op5_tokens, op6_toxicity, op8_jaccard, op9_quality, op10_packing
+from salesflow.llm import op1_bpe, op2_repeats, op3_secrets, op4_fingerprints, op5_tokens, op6_toxicity, op8_jaccard, op9_quality, op10_packing
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_bpe_roundtrip": op1_bpe.op1_bpe_roundtrip,
+        "op2_repeat_removal": op2_repeats.op2_repeat_removal,
         "op3_secret_scan": op3_secrets.op3_secret_scan,
         "op4_fingerprints": op4_fingerprints.op4_fingerprints,
         "op5_token_counts": op5_tokens.op5_token_counts,

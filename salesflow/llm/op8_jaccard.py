@@ -213,3 +213,18 @@ def jaccard_components(docs: DataFrame, width: int, percent: int, stored: Stored
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at 90 % of three-word shingles."""
     return jaccard_components(documents(spark, sf_dir), 3, 90, Stored(spark, "jaccard"))
+
+
+def one_of_each(docs: DataFrame, width: int, percent: int, stored: Stored) -> DataFrame:
+    """The rows of ``docs``, all columns, without those of linked documents but the one of the
+    smallest doc_id. Rows of one id stand or fall together, but only one of those that are
+    equal in text stays; rows without an id or without shingles stay."""
+    found = jaccard_components(docs, width, percent, stored)
+    gone = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("component_id") < F.col("doc_id")).alias("linked"))
+    gone = stored(gone.filter("linked").select(F.col("doc_id").alias("_gone")), "gone")
+    twice = stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    if twice.isEmpty():
+        return kept
+    single = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_anti")
+    return single.unionByName(kept.join(twice, kept["doc_id"] == twice["_twice"], "left_semi").dropDuplicates(["doc_id", "text"]))
