@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from salesflow.llm import op1_bpe, op2_repeats, op3_secrets, op4_fingerprints, op5_tokens, op6_toxicity, op8_jaccard, op9_quality, op10_packing
+from salesflow.llm import op1_bpe, op2_repeats, op3_secrets, op4_fingerprints, op5_tokens, op6_toxicity, op7_pii, op8_jaccard, op9_quality, op10_packing
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op4_fingerprints": op4_fingerprints.op4_fingerprints,
         "op5_token_counts": op5_tokens.op5_token_counts,
         "op6_toxicity": op6_toxicity.op6_toxicity,
+        "op7_pii": op7_pii.op7_pii,
         "op8_jaccard_join": op8_jaccard.op8_jaccard_join,
         "op9_quality_rules": op9_quality.op9_quality_rules,
         "op10_best_fit_packing": op10_packing.op10_best_fit_packing,
