@@ -12,8 +12,8 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
    the estimated cost of its candidates: those with frequent prefix shingles take a longer
    prefix and ask for that many more shared shingles. A pair must share min(l, l') of them,
    within positions that its two sizes still allow.
-4. Each posting list is first compared with its most central class alone, as many rows as
-   postings. What is then connected is never compared again; only pairs across components
+4. Each posting list is first compared with its most central class alone (the one whose
+   shingles are shared most), as many rows as postings. What is then connected is never compared again; only pairs across components
    go through the multi-match filter and are verified. Components do not need the others.
 
 Sets are of lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+``; shorter texts than ``width`` words
@@ -45,7 +45,7 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def emitted_level(n: int, percent: int) -> int:
-    return max(1, (n - least_overlap(n, percent)) // 2)
+    return max(1, n - least_overlap(n, percent))
 
 
 def required_level(n: int, percent: int) -> int:
@@ -124,11 +124,12 @@ def _postings(percent, batches):
             df = found.values.field("df").to_numpy()
             token = found.values.field("token").to_numpy()
             order = np.lexsort((token, df))
+            # df: documents that share a shingle; the mean is highest for the center of a group
             df, token = df[order], token[order]
             level = chosen_level(n, df, percent)
             alone = n - len(df)
             take = max(0, min(len(df), n - least_overlap(n, percent) + level - alone))
-            rows.append((np.full(take, rep), np.full(take, n), token[:take], alone + np.arange(take), np.full(take, level), np.full(take, alone / n)))
+            rows.append((np.full(take, rep), np.full(take, n), token[:take], alone + np.arange(take), np.full(take, level), np.full(take, -(alone + df.sum()) / n)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["rep", "n", "token", "position", "level", "apart"])
 
@@ -154,20 +155,22 @@ def classes_and_links(docs: DataFrame, width: int, percent: int, stored: Stored)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stored(rows.mapInArrow(partial(_sets, width, percent), "doc_id long, n long, digest binary, prefix binary"), "sets")
     known = sets.filter("digest is not null and doc_id is not null")
-    classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # 2: classes that share enough of their prefix by hash
     first = classes.select("rep", "n", "prefix").mapInArrow(_unpacked, "rep long, n long, token long")
     often = first.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
     shared = first.select("rep", "n", "token").join(often, "token").groupBy("rep", "n").agg(F.count("*").alias("shared"))
     # required_level(), as SQL
     least = f"(({percent} * n + 99) div 100)"
-    required = F.greatest(F.lit(1), F.expr(f"({least} - ({percent} * {least} + 99) div 100) div 2"))
+    required = F.greatest(F.lit(1), F.expr(f"{least} - ({percent} * {least} + 99) div 100"))
     left = shared.filter(F.col("shared") >= required).select("rep").distinct()
     left = stored(classes.select("rep", "digest").join(left, "rep"), "left")
     # 3: their whole sets, and prefixes by document frequency
     texts = rows.join(left.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "digest", "text")
     whole = texts.mapInArrow(partial(_full_sets, width), "rep long, n long, digest binary, shingles binary")
-    whole = stored(whole.dropDuplicates(["rep", "digest"]).drop("digest"), "whole")
+    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        whole = whole.dropDuplicates(["rep", "digest"])
+    whole = stored(whole.drop("digest"), "whole")
     each = whole.mapInArrow(_unpacked, "rep long, n long, token long")
     df = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     lists = each.join(df, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "token")).alias("found"))
