@@ -26,7 +26,7 @@ from salesflow.llm.common import CHUNK_CHARS, WordCache, documents, lowered_word
 WIDTH = 5
 K = 128
 #: Rows of a range of documents, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 4_000, 20_000
+RANGE_ROWS, MOST_RANGES = 1_000, 50_000
 #: Distinct keys a merging task gathers before it hands on what it has.
 FLUSH_KEYS = 20_000
 
