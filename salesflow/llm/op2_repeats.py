@@ -38,7 +38,7 @@ GRAM = 96
 #: Bytes of segments in one index.
 SHARD_BYTES = 1_000_000
 #: Different segments of one key from which it is hot.
-HOT_SEGMENTS = 800
+HOT_SEGMENTS = 3000
 
 SEGMENTS = [
     ("doc_id", pa.int64(), "long"),
