@@ -1,7 +1,7 @@
 """Column expressions. All are built-in Spark functions, so they stay in codegen."""
 
 from salesflow.functions.dates import lenient_date, strict_date
-from salesflow.functions.money import per, to_cents, to_usd
+from salesflow.functions.money import per, to_units, to_usd
 from salesflow.functions.uniform import LANE_BITS, digest, lane, uniform
 from salesflow.functions.zips import zip_candidate
 
@@ -12,7 +12,7 @@ __all__ = [
     "lenient_date",
     "per",
     "strict_date",
-    "to_cents",
+    "to_units",
     "to_usd",
     "uniform",
     "zip_candidate",

@@ -1,20 +1,30 @@
-"""Money is summed as whole cents.
+"""Money is summed as whole ten-thousandths of a dollar.
 
 A sum of doubles depends on the order in which partitions arrive, which would
 change rank ties between two runs of one job. A sum of longs does not, needs no
-wide decimal buffer, and under ANSI fails on overflow instead of wrapping.
+wide decimal buffer, and under ANSI fails on overflow instead of wrapping. Nothing
+is cut: an amount finer than that unit fails the run.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+UNITS = 10_000
+"""Units of a dollar; the documented scale of revenue."""
 
-def to_cents(usd: Column) -> Column:
-    return F.rint(usd * 100).cast("long")
+TOLERANCE = 0.01
+"""In units: what the nearest double of an exact amount may be off."""
 
 
-def to_usd(cents: Column) -> Column:
-    return cents.cast("double") / F.lit(100.0)
+def to_units(usd: Column) -> Column:
+    scaled = usd * UNITS
+    whole = F.rint(scaled)
+    finer = F.raise_error(F.lit(f"revenue finer than 1/{UNITS} of a dollar")).cast("long")
+    return F.when(F.abs(scaled - whole) > TOLERANCE, finer).otherwise(whole.cast("long"))
+
+
+def to_usd(units: Column) -> Column:
+    return units.cast("double") / F.lit(float(UNITS))
 
 
 def per(total: Column, count: Column) -> Column:

@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from salesflow.functions import per, to_cents, to_usd
+from salesflow.functions import per, to_units, to_usd
 from salesflow.operators.clean import clamped_days, valid_zips
 from salesflow.operators.enrich import enrich_sku, enrich_zip, local_flag
 from salesflow.schemas import GROUP_KEYS, UNKNOWN_CATEGORY, UNKNOWN_GROUP
 from salesflow.sources.lookups import Lookups
 
-SUMS = ["_quantity", "_quantity_n", "_cents", "_cents_n", "_orders"]
+SUMS = ["_quantity", "_quantity_n", "_units", "_units_n", "_orders"]
 
 
 def sales_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
@@ -30,13 +30,19 @@ def sales_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) ->
     many categories, rows are first collapsed per SKU (``_by_sku``). Both give the
     same sums, also when a lookup key repeats.
     """
-    localized = valid_zips(cleaned).transform(enrich_zip, lookups.zip_side()).transform(local_flag)
+    valid, measures = valid_zips(cleaned), _row_sums()
+    if not lookups.zip_small:
+        # collapsed before the rows are shuffled on their code: a hot code is gone by then
+        keys = [*by, "transaction_date", "maturity_date", "sku_id", "zip_code"]
+        valid = valid.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
+        measures = {name: F.sum(name) for name in SUMS}
+    localized = valid.transform(enrich_zip, lookups.zip_side()).transform(local_flag)
     if lookups.sku_small and lookups.few_categories:
-        return _direct(localized, lookups, by)
-    return _by_sku(localized, lookups, by)
+        return _direct(localized, lookups, by, measures)
+    return _by_sku(localized, lookups, by, measures)
 
 
-def _direct(localized: DataFrame, lookups: Lookups, by: Sequence[str]) -> DataFrame:
+def _direct(localized: DataFrame, lookups: Lookups, by: Sequence[str], measures: dict[str, Column]) -> DataFrame:
     """Join and aggregate inside the scan stage; one exchange, of partial sums."""
     numbers = F.broadcast(category_numbers(lookups.sku))
     sku = lookups.sku.withColumn("category", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)))
@@ -54,17 +60,17 @@ def _direct(localized: DataFrame, lookups: Lookups, by: Sequence[str]) -> DataFr
         .agg(
             F.min("_category").alias("_category"),
             F.max("is_high_priority").alias("is_high_priority"),
-            *[c.alias(n) for n, c in _row_sums().items()],
+            *[c.alias(n) for n, c in measures.items()],
         )
     )
     return sums.join(numbers, "_category", "left").drop("_category")
 
 
-def _by_sku(localized: DataFrame, lookups: Lookups, by: Sequence[str]) -> DataFrame:
+def _by_sku(localized: DataFrame, lookups: Lookups, by: Sequence[str], measures: dict[str, Column]) -> DataFrame:
     """Collapse to one row per SKU, day, maturity and locality; only those rows go
     to the SKU join, so a hot SKU is gone before anything is shuffled on it."""
     keys = [*by, "transaction_date", "maturity_date", "sku_id", "local"]
-    per_sku = localized.groupBy(*keys).agg(*[c.alias(n) for n, c in _row_sums().items()])
+    per_sku = localized.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
     return (
         per_sku.transform(enrich_sku, lookups.sku_side())
         .groupBy(*by, *GROUP_KEYS)
@@ -91,24 +97,24 @@ def finish(sums: DataFrame) -> DataFrame:
     """Turn additive measures into the reported totals and means.
 
     The rows of a group agree in both dates, so their mean days to maturity is that
-    of the dates. ``_cents`` stays, as the exact value that shares and ranks are
+    of the dates. ``_units`` stays, as the exact value that shares and ranks are
     taken from.
     """
     others = [c for c in sums.columns if c not in SUMS]
     return sums.select(
         *others,
         F.coalesce("_quantity", F.lit(0)).alias("total_quantity"),
-        F.coalesce(to_usd(F.col("_cents")), F.lit(0.0)).alias("total_revenue"),
+        F.coalesce(to_usd(F.col("_units")), F.lit(0.0)).alias("total_revenue"),
         F.col("_orders").alias("order_count"),
         per(F.col("_quantity"), F.col("_quantity_n")).alias("avg_quantity_per_order"),
-        per(to_usd(F.col("_cents")), F.col("_cents_n")).alias("avg_order_value"),
+        per(to_usd(F.col("_units")), F.col("_units_n")).alias("avg_order_value"),
         clamped_days().cast("double").alias("days_to_maturity"),
-        F.coalesce("_cents", F.lit(0)).alias("_cents"),
+        F.coalesce("_units", F.lit(0)).alias("_units"),
     )
 
 
 def sales_aggregate(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
-    """Keys, category, priority and six measures; ``_cents`` is still attached."""
+    """Keys, category, priority and six measures; ``_units`` is still attached."""
     return finish(sales_sums(cleaned, lookups, by))
 
 
@@ -159,16 +165,16 @@ def _row_sums() -> dict[str, Column]:
     return {
         "_quantity": F.sum("quantity_sold"),
         "_quantity_n": F.count("quantity_sold"),
-        "_cents": F.sum(to_cents(F.col("revenue_usd"))),
-        "_cents_n": F.count("revenue_usd"),
+        "_units": F.sum(to_units(F.col("revenue_usd"))),
+        "_units_n": F.count("revenue_usd"),
         "_orders": F.count(F.lit(1)),
     }
 
 
 def _totals() -> list[Column]:
-    cents = F.sum(to_cents(F.col("revenue_usd")))
+    units = F.sum(to_units(F.col("revenue_usd")))
     return [
         F.coalesce(F.sum("quantity_sold"), F.lit(0)).alias("total_quantity"),
-        F.coalesce(to_usd(cents), F.lit(0.0)).alias("total_revenue"),
-        per(to_usd(cents), F.count("revenue_usd")).alias("avg_revenue"),
+        F.coalesce(to_usd(units), F.lit(0.0)).alias("total_revenue"),
+        per(to_usd(units), F.count("revenue_usd")).alias("avg_revenue"),
     ]

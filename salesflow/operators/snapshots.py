@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salesflow.functions import lenient_date
+from salesflow.session import workspace
+
+BROADCAST_MARKS = 100_000
+"""Most clients' arrival days sent to every executor."""
 
 
 def snapshot(txn: DataFrame, day: str) -> DataFrame:
@@ -31,11 +35,17 @@ def late_rows(arrived: DataFrame, by: Sequence[str] = ("client_id",)) -> DataFra
 
     ``arrived`` has an ``arrival_day``. A row is late when an earlier snapshot
     already held a row of its own day or a later one. High-water dates come from
-    one row per arrival day, so only that small table is ordered and joined.
+    one row per arrival day; those are stored and counted, and broadcast while
+    they are few, so that no row is shuffled on its day.
     """
     # a maximum of dates is hashed; one of text would sort all rows
     newest = F.max(lenient_date(F.col("transaction_date")))
     seen = arrived.groupBy(*by, "arrival_day").agg(newest.cast("string").alias("_newest"))
     before = W.partitionBy(*by).orderBy("arrival_day").rowsBetween(W.unboundedPreceding, -1)
     marks = seen.select(*by, "arrival_day", F.max("_newest").over(before).alias("high_water"))
+    spark, path = arrived.sparkSession, workspace(arrived.sparkSession, "salesflow-marks")
+    marks.write.parquet(path)
+    marks = spark.read.schema(marks.schema).parquet(path)
+    if marks.count() <= BROADCAST_MARKS:
+        marks = F.broadcast(marks)
     return arrived.join(marks, [*by, "arrival_day"]).filter(F.col("transaction_date") <= F.col("high_water"))

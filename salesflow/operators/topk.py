@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from salesflow.functions import per, to_cents, to_usd
+from salesflow.functions import per, to_units, to_usd
 from salesflow.operators.clean import on_date
 from salesflow.schemas import TOP_ROWS
 
@@ -54,11 +54,11 @@ def leaderboard(sales: DataFrame, k: int = TOP_ROWS, by: Sequence[str] = ()) ->
     """
     day = [*by, "transaction_date"]
     rolled = sales.groupBy(*day, "sku_group", "local").agg(
-        F.sum(to_cents(F.col("total_revenue"))).alias("_cents"),
+        F.sum(to_units(F.col("total_revenue"))).alias("_units"),
         F.sum("order_count").alias("order_count"),
     )
-    total = F.sum("_cents").over(W.partitionBy(*day, "local"))
-    best_first = W.partitionBy(*day).orderBy(F.desc("_cents"), "sku_group", "local")
+    total = F.sum("_units").over(W.partitionBy(*day, "local"))
+    best_first = W.partitionBy(*day).orderBy(F.desc("_units"), "sku_group", "local")
     return (
         rolled.withColumn("_total", total)
         .withColumn("place", F.row_number().over(best_first).cast("long"))
@@ -68,10 +68,10 @@ def leaderboard(sales: DataFrame, k: int = TOP_ROWS, by: Sequence[str] = ()) ->
             "place",
             "sku_group",
             "local",
-            to_usd(F.col("_cents")).alias("total_revenue"),
+            to_usd(F.col("_units")).alias("total_revenue"),
             "order_count",
-            per(to_usd(F.col("_cents")), F.col("order_count")).alias("avg_order_value"),
-            F.coalesce(per(F.col("_cents"), F.col("_total")), F.lit(0.0)).alias("revenue_share_of_day"),
+            per(to_usd(F.col("_units")), F.col("order_count")).alias("avg_order_value"),
+            F.coalesce(per(F.col("_units"), F.col("_total")), F.lit(0.0)).alias("revenue_share_of_day"),
         )
     )
 
@@ -84,7 +84,7 @@ def locality_summary(sales: DataFrame, day: str) -> DataFrame:
         .groupBy("local")
         .agg(
             F.sum("total_quantity").alias("total_quantity"),
-            to_usd(F.sum(to_cents(F.col("total_revenue")))).alias("total_revenue"),
+            to_usd(F.sum(to_units(F.col("total_revenue")))).alias("total_revenue"),
             F.sum("order_count").alias("order_count"),
             F.sum(F.col("avg_order_value") * orders).alias("_value"),
             F.sum(F.col("days_to_maturity") * orders).alias("_days"),

@@ -1,6 +1,6 @@
 """Revenue share and dense rank per day and locality.
 
-Both read ``_cents`` of the sales aggregate, so ties and shares are exact. Input
+Both read ``_units`` of the sales aggregate, so ties and shares are exact. Input
 is already aggregated: one day and locality holds at most (maturity dates x SKU
 groups) rows. ``wide`` serves lookups with so many groups that even this is too
 much for one task; it gives the same numbers.
@@ -18,12 +18,12 @@ SPLITS = 64
 
 
 def revenue_share(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    total = F.sum("_cents").over(W.partitionBy(*_day(by)))
-    return sales.withColumn("_day_cents", total).transform(_share)
+    total = F.sum("_units").over(W.partitionBy(*_day(by)))
+    return sales.withColumn("_day_units", total).transform(_share)
 
 
 def revenue_rank(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    best_first = W.partitionBy(*_day(by)).orderBy(F.desc("_cents"))
+    best_first = W.partitionBy(*_day(by)).orderBy(F.desc("_units"))
     return sales.withColumn("revenue_rank", F.dense_rank().over(best_first).cast("long"))
 
 
@@ -42,32 +42,32 @@ def _split_share_and_rank(sales: DataFrame, by: Sequence[str], splits: int = SPL
     Approximate cut points only balance the ranges; any cuts give exact ranks.
     """
     day = _day(by)
-    values = sales.groupBy(*day, "_cents").agg(F.count(F.lit(1)).alias("_rows"))
+    values = sales.groupBy(*day, "_units").agg(F.count(F.lit(1)).alias("_rows"))
     cut_at = [i / splits for i in range(1, splits)]
     days = values.groupBy(*day).agg(
-        F.sum(F.col("_cents") * F.col("_rows")).alias("_day_cents"),
-        F.percentile_approx("_cents", cut_at).alias("_cuts"),
+        F.sum(F.col("_units") * F.col("_rows")).alias("_day_units"),
+        F.percentile_approx("_units", cut_at).alias("_cuts"),
     )
     ranged = _same_day(values, days, day).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("_cents")))
+        "_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("_units")))
     )
     per_range = ranged.groupBy(*day, "_range").agg(F.count(F.lit(1)).alias("_values"))
     higher = W.partitionBy(*day).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_range.withColumn("_higher", F.coalesce(F.sum("_values").over(higher), F.lit(0)))
-    within = W.partitionBy(*day, "_range").orderBy(F.desc("_cents"))
+    within = W.partitionBy(*day, "_range").orderBy(F.desc("_units"))
     ranks = _same_day(
         ranged.withColumn("_within", F.row_number().over(within)).drop("_cuts", "_rows"),
         offsets.select(*day, "_range", "_higher"),
         [*day, "_range"],
     ).withColumn("revenue_rank", F.col("_higher") + F.col("_within"))
-    found = ranks.select(*day, "_cents", "_day_cents", "revenue_rank")
-    return _same_day(sales, found, [*day, "_cents"]).transform(_share)
+    found = ranks.select(*day, "_units", "_day_units", "revenue_rank")
+    return _same_day(sales, found, [*day, "_units"]).transform(_share)
 
 
 def _share(sales: DataFrame) -> DataFrame:
-    total = F.col("_day_cents")
-    share = F.when(total > 0, per(F.col("_cents"), total)).otherwise(F.lit(0.0))
-    return sales.withColumn("revenue_share_of_day", share).drop("_day_cents")
+    total = F.col("_day_units")
+    share = F.when(total > 0, per(F.col("_units"), total)).otherwise(F.lit(0.0))
+    return sales.withColumn("revenue_share_of_day", share).drop("_day_units")
 
 
 def _day(by: Sequence[str]) -> list[str]:

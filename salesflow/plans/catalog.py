@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from salesflow.operators import aggregate, clean, enrich, parity, quality, snapshots, synth, topk, windows
 from salesflow.plans import pipeline
 from salesflow.plans import state as states
-from salesflow.plans.incremental import replay
+from salesflow.plans.incremental import replay, run_batch
 from salesflow.plans.pipeline import text_dates
 from salesflow.schemas import GROUP_KEYS, STATE_KEYS, TRANSACTIONS
 from salesflow.session import workspace
 from salesflow.sources import driver_tables as model
+from salesflow.sources.export import write_csv
 from salesflow.sources.landing import land, read_landing
+from salesflow.sources.lookups import Lookups
+from salesflow.sources.tables import read_transactions
 
 CLIENT = ["client_id"]
 BASIC_METRICS = [
@@ -36,6 +39,15 @@ def txn_scan_typed(spark: SparkSession, sf: str) -> DataFrame:
     return model.transactions(spark, sf).select(TRANSACTIONS.fieldNames())
 
 
+def csv_scan_typed(spark, sf):
+    """The same rows by way of CSV files whose columns are in another order."""
+    path = f"{workspace(spark, 'salesflow-csv')}/transactions"
+    shuffled = model.transactions(spark, sf).select("client_id", *reversed(TRANSACTIONS.fieldNames()))
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    shuffled.write.options(header=True, **spaces).csv(path)
+    return read_transactions(spark, path)
+
+
 def sku_lookup(spark, sf):
     return model.sku_lookup(spark, sf)
 
@@ -174,9 +186,33 @@ def sku_concentration(spark, sf):
     return aggregate.sku_concentration(model.lines_only(spark, sf))
 
 
+def full_pipeline_large(spark, sf):
+    """The forms for lookups too large to send to every executor, on the same data."""
+    return text_dates(pipeline.sales(model.transactions(spark, sf), _unmeasured(spark, sf)))
+
+
+def revenue_rank_large(spark, sf):
+    aggregated = aggregate.sales_aggregate(_cleaned(spark, sf), _unmeasured(spark, sf))
+    ranked = windows.share_and_rank(aggregated, wide=True)
+    return text_dates(ranked.select(*GROUP_KEYS, "total_revenue", "revenue_rank"))
+
+
+def csv_sink_roundtrip(spark, sf):
+    """The result written for inspection and read again."""
+    path = f"{workspace(spark, 'salesflow-export')}/sales"
+    result = full_pipeline(spark, sf)
+    write_csv(result, path)
+    return spark.read.schema(result.schema).option("header", True).csv(path)
+
+
 # --- top slices and reports ---
 
 
+def max_date(spark, sf):
+    return topk.max_date(_sales(spark, sf))
+
+
+
 def top5_latest_day(spark, sf):
     return text_dates(topk.top_latest_day(_sales(spark, sf)))
 
@@ -211,7 +247,8 @@ def last_processed_date(spark, sf):
 
 
 def incremental_batch(spark, sf):
-    new = clean.after_date(model.transactions(spark, sf), model.FILTER_DATE)
+    """Only what is after the date, cut off at the scans of both tables."""
+    new = clean.after_date(model.transactions(spark, sf, after=model.FILTER_DATE), model.FILTER_DATE)
     return text_dates(pipeline.sales(new, model.lookups(spark, sf)))
 
 
@@ -226,6 +263,45 @@ def state_after_replay(spark, sf):
     return states.read_state(spark, path)
 
 
+def incremental_landed(spark, sf):
+    """One more day: landed rows, nine days stored, then a run over the tenth by high water."""
+    root, landed, lookups = landed_state(spark, sf, "2025-10-09")
+    run_batch(spark, landed, lookups, root, model.CLIENTS)
+    return states.read_state(spark, states.state_path(spark, root))
+
+
+def changed_replay(spark, sf):
+    """Snapshots in which some rows arrive a day late, each run in mode ``changed``."""
+    root = workspace(spark, "salesflow-changed")
+    arrived = model.arrivals(model.transactions(spark, sf))
+    arrived.write.parquet(f"{root}/arrived")
+    arrived = spark.read.schema(arrived.schema).parquet(f"{root}/arrived")
+    for day in ("2025-10-04", "2025-10-05", model.LAST_DATE):
+        seen = arrived.filter(F.col("arrival_day") <= day).drop("arrival_day")
+        run_batch(spark, seen, model.lookups(spark, sf), root, model.CLIENTS, mode="changed")
+    return states.read_state(spark, states.state_path(spark, root))
+
+
+def state_rebuild_client(spark, sf):
+    """A client's days dropped and stored anew, among those of others."""
+    path = f"{workspace(spark, 'salesflow-rebuild')}/processed_sales_v1"
+    batch = states.to_state(_sales(spark, sf, by=CLIENT))
+    states.write_days(batch.withColumn("total_quantity", F.lit(0).cast("long")).filter("client_id = 'client_1'"), path)
+    states.write_days(batch.filter("client_id <> 'client_1'"), path)
+    states.rebuild_client(batch, path, "client_1")
+    return states.read_state(spark, path)
+
+
+def state_schema_drift(spark, sf):
+    """A stored table of another schema is left alone, and the state is built beside it."""
+    root = workspace(spark, "salesflow-drift")
+    batch = states.to_state(_sales(spark, sf, by=CLIENT))
+    batch.drop("revenue_rank").write.partitionBy(*CLIENT, "transaction_date").parquet(f"{root}/processed_sales_v1")
+    path = states.state_path(spark, root)
+    states.write_days(batch, path)
+    return states.read_state(spark, states.state_path(spark, root))
+
+
 def state_constraint_check(spark, sf):
     return quality.constraint_check(states.to_state(_sales(spark, sf, by=CLIENT)), STATE_KEYS)
 
@@ -243,6 +319,12 @@ def parity_diff(spark, sf):
     return text_dates(parity.parity_diff(model.perturbed(sales), sales))
 
 
+def parity_head(spark, sf):
+    """The first differences by key."""
+    sales = _sales(spark, sf)
+    return text_dates(parity.parity_head(parity.parity_diff(model.perturbed(sales), sales)))
+
+
 # --- synthetic data: one generated row per line item, from the given lookups ---
 
 
@@ -259,11 +341,20 @@ def synth_zip_noise(spark, sf):
 
 
 def synth_maturity(spark, sf):
-    rows, _ = _synth_size(spark, sf)
-    day = F.date_add(F.lit(model.START_DATE).cast("date"), (F.col("id") % model.NUM_DAYS).cast("int"))
-    return spark.range(rows).select(
-        "id", day.cast("string").alias("transaction_date"), synth.maturity_text(day, F.col("id")).alias("maturity_date")
-    )
+    """A maturity date for every line item, from its number and day."""
+    lines = model.lines_only(spark, sf)
+    number = F.substring("transaction_id", 5, 20).cast("long")
+    day = F.col("transaction_date").cast("date")
+    return lines.select(number.alias("id"), "transaction_date", synth.maturity_text(day, number).alias("maturity_date"))
+
+
+def landed_state(spark, sf, upto):
+    """Landed transactions, and the state of all days up to one: (root, landed, lookups)."""
+    root, lookups = workspace(spark, "salesflow-landed"), model.lookups(spark, sf)
+    land(model.transactions(spark, sf), f"{root}/landing")
+    landed = read_landing(spark, f"{root}/landing")
+    run_batch(spark, snapshots.snapshot(landed, upto), lookups, root, model.CLIENTS)
+    return root, landed, lookups
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -276,6 +367,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         top5_latest_day, top5_report, leaderboard_sku_group, locality_summary,
         state_projection, last_processed_date, incremental_batch, state_after_replay, state_constraint_check,
         parity_summary, parity_diff, synth_transactions, synth_zip_noise, synth_maturity,
+        csv_scan_typed, full_pipeline_large, revenue_rank_large, csv_sink_roundtrip, max_date, parity_head,
+        incremental_landed, changed_replay, state_rebuild_client, state_schema_drift,
     ]
     return {query.__name__: query for query in listed}
 
@@ -292,6 +385,10 @@ def _sales(spark, sf, by=()):
     return pipeline.sales(model.transactions(spark, sf), model.lookups(spark, sf), by)
 
 
+def _unmeasured(spark, sf):
+    return Lookups(model.sku_lookup(spark, sf), model.zip_lookup(spark, sf))
+
+
 def _synth_size(spark, sf):
     """Row count from file metadata, and slices for the larger lookup."""
     keys = max(model.table(spark, sf, name).count() for name in ("part", "customer"))

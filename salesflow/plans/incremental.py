@@ -10,6 +10,9 @@ of a run share one job. Modes:
 ``changed``  redo every day whose rows differ from when it was last processed, of
              any age. Needs one aggregation over the whole snapshot.
 
+Undated rows belong to no day. In every mode and every run they are left out, counted
+in the result and logged.
+
 Shares and ranks stay right because they are taken per day and a batch holds whole
 days.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesflow.functions import to_cents
+from salesflow.functions import to_units
 from salesflow.operators.parity import parity_diff, parity_head, parity_summary
 from salesflow.operators.snapshots import snapshot
 from salesflow.plans.pipeline import sales
@@ -38,15 +41,15 @@ log = logging.getLogger(__name__)
 
 MODES = ("from", "after", "changed")
 
-LISTED_DAYS = 1_000
-"""Most changed client-days written into the filter; beyond that a join is used."""
+BROADCAST_DAYS = 100_000
+"""Most changed client-days sent to every executor; more are joined by shuffle, with the same rows."""
 
 LEDGER = T.StructType(
     [
         T.StructField("client_id", T.StringType()),
         T.StructField("transaction_date", T.StringType()),
         T.StructField("rows", T.LongType()),
-        T.StructField("cents", T.LongType()),
+        T.StructField("units", T.LongType()),
         T.StructField("fingerprint", T.DecimalType(38, 0)),
         T.StructField("batch", T.LongType()),
     ]
@@ -59,6 +62,7 @@ class BatchResult:
     high_water: dict[str, str | None]
     days: list[tuple[str, str]] = field(default_factory=list)
     cleared: list[tuple[str, str]] = field(default_factory=list)
+    undated: int = 0
 
 
 def run_batch(
@@ -140,7 +144,7 @@ def read_ledger(spark: SparkSession, root: str) -> DataFrame | None:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    newest = F.max_by(F.struct("rows", "cents", "fingerprint"), "batch").alias("e")
+    newest = F.max_by(F.struct("rows", "units", "fingerprint"), "batch").alias("e")
     return entries.groupBy("client_id", "transaction_date").agg(newest).select(
         "client_id", "transaction_date", "e.*"
     )
@@ -151,7 +155,7 @@ def day_fingerprints(txn: DataFrame) -> DataFrame:
     checksum = F.xxhash64(*TRANSACTIONS.fieldNames()).cast("decimal(20,0)")
     return txn.groupBy("client_id", "transaction_date").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum(to_cents(F.col("revenue_usd"))).alias("cents"),
+        F.sum(to_units(F.col("revenue_usd"))).alias("units"),
         F.sum(checksum).cast("decimal(38,0)").alias("fingerprint"),
     )
 
@@ -159,14 +163,14 @@ def day_fingerprints(txn: DataFrame) -> DataFrame:
 def changed_days(current: DataFrame, known: DataFrame) -> DataFrame:
     """Client-days that are new, gone or different; a gone day has zero rows."""
     keys = ["client_id", "transaction_date"]
-    values = ["rows", "cents", "fingerprint"]
+    values = ["rows", "units", "fingerprint"]
     before = known.withColumnsRenamed({c: f"_known_{c}" for c in keys + values})
     match = [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys]
     same = reduce(lambda a, b: a & b, [F.col(v).eqNullSafe(F.col(f"_known_{v}")) for v in values])
     return current.join(before, match, "full").filter(~same).select(
         *[F.coalesce(k, f"_known_{k}").alias(k) for k in keys],
         F.coalesce("rows", F.lit(0).cast("long")).alias("rows"),
-        "cents",
+        "units",
         "fingerprint",
     )
 
@@ -175,38 +179,46 @@ def _run(spark, txn, lookups, root, path, clients, mode):
     state = read_state(spark, path)
     marks = _marks(state, clients)
     own = txn.filter(F.col("client_id").isin(list(clients)))
+    undated = own.filter(F.col("transaction_date").isNull()).count()
+    if undated:
+        log.warning("%d undated rows are left out", undated)
+    own = own.filter(F.col("transaction_date").isNotNull())
     if mode == "changed":
-        return _run_changed(spark, own, lookups, root, path, state, marks, clients)
+        return _run_changed(spark, own, lookups, root, path, state, marks, clients, undated)
     due = own.filter(due_since(marks, inclusive=mode == "from"))
     # a mark is the newest stored day, so it is the only stored day that is redone
     redone = {(c, mark) for c, mark in marks.items() if mark and mode == "from"}
     days, cleared = _replace(spark, due, lookups, path, redone)
-    return BatchResult(path, marks, days, cleared)
+    return BatchResult(path, marks, days, cleared, undated)
 
 
-def _run_changed(spark, txn, lookups, root, path, state, marks, clients):
+def _run_changed(spark, txn, lookups, root, path, state, marks, clients, undated):
     known = read_ledger(spark, root)
     if known is None:
         known = spark.createDataFrame([], LEDGER).drop("batch")
     own = known.filter(F.col("client_id").isin(list(clients)))
     changed = changed_days(day_fingerprints(txn), own).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        listed = changed.select("client_id", "transaction_date").limit(LISTED_DAYS + 1).collect()
-        if not listed:
-            return BatchResult(path, marks)
-        if len(listed) <= LISTED_DAYS:
-            due = _on_days(listed)
-            source, stored = txn.filter(due), state.filter(due)
-        else:
-            keys = ["client_id", "transaction_date"]
-            source, stored = (frame.join(changed, keys, "left_semi") for frame in (txn, state))
+        number = changed.count()
+        if not number:
+            return BatchResult(path, marks, undated=undated)
+        source, stored = (on_days(frame, changed, number) for frame in (txn, state))
         days, cleared = _replace(spark, source, lookups, path, _client_days(stored))
         _append_ledger(spark, changed, root)
-        return BatchResult(path, marks, days, cleared)
+        return BatchResult(path, marks, days, cleared, undated)
     finally:
         changed.unpersist()
 
 
+def on_days(frame: DataFrame, days: DataFrame, number: int, most: int = BROADCAST_DAYS) -> DataFrame:
+    """The rows of ``frame`` on the given ``number`` of client-days. Up to ``most`` of them are
+    broadcast, so rows are not shuffled and partitions are pruned."""
+    keys = ["client_id", "transaction_date"]
+    wanted = days.select(*[F.col(k).alias(f"_on_{k}") for k in keys])
+    match = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+    return frame.join(F.broadcast(wanted) if number <= most else wanted, match, "left_semi")
+
+
 def _replace(spark, source, lookups, path, redone):
     """Write the batch; empty those redone days for which it holds nothing."""
     batch = sales(source, lookups, by=["client_id"]).transform(to_state)
@@ -241,17 +253,3 @@ def _marks(state, clients):
 def _client_days(frame):
     rows = frame.select("client_id", "transaction_date").distinct().collect()
     return {(row["client_id"], row["transaction_date"]) for row in rows}
-
-
-def _on_days(rows):
-    by_client: dict[str, list[str]] = {}
-    for row in rows:
-        by_client.setdefault(row["client_id"], []).append(row["transaction_date"])
-    conditions = []
-    for client, days in by_client.items():
-        dated = [d for d in days if d is not None]
-        when = F.col("transaction_date").isin(dated)
-        if len(dated) < len(days):
-            when = when | F.col("transaction_date").isNull()
-        conditions.append((F.col("client_id") == client) & when)
-    return reduce(or_, conditions)

@@ -3,6 +3,11 @@
 Each text stands alone. Steps are common table expressions, put together by name.
 """
 
+from salesflow.schemas import METRICS as _METRICS
+from salesflow.schemas import STATE
+
+_STATE_COLUMNS = STATE.fieldNames()
+
 _STEPS = {
     "lines": """
         SELECT 'TXN_' || printf('%010d', k * 10 + n) AS transaction_id,
@@ -79,12 +84,12 @@ _ORDER = ["lines", "txn", "sku", "zip", "parsed", "cleaned", "enriched"]
 _MEASURES = """
     min(category) AS category, bool_or(is_high_priority) AS is_high_priority,
     CAST(sum(quantity_sold) AS BIGINT) AS total_quantity,
-    CAST(sum(CAST(round(revenue_usd * 100) AS BIGINT)) AS BIGINT) AS cents,
+    CAST(sum(CAST(round(revenue_usd * 10000) AS BIGINT)) AS BIGINT) AS units,
     count(*) AS order_count,
     CAST(sum(quantity_sold) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_quantity_per_order,
     CAST(sum(days) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS days_to_maturity"""
 
-_USD = "CAST(cents AS DOUBLE) / CAST(100 AS DOUBLE)"
+_USD = "CAST(units AS DOUBLE) / CAST(10000 AS DOUBLE)"
 
 _SALES = """
     CAST(transaction_date AS VARCHAR) AS transaction_date, CAST(maturity_date AS VARCHAR) AS maturity_date,
@@ -103,10 +108,10 @@ def _ranked(source: str, by: str = "") -> str:
     return f"""
         SELECT *, {_USD} AS total_revenue,
                {_USD} / CAST(order_count AS DOUBLE) AS avg_order_value,
-               CASE WHEN sum(cents) OVER w > 0
-                    THEN CAST(cents AS DOUBLE) / CAST(sum(cents) OVER w AS DOUBLE)
+               CASE WHEN sum(units) OVER w > 0
+                    THEN CAST(units AS DOUBLE) / CAST(sum(units) OVER w AS DOUBLE)
                     ELSE 0.0 END AS revenue_share_of_day,
-               dense_rank() OVER (PARTITION BY {by} transaction_date, local ORDER BY cents DESC) AS revenue_rank
+               dense_rank() OVER (PARTITION BY {by} transaction_date, local ORDER BY units DESC) AS revenue_rank
         FROM ({source}) WINDOW w AS (PARTITION BY {by} transaction_date, local)"""
 
 
@@ -129,16 +134,6 @@ _PERTURBED = """
                            ELSE total_revenue END AS total_revenue)
     FROM sales WHERE NOT (sku_group = 'Brand#2' AND local)"""
 
-_METRICS = [
-    "total_quantity",
-    "total_revenue",
-    "order_count",
-    "avg_quantity_per_order",
-    "avg_order_value",
-    "days_to_maturity",
-    "revenue_share_of_day",
-    "revenue_rank",
-]
 
 _VERDICT = "1e-6 + 1e-6 * abs(b.{m})"
 _DISTANCE = "1e-4"
@@ -165,8 +160,8 @@ _STATE = """
 
 _DAILY = """
     SELECT transaction_date, CAST(sum(quantity_sold) AS BIGINT) AS total_quantity,
-           CAST(sum(CAST(round(revenue_usd * 100) AS BIGINT)) AS DOUBLE) / CAST(100 AS DOUBLE) AS total_revenue,
-           CAST(sum(CAST(round(revenue_usd * 100) AS BIGINT)) AS DOUBLE) / CAST(100 AS DOUBLE)
+           CAST(sum(CAST(round(revenue_usd * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE) AS total_revenue,
+           CAST(sum(CAST(round(revenue_usd * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE)
              / CAST(count(revenue_usd) AS DOUBLE) AS avg_revenue,
            count({counted}) AS order_count
     FROM lines WHERE transaction_date IS NOT NULL GROUP BY transaction_date"""
@@ -271,11 +266,27 @@ def _generators() -> dict[str, str]:
         "synth_zip_noise": _with("zip", "SELECT id, zip_code, zip_code_raw FROM noisy", **steps),
         "synth_maturity": f"""
             SELECT id, CAST(day AS VARCHAR) AS transaction_date, {_MATURITY} AS maturity_date
-            FROM (SELECT id, DATE '2025-10-01' + CAST(id % 10 AS INTEGER) AS day FROM ({_IDS}))""",
+            FROM (SELECT l_orderkey * 10 + l_linenumber AS id,
+                         DATE '2025-10-01' + CAST(l_orderkey % 10 AS INTEGER) AS day FROM lineitem)""",
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _texts()
+    same = {
+        "csv_scan_typed": "txn_scan_typed",
+        "full_pipeline_large": "full_pipeline",
+        "csv_sink_roundtrip": "full_pipeline",
+        "revenue_rank_large": "revenue_rank",
+        "incremental_landed": "state_projection",
+        "changed_replay": "state_projection",
+        "state_rebuild_client": "state_projection",
+        "state_schema_drift": "state_projection",
+    }
+    return found | {name: found[other] for name, other in same.items()}
+
+
+def _texts() -> dict[str, str]:
     flat = "SELECT transaction_id, transaction_date, sku_id, quantity_sold FROM lines"
     after = f"{flat} WHERE transaction_date > '2025-10-05'"
     malformed = """
@@ -322,7 +333,7 @@ def oracle_sql() -> dict[str, str]:
         "sku_day_totals": _with(
             "lines",
             "SELECT sku_id, transaction_date, CAST(sum(quantity_sold) AS BIGINT) AS total_quantity, "
-            "CAST(sum(CAST(round(revenue_usd * 100) AS BIGINT)) AS DOUBLE) / CAST(100 AS DOUBLE) AS total_revenue "
+            "CAST(sum(CAST(round(revenue_usd * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE) AS total_revenue "
             "FROM lines GROUP BY sku_id, transaction_date",
         ),
         "sku_concentration": """
@@ -347,19 +358,19 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, place, sku_group, local,
                    {_USD} AS total_revenue, order_count,
                    {_USD} / CAST(order_count AS DOUBLE) AS avg_order_value,
-                   CAST(cents AS DOUBLE) / CAST(day_cents AS DOUBLE) AS revenue_share_of_day
-            FROM (SELECT *, sum(cents) OVER (PARTITION BY transaction_date, local) AS day_cents,
+                   CAST(units AS DOUBLE) / CAST(day_units AS DOUBLE) AS revenue_share_of_day
+            FROM (SELECT *, sum(units) OVER (PARTITION BY transaction_date, local) AS day_units,
                          row_number() OVER (PARTITION BY transaction_date
-                                            ORDER BY cents DESC, sku_group, local) AS place
+                                            ORDER BY units DESC, sku_group, local) AS place
                   FROM rolled) WHERE place <= 5""",
             rolled="""SELECT transaction_date, sku_group, local, count(*) AS order_count,
-                   CAST(sum(CAST(round(revenue_usd * 100) AS BIGINT)) AS BIGINT) AS cents
+                   CAST(sum(CAST(round(revenue_usd * 10000) AS BIGINT)) AS BIGINT) AS units
             FROM enriched GROUP BY transaction_date, sku_group, local""",
         ),
         "locality_summary": _sales(
             """SELECT CASE WHEN local THEN 'Local (CA)' ELSE 'Non-local' END AS segment, local,
                    CAST(sum(total_quantity) AS BIGINT) AS total_quantity,
-                   CAST(sum(cents) AS DOUBLE) / CAST(100 AS DOUBLE) AS total_revenue,
+                   CAST(sum(units) AS DOUBLE) / CAST(10000 AS DOUBLE) AS total_revenue,
                    CAST(sum(order_count) AS BIGINT) AS order_count,
                    round(sum(avg_order_value * order_count) / CAST(sum(order_count) AS DOUBLE), 6) AS avg_order_value,
                    round(sum(days_to_maturity * order_count) / CAST(sum(order_count) AS DOUBLE), 6)
@@ -419,6 +430,19 @@ def oracle_sql() -> dict[str, str]:
             WHERE i.order_count IS NULL OR b.order_count IS NULL OR {' OR '.join(_differs(m, _DISTANCE) for m in _METRICS)}""",
             copy=_PERTURBED,
         ),
+        "max_date": _sales("SELECT CAST(max(transaction_date) AS VARCHAR) AS target_transaction_date FROM sales"),
+        "parity_head": _sales(
+            f"""SELECT * FROM (SELECT CAST(coalesce(i.transaction_date, b.transaction_date) AS VARCHAR) AS transaction_date,
+                   CAST(coalesce(i.maturity_date, b.maturity_date) AS VARCHAR) AS maturity_date,
+                   coalesce(i.sku_group, b.sku_group) AS sku_group, coalesce(i.local, b.local) AS local,
+                   CASE WHEN b.order_count IS NULL THEN 'incremental'
+                        WHEN i.order_count IS NULL THEN 'baseline' ELSE 'both' END AS found_in,
+                   {', '.join(f'i.{m} AS {m}_incremental, b.{m} AS {m}_baseline' for m in _METRICS)}
+            {_BOTH_SIDES}
+            WHERE i.order_count IS NULL OR b.order_count IS NULL OR {' OR '.join(_differs(m, _DISTANCE) for m in _METRICS)})
+            ORDER BY transaction_date, maturity_date, sku_group, local LIMIT 5""",
+            copy=_PERTURBED,
+        ),
         "snapshot_rows": _with(
             "txn",
             """SELECT s.client_id, s.snapshot_day,
@@ -429,19 +453,3 @@ def oracle_sql() -> dict[str, str]:
         ),
     } | _generators()
 
-
-_STATE_COLUMNS = [
-    "client_id",
-    "transaction_date",
-    "maturity_date",
-    "sku_group",
-    "local",
-    "total_quantity",
-    "total_revenue",
-    "order_count",
-    "avg_quantity_per_order",
-    "avg_order_value",
-    "days_to_maturity",
-    "revenue_share_of_day",
-    "revenue_rank",
-]

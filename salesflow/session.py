@@ -1,6 +1,5 @@
 """Session defaults and the place where intermediate tables may be written."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,11 +25,11 @@ def workspace(spark: SparkSession, label: str) -> str:
     """A fresh folder for one run's tables.
 
     It lies in the shared folder named by ``spark.checkpoint.dir``. Only a
-    single-machine session without that setting gets a local temporary folder.
+    single-machine session without that setting uses its warehouse folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix=f"{label}-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesflow.schemas import SKU_LOOKUP, TRANSACTIONS, ZIP_LOOKUP
 
@@ -28,7 +29,20 @@ def parse_zip_lookup(raw: DataFrame) -> DataFrame:
 
 
 def _csv(spark, path, schema):
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    """Columns by name, in any order; others are ignored and a missing one fails.
+
+    Spark applies a schema by position, so the known types are put into the order of the
+    header first (one line of one file is read). Files whose header differs from that fail
+    instead of being read wrongly.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    known = {f.name: f for f in schema}
+    found = T.StructType([known.get(name, T.StructField(name, T.StringType())) for name in header])
+    options = {"header": True, "mode": "FAILFAST", "enforceSchema": False}
+    return spark.read.schema(found).options(**options).csv(path).select(*schema.fieldNames())
 
 
 def _flag(raw, name):

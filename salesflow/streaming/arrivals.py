@@ -6,8 +6,10 @@ up to date. The stream's checkpoint remembers which archives are done. Both step
 can be repeated, so a batch that is retried after a failure changes nothing.
 """
 
+import logging
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,11 @@ from salesflow.sources.archive import read_archives
 from salesflow.sources.landing import land, read_landing
 from salesflow.sources.lookups import Lookups
 
+log = logging.getLogger(__name__)
+
+LANDED = "client_id string, day int"
+MARKS = "_snapshots"
+
 NAME_PATTERN = r"/([^/]+)/transactions_day_(\d+)\.zip$"
 
 FILE_NAMES = T.StructType(
@@ -77,6 +84,17 @@ def process_arrivals(
     )
 
 
+def landed_days(spark: SparkSession, landing: str) -> dict[str, int]:
+    """The newest landed snapshot of each client, kept beside the landing table."""
+    try:
+        marks = spark.read.schema(LANDED).parquet(f"{landing}{MARKS}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return dict(marks.groupBy("client_id").agg(F.max("day")).collect())
+
+
 def ingest(
     spark: SparkSession,
     archives: str,
@@ -86,11 +104,23 @@ def ingest(
     newest: Sequence[tuple[str, int]],
     mode: str = "from",
 ) -> None:
-    """Land the given archives and bring their clients' state up to date."""
+    """Land the given archives and bring their clients' state up to date.
+
+    A snapshot older than the newest one landed of its client is ignored, whatever batch it
+    comes in: it would put older days over newer ones.
+    """
+    known = landed_days(spark, landing)
+    newer = [(client, day) for client, day in newest if day >= known.get(client, day)]
+    for client, day in set(newest) - set(newer):
+        log.warning("archive of day %d of %s is older than what is landed: ignored", day, client)
     by_day: dict[int, list[str]] = {}
-    for client, day in newest:
+    for client, day in newer:
         by_day.setdefault(day, []).append(client)
     for day, clients in by_day.items():
         land(read_archives(spark, archives, clients, [day]), landing)
-    clients = sorted({client for client, _ in newest})
+    if not newer:
+        return
+    marks = spark.createDataFrame(newer, LANDED)
+    marks.coalesce(1).write.mode("append").parquet(f"{landing}{MARKS}")
+    clients = sorted({client for client, _ in newer})
     run_batch(spark, read_landing(spark, landing), lookups, root, clients, mode)

@@ -3,6 +3,7 @@ from dataclasses import replace
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from salesflow.operators import aggregate, clean
 from salesflow.plans import pipeline
@@ -140,3 +141,11 @@ def test_sku_concentration_against_sorting(spark, seed):
 def test_sums_do_not_depend_on_partitioning(mixed, lookups):
     once = rows(pipeline.sales(mixed, lookups))
     assert rows(pipeline.sales(mixed.repartition(13), lookups)) == once
+
+
+def test_fine_amounts_are_summed_whole_or_fail(spark):
+    frame = spark.createDataFrame([("2025-10-01", 1, usd) for usd in (0.004, 0.004, 0.004)], "transaction_date string, quantity_sold long, revenue_usd double")
+    assert aggregate.daily_totals(frame).first()["total_revenue"] == 0.012
+    finer = frame.withColumn("revenue_usd", F.lit(0.00004))
+    with pytest.raises(Exception, match="finer"):
+        aggregate.daily_totals(finer).collect()

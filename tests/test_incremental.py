@@ -116,11 +116,18 @@ def test_changed_mode_sees_late_corrected_and_removed_rows(run, stored, recomput
     assert run(txn_frame(removed), mode="changed").days == []
 
 
-def test_changed_mode_with_many_days_joins_instead(run, stored, recomputed, txn_frame, monkeypatch):
-    monkeypatch.setattr(incremental, "LISTED_DAYS", 1)
-    txn = txn_frame(txn_rows([1, 2, 3]))
-    run(txn, mode="changed")
-    assert stored() == recomputed(txn)
+@pytest.mark.parametrize("broadcast_days", [0, 100_000])
+@pytest.mark.parametrize("mode", ["from", "changed"])
+def test_undated_rows_are_left_out_and_counted(run, stored, recomputed, txn_frame, monkeypatch, mode, broadcast_days):
+    """The same with few and with many changed days, in first and in later runs."""
+    monkeypatch.setattr(incremental.on_days, "__defaults__", (broadcast_days,))
+    dated, undated = txn_rows([1, 2]), [(CLIENTS[0], None, "SKU_1", 1, 5.0, None, "94105")]
+    txn = txn_frame(dated + undated)
+    assert run(txn, mode=mode).undated == 1
+    assert stored() == recomputed(txn_frame(dated))
+    more = txn_rows([1, 2, 3])
+    assert run(txn_frame(more + undated + undated), mode=mode).undated == 2
+    assert stored() == recomputed(txn_frame(more))
 
 
 def test_modes_cannot_be_mixed_with_a_ledger(run, txn_frame):
@@ -158,9 +165,10 @@ def test_strict_filter_with_inclusive_delete_loses_days():
     assert step(stored, list(range(1, 11))) == []
 
 
-def test_null_in_a_stored_column_fails_the_write(run, txn_frame):
+def test_null_in_a_stored_column_fails_the_write(root, lookups, txn_frame):
+    batch = states.to_state(pipeline.sales(txn_frame(txn_rows([1])), lookups, by=["client_id"]))
     with pytest.raises(Exception, match="null in stored column"):
-        run(txn_frame([("client_1", None, "SKU_1", 1, 1.0, None, "94105")]))
+        states.write_days(batch.withColumn("sku_group", F.lit(None).cast("string")), f"{root}/processed_sales_v1")
 
 
 def test_rebuild_replaces_one_client(spark, root, run, stored, recomputed, lookups, txn_frame):

@@ -1,3 +1,4 @@
+import os
 import zipfile
 
 import pytest
@@ -46,6 +47,15 @@ def test_typed_csv_scan(spark, tmp_path):
     assert rows(frame) == EXPECTED
 
 
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    moved = write(tmp_path / "s.csv", ["S1,Alpha,Toys,TRUE"], "sku_id,category,sku_group,is_high_priority")
+    assert tables.read_sku_lookup(spark, moved).first().asDict() == {
+        "sku_id": "S1", "sku_group": "Toys", "category": "Alpha", "is_high_priority": True,
+    }
+    with pytest.raises(ValueError, match="sku_group"):
+        tables.read_sku_lookup(spark, write(tmp_path / "m.csv", ["S1,Alpha,TRUE"], "sku_id,category,is_high_priority"))
+
+
 def test_wrong_type_in_csv_fails(spark, tmp_path):
     bad = write(tmp_path / "t.csv", ["TXN_1,2025-10-01,SKU_1,many,1.0,,94105"])
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
@@ -141,3 +151,16 @@ def test_arriving_archives_update_the_state(spark, tmp_path, lookups, txn_frame)
     before = state()
     arrive()
     assert state() == before
+
+
+@pytest.mark.parametrize("per_batch", [1, 100])
+def test_an_older_snapshot_that_comes_later_changes_nothing(spark, tmp_path, lookups, per_batch):
+    incoming, landed, root, done = (str(tmp_path / n) for n in ("in", "landing", "root", "done"))
+    zip_snapshot(tmp_path / "in", "client_1", 2, LINES)
+    zip_snapshot(tmp_path / "in", "client_1", 1, LINES[:1])
+    for day, when in ((2, 1_000), (1, 2_000)):
+        os.utime(tmp_path / "in" / "client_1" / f"transactions_day_{day}.zip", (when, when))
+    query = process_arrivals(spark, incoming, landed, root, lookups, done, archives_per_batch=per_batch)
+    query.awaitTermination(120)
+    assert query.exception() is None
+    assert landing.read_landing(spark, landed).count() == len(LINES)

@@ -5,7 +5,7 @@ from conftest import rows
 
 from salesflow.operators import topk, windows
 
-SCHEMA = "client_id string, transaction_date date, maturity_date date, sku_group string, local boolean, _cents long"
+SCHEMA = "client_id string, transaction_date date, maturity_date date, sku_group string, local boolean, _units long"
 
 
 def sales_frame(spark, values):
@@ -22,7 +22,7 @@ def sales_frame(spark, values):
 def test_ties_share_a_rank_without_gaps(spark, wide):
     frame = sales_frame(spark, [("c", 1, True, c) for c in (300, 300, 200, 100, 100)] + [("c", 1, False, 50)])
     found = windows.share_and_rank(frame, wide=wide)
-    ranks = rows(found.filter("local"), "_cents", "revenue_rank", "revenue_share_of_day")
+    ranks = rows(found.filter("local"), "_units", "revenue_rank", "revenue_share_of_day")
     assert ranks == [(100, 3, 0.1), (100, 3, 0.1), (200, 2, 0.2), (300, 1, 0.3), (300, 1, 0.3)]
     assert rows(found.filter("not local"), "revenue_rank", "revenue_share_of_day") == [(1, 1.0)]
 
