@@ -54,6 +54,23 @@ class WordCache(dict):
         self[word] = value
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """``make()``, kept in the worker process between tasks. A worker keeps one such object,
+    so that stages of one session do not add up their caches."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Frees what an earlier stage kept in this worker."""
+    _held.clear()
+
+
 def over_texts(make: Callable[[], Callable[[str], tuple]], schema: pa.Schema) -> Callable:
     """A function for ``mapInArrow`` over (key columns..., text). ``make`` builds, once a
     task, the function from a text (null: empty) to the values of the columns of ``schema``

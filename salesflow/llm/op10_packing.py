@@ -15,20 +15,20 @@ so extra columns of any name do no harm. An empty table gives an empty result.
 
 import os
 import zlib
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import CACHED_CHARS, CHUNK_CHARS, Stored, documents
+from salesflow.llm.common import CACHED_CHARS, CHUNK_CHARS, Stored, documents, held
 from salesflow.llm.op1_bpe import WordBpe
 
 CAPACITY = 4096
 END = 1
 #: Words in a generation of the cache: this operator holds little else.
-MOST_WORDS = 600_000
+MOST_WORDS = 400_000
 #: Pieces in a block within which those of one length are numbered.
 BLOCK_PIECES = 20_000
 
@@ -62,10 +62,9 @@ class FastWords(WordBpe):
             at = end
 
 
-@lru_cache(maxsize=1)
 def load(path: str) -> FastWords:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return FastWords(path)
+    return held((FastWords, path), lambda: FastWords(path))
 
 
 PIECES = [

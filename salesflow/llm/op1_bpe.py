@@ -15,7 +15,6 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import WordCache, documents, over_documents, over_texts
+from salesflow.llm.common import WordCache, documents, held, over_documents, over_texts
 
 #: White space as the tokenizer's regular expressions have it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -117,10 +116,9 @@ class WordBpe:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     """One tokenizer per worker process and file."""
-    return WordBpe(path)
+    return held((WordBpe, path), lambda: WordBpe(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import CHUNK_CHARS, Stored, documents, mixed
+from salesflow.llm.common import CHUNK_CHARS, Stored, documents, mixed, release
 from salesflow.llm.run_index import RunIndex, _words
 
 LEAST = 400
@@ -109,6 +109,7 @@ def segments_of(raw: bytes, level: int, least: int) -> list[tuple[int, int, int,
 
 
 def _segments(least, batches):
+    release()
     for batch in batches:
         ids, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
         while at < len(ids):
@@ -163,6 +164,7 @@ def _finer(least, level, batches):
 
 def _indexed(least, table):
     """Long matches in one shard (an Arrow table): bytes (start, end) of documents."""
+    release()
     strings = table.column("bytes").to_pylist()
     ids, versions, starts = (table.column(c).to_pylist() for c in ("doc_id", "version", "start"))
     rows = []

@@ -14,13 +14,12 @@ text are read, so extra columns of any name do no harm.
 """
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from salesflow.llm.common import WordCache, documents, over_documents
+from salesflow.llm.common import WordCache, documents, held, over_documents
 
 LIMIT = 4096
 MARK = "▁"
@@ -121,9 +120,9 @@ class PieceCounts:
         return total, 0
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> PieceCounts:
-    return PieceCounts(path)
+    """One model per worker process and file."""
+    return held((PieceCounts, path), lambda: PieceCounts(path))
 
 
 def prefix_counts(docs: DataFrame, path: str) -> DataFrame:

@@ -8,13 +8,14 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
    first (size - least overlap + l) shingles, for every l. By hash order and with l a
    fixed share of the size, a class that shares fewer than l of its prefix shingles with any
    other class has no link and is out. This needs one count of prefix shingles.
-3. The classes left are ordered by document frequency, rarest first. Each picks its own l by
-   the estimated cost of its candidates: those with frequent prefix shingles take a longer
-   prefix and ask for that many more shared shingles. A pair must share min(l, l') of them,
-   within positions that its two sizes still allow.
-4. Each posting list is first compared with its most central class alone (the one whose
-   shingles are shared most), as many rows as postings. What is then connected is never compared again; only pairs across components
-   go through the multi-match filter and are verified. Components do not need the others.
+3. The shingles of the classes left are ordered by document frequency, rarest first. Each
+   posting list of the shortest prefixes is compared with its most central class alone (the
+   one whose shingles are shared most), as many rows as postings. What is then connected is
+   never compared again: components do not need those pairs.
+4. For pairs across components, each class picks its own l by the estimated cost of its
+   candidates: with many of them it takes a longer prefix and asks for that many more shared
+   shingles. A pair must share min(l, l') of them, within positions that its two sizes still
+   allow, and is then verified.
 
 Sets are of lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+``; shorter texts than ``width`` words
 are one shingle; null and empty texts have none, link with nothing, and are their own
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import CHUNK_CHARS, Stored, WordCache, documents, lowered_words, shingles
+from salesflow.llm.common import CHUNK_CHARS, Stored, WordCache, documents, lowered_words, release, shingles
 from salesflow.llm.components import components
 
 #: What verifying a candidate costs, in rows of postings.
@@ -54,6 +55,7 @@ def required_level(n: int, percent: int) -> int:
 
 
 def _hashes() -> WordCache:
+    release()
     return WordCache(xxhash.xxh3_64_intdigest)
 
 
@@ -102,22 +104,25 @@ def _full_sets(width, batches):
             yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "digest", "shingles"])
 
 
-def chosen_level(n: int, frequencies: np.ndarray, percent: int) -> int:
-    """The l of least estimated cost, given the frequencies of the shared shingles in order."""
-    alone = n - len(frequencies)
-    rows = np.concatenate([[0], np.cumsum(frequencies - 1)])
-    spare = n - least_overlap(n, percent)
-    costs = []
+def chosen_level(percent: int):
+    """The l of least estimated cost, as an aggregate over a class's postings with ``others``,
+    the classes of other components in each list: rows to join, and candidates to verify,
+    which get fewer with the square of the matches asked for."""
+    options = []
     for level in LEVELS:
-        if level > 1 and level > n - spare:
-            break
-        scanned = rows[min(len(frequencies), max(0, spare + level - alone))]
-        costs.append(scanned * (1 + VERIFY_COST / level**2))
-    return LEVELS[int(np.argmin(costs))]
+        rows = F.sum(F.when(F.col("position") <= F.col("n") - least_sql(percent) + (level - 1), F.col("others")).otherwise(0))
+        cost = rows * (1 + VERIFY_COST / level**2)
+        options.append(F.when((F.lit(level) == 1) | (F.first("n") >= 2 * level), F.struct(cost.alias("cost"), F.lit(level).alias("level"))))
+    return F.array_min(F.array_compact(F.array(*options)))["level"]
+
+
+def least_sql(percent: int):
+    """``least_overlap`` of the column n."""
+    return F.expr(f"({percent} * n + 99) div 100")
 
 
 def _postings(percent, batches):
-    """Prefix postings of each class; positions count the unshared shingles first."""
+    """Postings of each class's longest prefix; positions count the unshared shingles first."""
     for batch in batches:
         rows = []
         for rep, n, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -126,12 +131,11 @@ def _postings(percent, batches):
             order = np.lexsort((token, df))
             # df: documents that share a shingle; the mean is highest for the center of a group
             df, token = df[order], token[order]
-            level = chosen_level(n, df, percent)
             alone = n - len(df)
-            take = max(0, min(len(df), n - least_overlap(n, percent) + level - alone))
-            rows.append((np.full(take, rep), np.full(take, n), token[:take], alone + np.arange(take), np.full(take, level), np.full(take, -(alone + df.sum()) / n)))
+            take = max(0, min(len(df), n - least_overlap(n, percent) + LEVELS[-1] - alone))
+            rows.append((np.full(take, rep), np.full(take, n), token[:take], alone + np.arange(take), np.full(take, -(alone + df.sum()) / n)))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["rep", "n", "token", "position", "level", "apart"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["rep", "n", "token", "position", "apart"])
 
 
 def _verified(percent, batches):
@@ -166,7 +170,8 @@ def classes_and_links(docs: DataFrame, width: int, percent: int, stored: Stored)
     left = shared.filter(F.col("shared") >= required).select("rep").distinct()
     left = stored(classes.select("rep", "digest").join(left, "rep"), "left")
     # 3: their whole sets, and prefixes by document frequency
-    texts = rows.join(left.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "digest", "text")
+    # both sides grow with the input: never a broadcast, at any size
+    texts = rows.join(left.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").select("doc_id", "digest", "text")
     whole = texts.mapInArrow(partial(_full_sets, width), "rep long, n long, digest binary, shingles binary")
     if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():
         whole = whole.dropDuplicates(["rep", "digest"])
@@ -174,7 +179,7 @@ def classes_and_links(docs: DataFrame, width: int, percent: int, stored: Stored)
     each = whole.mapInArrow(_unpacked, "rep long, n long, token long")
     df = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     lists = each.join(df, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "token")).alias("found"))
-    ddl = "rep long, n long, token long, position long, level long, apart double"
+    ddl = "rep long, n long, token long, position long, apart double"
     postings = stored(lists.mapInArrow(partial(_postings, percent), ddl), "postings")
 
     def verify(pairs):
@@ -183,15 +188,20 @@ def classes_and_links(docs: DataFrame, width: int, percent: int, stored: Stored)
         full = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return full.mapInArrow(partial(_verified, percent), "a long, b long")
 
-    # 4: every posting beside the most central class of its list, then pairs across components
-    center = postings.groupBy("token").agg(F.min(F.struct("apart", F.col("rep").alias("b"), F.col("n").alias("m"))).alias("hub"))
-    star = postings.join(center, "token").select(F.col("rep").alias("a"), "n", "hub.b", "hub.m")
+    # 3: every posting beside the most central class of its list; 4: pairs across components
+    short = postings.filter(F.col("position") <= F.col("n") - least_sql(percent))
+    center = short.groupBy("token").agg(F.min(F.struct("apart", F.col("rep").alias("b"), F.col("n").alias("m"))).alias("hub"))
+    star = short.join(center, "token").select(F.col("rep").alias("a"), "n", "hub.b", "hub.m")
     star = star.filter((F.col("a") != F.col("b")) & near_sizes(percent, "n", "m")).select("a", "b").distinct()
     links = stored(verify(star), "links")
     found = components(links, stored)
     labelled = postings.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed_lists = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    labelled = stored(labelled.join(mixed_lists, "token").select("token", "rep", "n", "position", "level", "root"), "labelled")
+    each_root = labelled.groupBy("token", "root").agg(F.count("*").alias("own"))
+    mixed_lists = each_root.groupBy("token").agg(F.sum("own").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
+    counted = each_root.join(mixed_lists, "token").select("token", "root", (F.col("all") - F.col("own")).alias("others"))
+    labelled = stored(labelled.join(counted, ["token", "root"]).select("token", "rep", "n", "position", "root", "others"), "labelled")
+    levels = labelled.groupBy("rep").agg(chosen_level(percent).alias("level"))
+    labelled = labelled.join(levels, "rep").filter(F.col("position") <= F.col("n") - least_sql(percent) + F.col("level") - 1)
     a = labelled.select("token", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "position", "level", "root")))
     b = labelled.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "position", "level", "root")))
     level = F.least("level_a", "level_b")
