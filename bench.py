@@ -27,6 +27,9 @@ REPEATS = 3
 
 
 def consume(frame):
+    """A build that writes its result itself returns nothing."""
+    if frame is None:
+        return
     frame.write.format("noop").mode("overwrite").save()
 
 
@@ -43,8 +46,16 @@ def timed(builds):
 
 
 def headline(spark, sf_dir):
+    """``incremental_landed`` is one run over the tenth day by high water; landing the rows and
+    storing nine days before it is not timed. Each further run redoes that day."""
     queries = catalog.queries()
-    return timed({name: lambda q=queries[name]: q(spark, sf_dir) for name in HEADLINE})
+    root, landed, lookups = catalog.landed_state(spark, sf_dir, "2025-10-09")
+
+    def one_day():
+        incremental.run_batch(spark, landed, lookups, root, model.CLIENTS)
+
+    builds = {name: lambda q=queries[name]: q(spark, sf_dir) for name in HEADLINE}
+    return timed(builds | {"incremental_landed": one_day})
 
 
 def at_scale(spark, sf_dir, rows):

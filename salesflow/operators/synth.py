@@ -38,6 +38,9 @@ BLOCK_DIGITS = 2
 
 MIN_SLICE_BITS, MAX_SLICE_BITS = 8, 28
 
+BROADCAST_BITS = 16
+"""Pieces number at most keys + 2**bits; up to these bits they are sent with a small lookup."""
+
 WEIGHT_SCALE = 1_000_000
 """Weights are whole numbers in this unit, so running sums are exact."""
 
@@ -102,7 +105,7 @@ def sample_weighted(rows: DataFrame, point: Column, intervals: DataFrame, key: s
     slices = F.sequence(F.shiftright("lo", shift), F.shiftright(F.col("hi") - 1, shift))
     pieces = intervals.filter("hi > lo").select(key, "lo", "hi", F.explode(slices).alias("_slice"))
     aimed = rows.withColumn("_point", point).withColumn("_slice", F.shiftright("_point", shift))
-    joined = aimed.join(F.broadcast(pieces) if small else pieces, "_slice")
+    joined = aimed.join(F.broadcast(pieces) if small and bits <= BROADCAST_BITS else pieces, "_slice")
     held = (F.col("_point") >= F.col("lo")) & (F.col("_point") < F.col("hi"))
     return joined.filter(held).drop("_slice", "_point", "lo", "hi")
 
