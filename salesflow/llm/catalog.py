@@ -21,4 +21,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_jaccard_join": op8_jaccard.SQL}

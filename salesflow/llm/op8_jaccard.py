@@ -46,7 +46,8 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def emitted_level(n: int, percent: int) -> int:
-    return max(1, n - least_overlap(n, percent))
+    """Matches asked for by the first filter: as many as keep its prefix below a third."""
+    return max(1, min(n - least_overlap(n, percent), n // 10))
 
 
 def required_level(n: int, percent: int) -> int:
@@ -166,7 +167,7 @@ def classes_and_links(docs: DataFrame, width: int, percent: int, stored: Stored)
     shared = first.select("rep", "n", "token").join(often, "token").groupBy("rep", "n").agg(F.count("*").alias("shared"))
     # required_level(), as SQL
     least = f"(({percent} * n + 99) div 100)"
-    required = F.greatest(F.lit(1), F.expr(f"{least} - ({percent} * {least} + 99) div 100"))
+    required = F.greatest(F.lit(1), F.expr(f"least({least} - ({percent} * {least} + 99) div 100, {least} div 10)"))
     left = shared.filter(F.col("shared") >= required).select("rep").distinct()
     left = stored(classes.select("rep", "digest").join(left, "rep"), "left")
     # 3: their whole sets, and prefixes by document frequency
@@ -228,6 +229,30 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), 3, 90, Stored(spark, "jaccard"))
 
 
+#: The same by an all-shingles join and a recursive walk over links, for small tables.
+SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+    WHERE 100 * both_have >= 90 * (p.n + q.n - both_have)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION SELECT edges.y, reached.root FROM reached JOIN edges ON edges.x = reached.doc_id)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
+FROM documents d JOIN reached USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id"""
+
+
 def one_of_each(docs: DataFrame, width: int, percent: int, stored: Stored) -> DataFrame:
     """The rows of ``docs``, all columns, without those of linked documents but the one of the
     smallest doc_id. Rows of one id stand or fall together, but only one of those that are

@@ -123,6 +123,16 @@ def test_jaccard_components_equal_brute_force(spark, frame, odd, width, percent)
         assert sorted(map(tuple, found.collect()), key=repr) == sorted(linked(pairs, width, percent), key=repr)
 
 
+def test_jaccard_query_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    found = op8_jaccard.op8_jaccard_join(spark, SMALL)
+    assert found.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(op8_jaccard.SQL).fetchall())
+
+
 def test_levels_stay_within_what_partners_emit():
     for percent in (80, 90):
         for n in range(1, 400):
