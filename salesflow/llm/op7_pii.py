@@ -6,8 +6,8 @@ score each from its format and the words before it. They are trained here, on ca
 of at most ``SAMPLE_DOCUMENTS`` documents, where the label is whether the span is a base
 finding; anchors of the base patterns that other writings lack (a plus sign, the kind of
 generator) are no features, so what looks like a finding in every other way scores high.
-The threshold is the smallest with a precision of ``PRECISION`` on the half of the sample
-that the trees did not see. The trees become one SQL expression: no Python touches a row,
+The threshold is the smallest from ``LEAST_SCORE`` on with a precision of ``PRECISION`` on
+the half of the sample that the trees did not see. The trees become one SQL expression: no Python touches a row,
 and nothing is shuffled but the sample.
 
 Spans are in code points, end exclusive. Null texts count as empty: no findings, and the
@@ -44,7 +44,7 @@ GENERATORS = [
 ]
 CONTEXT = 32
 SAMPLE_DOCUMENTS = 4000
-PRECISION = 0.98
+PRECISION, LEAST_SCORE = 0.98, 0.5
 TREES, DEPTH = 12, 3
 
 
@@ -197,7 +197,7 @@ def train(docs: DataFrame, documents_at_most: int = SAMPLE_DOCUMENTS) -> Trees |
         for row in bins:
             n, good = n + row["n"], good + row["good"]
             if good >= PRECISION * n:
-                model.threshold = row["bin"] / 100
+                model.threshold = max(LEAST_SCORE, row["bin"] / 100)
         return model
     finally:
         rows.unpersist()
