@@ -108,10 +108,11 @@ def _full_sets(width, batches):
 def chosen_level(percent: int):
     """The l of least estimated cost, as an aggregate over a class's postings with ``others``,
     the classes of other components in each list: rows to join, and candidates to verify,
-    which get fewer with the square of the matches asked for."""
-    options = []
+    which get fewer with the square of the matches asked for. Only positions count that a
+    partner of the same size would allow."""
+    options, overlap = [], F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}")
     for level in LEVELS:
-        rows = F.sum(F.when(F.col("position") <= F.col("n") - least_sql(percent) + (level - 1), F.col("others")).otherwise(0))
+        rows = F.sum(F.when(F.col("position") <= F.col("n") - overlap + (level - 1), F.col("others")).otherwise(0))
         cost = rows * (1 + VERIFY_COST / level**2)
         options.append(F.when((F.lit(level) == 1) | (F.first("n") >= 2 * level), F.struct(cost.alias("cost"), F.lit(level).alias("level"))))
     return F.array_min(F.array_compact(F.array(*options)))["level"]
