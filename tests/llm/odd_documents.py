@@ -1,3 +1,5 @@
+"""Fixtures of the tests here: imported by them, as a second conftest would hide the first."""
+
 import random
 
 import pytest

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from odd_documents import frame, odd  # noqa: F401
 
 import corpus_pipeline
 from salesflow.llm import op1_bpe, op2_repeats, op3_secrets, op8_jaccard, op9_quality, op10_packing

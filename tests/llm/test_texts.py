@@ -7,6 +7,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from odd_documents import frame, odd  # noqa: F401
 
 from salesflow.llm import op1_bpe, op3_secrets, op4_fingerprints, op5_tokens, op6_toxicity, op7_pii, op9_quality
 
