@@ -17,6 +17,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 CHUNK_CHARS = 4_000_000
 #: Words in a generation of a word cache; two generations bound a worker's memory.
 CACHE_WORDS = 250_000
+#: The same where a word's value is a hash, quickly computed again.
+HASHED_WORDS = 60_000
 #: Longer words are computed each time and never cached.
 CACHED_CHARS = 48
 

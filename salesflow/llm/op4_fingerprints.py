@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import CHUNK_CHARS, WordCache, documents, lowered_words, over_documents, shingles
+from salesflow.llm.common import CHUNK_CHARS, HASHED_WORDS, WordCache, documents, lowered_words, over_documents, shingles
 
 WIDTH = 5
 K = 128
@@ -32,7 +32,7 @@ FLUSH_KEYS = 20_000
 
 
 def word_hashes() -> WordCache:
-    return WordCache(xxhash.xxh3_64_intdigest)
+    return WordCache(xxhash.xxh3_64_intdigest, HASHED_WORDS)
 
 
 def sketch_of(text: str, hashes: WordCache, k: int = K) -> np.ndarray:

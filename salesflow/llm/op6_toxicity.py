@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import WordCache, documents, over_documents
+from salesflow.llm.common import HASHED_WORDS, WordCache, documents, over_documents
 
 BITS = 20
 FACTORS = 4
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     found = chosen.select("toxic", F.col("text").cast("string"))
 
     def featurize(batches):
-        buckets = WordCache(bucket)
+        buckets = WordCache(bucket, HASHED_WORDS)
         for batch in batches:
             sets = [terms(t.as_py() or "", buckets).astype("<i4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["toxic", "terms"])
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 
 def _scorer(sent):
-    model, buckets = sent.value, WordCache(bucket)
+    model, buckets = sent.value, WordCache(bucket, HASHED_WORDS)
 
     def one(text):
         if model is None:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import CHUNK_CHARS, Stored, WordCache, documents, lowered_words, release, shingles
+from salesflow.llm.common import CHUNK_CHARS, HASHED_WORDS, Stored, WordCache, documents, lowered_words, release, shingles
 from salesflow.llm.components import components
 
 #: What verifying a candidate costs, in rows of postings.
@@ -57,7 +57,7 @@ def required_level(n: int, percent: int) -> int:
 
 def _hashes() -> WordCache:
     release()
-    return WordCache(xxhash.xxh3_64_intdigest)
+    return WordCache(xxhash.xxh3_64_intdigest, HASHED_WORDS)
 
 
 def _sets(width, percent, batches):
