@@ -14,6 +14,9 @@ Each byte covered by a string of ``least`` bytes that also starts elsewhere goes
    finer key (the smallest hashes of both halves of a window), at last by the window itself,
    where equal keys are equal bytes and nothing is left to index. Nothing is dropped.
 
+The same steps find repeats by words instead of bytes (``unit`` WORDS): the elements are then
+64-bit hashes of the words, ``least`` counts words, and white space is not compared.
+
 Null texts count as empty. Rows are told apart by what they hold: two rows of equal id and
 text are two documents and repeat each other. Only doc_id and text are read (``remove``
 keeps all columns), so extra columns of any name do no harm. An empty table gives an
@@ -21,6 +24,7 @@ empty result.
 """
 
 import hashlib
+import re
 from functools import partial
 
 import numpy as np
@@ -33,8 +37,11 @@ from salesflow.llm.common import CHUNK_CHARS, Stored, documents, mixed, release
 from salesflow.llm.run_index import RunIndex, _words
 
 LEAST = 400
-#: Bytes of a k-gram: shared lines shorter than this never decide a key.
-GRAM = 96
+#: Bytes an element has: of texts as bytes, and as words.
+BYTES, WORDS = 1, 8
+#: Elements of a k-gram: shared lines shorter than this never decide a key.
+GRAM = {BYTES: 96, WORDS: 12}
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of segments in one index.
 SHARD_BYTES = 1_000_000
 #: Different segments of one key from which it is hot.
@@ -57,14 +64,26 @@ def version_of(raw: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64))
 
 
-def gram_hashes(raw: bytes) -> np.ndarray:
-    """A hash of the ``GRAM`` bytes from every position."""
+def elements(raw: bytes, unit: int) -> bytes:
+    """A text as a string of elements: itself, or the hashes of its words, below 2^63."""
+    if unit == BYTES:
+        return raw
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, raw.split()), np.uint64) >> np.uint64(1)).tobytes()
+
+
+def gram_hashes(raw: bytes, unit: int) -> np.ndarray:
+    """A hash of the ``GRAM`` elements from every position."""
+    if unit == WORDS:
+        h = np.frombuffer(raw, np.uint64)
+        for step in (1, 2):
+            h = mixed(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+        return mixed(h[:-8] * np.uint64(0xD6E8FEB86659FD93) + h[4:-4] * np.uint64(0xA0761D6478BD642F) + h[8:])
     h = _words(np.frombuffer(raw, np.uint8))
     for step in (8, 16):
         h = mixed(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
     # h now covers 32 bytes; its last entries reach past the end
     h = mixed(h[:-64] * np.uint64(0xD6E8FEB86659FD93) + h[32:-32] * np.uint64(0xA0761D6478BD642F) + h[64:])
-    return h[: max(0, len(raw) - GRAM + 1)]
+    return h[: max(0, len(raw) - GRAM[unit] + 1)]
 
 
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -82,33 +101,33 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
 
 
-def segments_of(raw: bytes, level: int, least: int) -> list[tuple[int, int, int, bytes, bool]]:
-    """(start, size, key, digest, own) of the segments of a text at a level of keys."""
-    if len(raw) < least:
+def segments_of(raw: bytes, level: int, least: int, unit: int = BYTES) -> list[tuple[int, int, int, bytes, bool]]:
+    """(start, size, key, digest, own) of the segments of a string of elements at a level of keys."""
+    n = len(raw) // unit - least + 1
+    if n < 1:
         return []
     if level == 2:
-        windows = [raw[i : i + least] for i in range(len(raw) - least + 1)]
+        windows = [raw[unit * i : unit * (i + least)] for i in range(n)]
         digests = [xxhash.xxh3_128_digest(w) for w in windows]
         return [(i, least, int.from_bytes(d[:8], "big", signed=True), d, False) for i, d in enumerate(digests)]
-    h = gram_hashes(raw)
-    n = len(raw) - least + 1
-    width = least - GRAM + 1
+    h = gram_hashes(raw, unit)
+    width = least - GRAM[unit] + 1
     keys = sliding_least(h, width)[:n]
     if level == 1:
-        half = least // 2 - GRAM + 1
+        half = least // 2 - GRAM[unit] + 1
         near = sliding_least(h, half)
         keys = mixed(near[:n] * np.uint64(0x9E3779B97F4A7C15) + mixed(near[least // 2 :][:n]) + keys)
     firsts, ends = runs(keys)
     found = []
     for a, b, key in zip(firsts.tolist(), ends.tolist(), keys[firsts].tolist()):
-        part = raw[a : b + least - 1]
+        part = raw[unit * a : unit * (b + least - 1)]
         # at the first level, a second place of the key is needed for a repeat within
         own = b - a > 1 and (level == 1 or int(np.count_nonzero(h[a : b + width - 1] == np.uint64(key))) > 1)
-        found.append((a, len(part), key - (1 << 64) if key >= 1 << 63 else key, xxhash.xxh3_128_digest(part), own))
+        found.append((a, len(part) // unit, key - (1 << 64) if key >= 1 << 63 else key, xxhash.xxh3_128_digest(part), own))
     return found
 
 
-def _segments(least, batches):
+def _segments(least, unit, batches):
     release()
     for batch in batches:
         ids, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
@@ -116,8 +135,9 @@ def _segments(least, batches):
             rows, size = [], 0
             while at < len(ids) and size < CHUNK_CHARS:
                 raw = (texts[at].as_py() or "").encode("utf-8", "surrogatepass")
-                version = version_of(raw) if len(raw) >= least else 0
-                rows += [(ids[at], version, *found) for found in segments_of(raw, 0, least)]
+                parts = elements(raw, unit)
+                version = version_of(raw) if len(parts) >= least * unit else 0
+                rows += [(ids[at], version, *found) for found in segments_of(parts, 0, least, unit)]
                 size += len(raw)
                 at += 1
             yield _batch(rows)
@@ -128,15 +148,17 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind, _) in zip(columns, SEGMENTS)], names=[n for n, _, _ in SEGMENTS])
 
 
-def _fetched(batches):
+def _fetched(unit, batches):
     """The bytes of each document's wanted places."""
     for batch in batches:
         rows = []
         for doc_id, version, places, text in zip(*(batch.column(i) for i in range(4))):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             if version_of(raw) == version.as_py():
+                parts = elements(raw, unit)
                 for p in places.as_py():
-                    rows.append((doc_id.as_py(), version.as_py(), p["start"], p["key"], p["hot"], raw[p["start"] : p["start"] + p["size"]]))
+                    part = parts[unit * p["start"] : unit * (p["start"] + p["size"])]
+                    rows.append((doc_id.as_py(), version.as_py(), p["start"], p["key"], p["hot"], part))
                 if len(rows) > 5_000:
                     yield _bytes_batch(rows)
                     rows = []
@@ -149,12 +171,12 @@ def _bytes_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "version", "start", "key", "hot", "bytes"])
 
 
-def _finer(least, level, batches):
+def _finer(least, unit, level, batches):
     """Segments of hot segments by the next level's key, joined with the key they had."""
     for batch in batches:
         rows = []
         for doc_id, version, start, key, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            for a, size, finer, digest, own in segments_of(raw, level, least):
+            for a, size, finer, digest, own in segments_of(raw, level, least, unit):
                 rows.append((doc_id, version, start + a, size, finer, digest, own))
             if len(rows) > 20_000:
                 yield _batch(rows)
@@ -162,13 +184,13 @@ def _finer(least, level, batches):
         yield _batch(rows)
 
 
-def _indexed(least, table):
-    """Long matches in one shard (an Arrow table): bytes (start, end) of documents."""
+def _indexed(least, unit, table):
+    """Long matches in one shard (an Arrow table): elements (start, end) of documents."""
     release()
     strings = table.column("bytes").to_pylist()
     ids, versions, starts = (table.column(c).to_pylist() for c in ("doc_id", "version", "start"))
     rows = []
-    for doc_id, version, start, found in zip(ids, versions, starts, RunIndex(strings).repeated(least)):
+    for doc_id, version, start, found in zip(ids, versions, starts, RunIndex(strings, unit).repeated(least)):
         if len(found):
             cut = np.flatnonzero(np.diff(found) > 1) + 1
             first, last = found[np.concatenate([[0], cut])], found[np.concatenate([cut - 1, [len(found) - 1]])]
@@ -177,10 +199,10 @@ def _indexed(least, table):
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "version", "start", "stop"])
 
 
-def repeated_spans(docs: DataFrame, stored: Stored, least: int = LEAST) -> DataFrame:
-    """(doc_id, version, start, stop): bytes to remove, spans of a document may overlap."""
+def repeated_spans(docs: DataFrame, stored: Stored, least: int = LEAST, unit: int = BYTES) -> DataFrame:
+    """(doc_id, version, start, stop, unit): elements to remove, spans of a document may overlap."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    segments = stored(rows.mapInArrow(partial(_segments, least), DDL), "segments")
+    segments = stored(rows.mapInArrow(partial(_segments, least, unit), DDL), "segments")
     spans, level = [], 0
     while True:
         one = F.min(F.struct("doc_id", "version", "start", "size", "own")).alias("one")
@@ -194,12 +216,12 @@ def repeated_spans(docs: DataFrame, stored: Stored, least: int = LEAST) -> DataF
             places = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "size", "key", "hot")).alias("places"))
             texts = rows.withColumnRenamed("doc_id", "id")
             found = places.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "version", "places", "text")
-            held = found.mapInArrow(_fetched, "doc_id long, version long, start long, key long, hot boolean, bytes binary")
+            held = found.mapInArrow(partial(_fetched, unit), "doc_id long, version long, start long, key long, hot boolean, bytes binary")
         else:
             # the bytes are in the hot segments of the level before; a place lies in one of them
-            inside = (F.col("w.start") >= F.col("h.start")) & (F.col("w.start") + F.col("w.size") <= F.col("h.start") + F.length("h.bytes"))
+            inside = (F.col("w.start") >= F.col("h.start")) & (F.col("w.start") + F.col("w.size") <= F.col("h.start") + F.length("h.bytes") / unit)
             same = F.col("w.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("w.version") == F.col("h.version"))
-            cut = F.substring(F.col("h.bytes"), (F.col("w.start") - F.col("h.start") + 1).cast("int"), F.col("w.size").cast("int"))
+            cut = F.substring(F.col("h.bytes"), (unit * (F.col("w.start") - F.col("h.start")) + 1).cast("int"), (unit * F.col("w.size")).cast("int"))
             held = wanted.alias("w").join(hot.alias("h"), same & inside)
             held = held.select("w.doc_id", "w.version", "w.start", "w.key", "w.hot", cut.alias("bytes")).dropDuplicates(["doc_id", "version", "start", "key"])
         held = stored(held, "held")
@@ -208,17 +230,17 @@ def repeated_spans(docs: DataFrame, stored: Stored, least: int = LEAST) -> DataF
         if total:
             shards = 1 + total // SHARD_BYTES
             sharded = ordinary.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-            spans.append(sharded.groupBy("shard").applyInArrow(lambda shard: _indexed(least, shard), "doc_id long, version long, start long, stop long"))
+            spans.append(sharded.groupBy("shard").applyInArrow(lambda shard: _indexed(least, unit, shard), "doc_id long, version long, start long, stop long"))
         hot = held.filter("hot")
         if hot.isEmpty():
             break
         level += 1
-        cut = hot.select("doc_id", "version", "start", "key", "bytes").mapInArrow(partial(_finer, least, level), DDL)
+        cut = hot.select("doc_id", "version", "start", "key", "bytes").mapInArrow(partial(_finer, least, unit, level), DDL)
         segments = stored(cut.dropDuplicates(["doc_id", "version", "start", "size"]), "finer")
     union = spans[0]
     for more in spans[1:]:
         union = union.unionByName(more)
-    return stored(union, "spans")
+    return stored(union.withColumn("unit", F.lit(unit)), "spans")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -232,6 +254,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _byte_spans(raw: bytes, spans: list[dict]) -> list[tuple[int, int]]:
+    """(start, stop) in bytes; of words from the start of the first to the end of the last."""
+    found = [(s["start"], s["stop"]) for s in spans if s["unit"] == BYTES]
+    if len(found) < len(spans):
+        at = [m.span() for m in _WORD.finditer(raw)]
+        found += [(at[s["start"]][0], at[s["stop"] - 1][1]) for s in spans if s["unit"] == WORDS]
+    return found
+
+
 def _kept(batches):
     kinds = [pa.int64()] * 4 + [pa.string(), pa.string()]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -240,7 +271,7 @@ def _kept(batches):
         for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             version = version_of(raw) if found else 0
-            spans = merged([(s["start"], s["stop"]) for s in found or () if s["version"] == version])
+            spans = merged(_byte_spans(raw, [s for s in found or () if s["version"] == version]))
             parts, end = [], 0
             for a, b in spans:
                 parts.append(raw[end:a])
@@ -254,7 +285,7 @@ def _kept(batches):
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """All columns of ``docs``, and the spans of each row's id (null: none)."""
-    each = spans.groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_list(F.struct("version", "start", "stop")).alias("_spans"))
+    each = spans.groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_list(F.struct("version", "start", "stop", "unit")).alias("_spans"))
     return docs.join(each, F.col("doc_id").eqNullSafe(F.col("_span_id")), "left").drop("_span_id")
 
 
@@ -266,9 +297,11 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return _with_spans(rows, spans).select("doc_id", "text", "_spans").mapInArrow(_kept, ddl)
 
 
-def remove(docs: DataFrame, stored: Stored, least: int = LEAST) -> DataFrame:
+def remove(docs: DataFrame, stored: Stored, least: int = LEAST, least_words: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated bytes removed from the text and
-    n_chars counted anew where it changed; rows of which nothing is left go."""
+    n_chars counted anew where it changed; rows of which nothing is left go. With
+    ``least_words``, what repeats so many words goes as well, of however few bytes, and so do
+    rows of which only white space is left."""
     schema = docs.schema
 
     def run(batches):
@@ -278,10 +311,13 @@ def remove(docs: DataFrame, stored: Stored, least: int = LEAST) -> DataFrame:
             kept = [row for part in _kept([found]) for row in part.column("kept").to_pylist()]
             texts = [old if new is None else new for old, new in zip(texts, kept)]
             out = batch.select(schema.names).set_column(schema.names.index("text"), "text", pa.array(texts, pa.string()))
-            yield out.filter(pa.array([new != "" for new in kept], pa.bool_()))
+            gone = [new is not None and not (new.strip(" \t\n\v\f\r") if least_words else new) for new in kept]
+            yield out.filter(pa.array([not g for g in gone], pa.bool_()))
 
     whole = docs.withColumn("text", F.col("text").cast("string"))
     spans = repeated_spans(docs, stored, least)
+    if least_words:
+        spans = spans.unionByName(repeated_spans(docs, stored, least_words, WORDS))
     rows = _with_spans(whole, spans).withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.col("text"), "_found": F.col("_spans")}).drop("_spans")
     out = rows.mapInArrow(run, whole.schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

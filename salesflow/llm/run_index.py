@@ -9,6 +9,8 @@ sample to sample then gives every suffix's matching statistics against the rest.
 
 import numpy as np
 
+from salesflow.llm.common import mixed
+
 SEPARATOR = b"\xff"
 
 
@@ -21,17 +23,25 @@ def _words(text: np.ndarray) -> np.ndarray:
     return word
 
 
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The same of 64-bit elements: a hash of the 8 from every position."""
+    padded = np.concatenate([text, np.zeros(8, np.uint64)])
+    total = np.zeros(len(text), np.uint64)
+    for i in range(8):
+        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + padded[i : i + len(text)])
+    return total
+
+
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and the rank of each, by prefix doubling over those not yet apart."""
     n = len(text)
-    word = _words(text)
+    word, width = (_words(text), 8) if text.dtype == np.uint8 else (text, 1)
     order = np.argsort(word, kind="stable")
     word = word[order]
     heads = np.concatenate([[True], word[1:] != word[:-1]])
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    width = 8
     while True:
         single = heads & np.concatenate([heads[1:], [True]])
         slots = np.flatnonzero(~single)
@@ -70,20 +80,22 @@ def _common(words: np.ndarray, text: np.ndarray, a: np.ndarray, b: np.ndarray) -
 
 
 class RunIndex:
-    """Index of ``strings``. A byte 0xFF follows each; UTF-8 has no such byte, so no match
-    crosses from one string to another."""
-
-    def __init__(self, strings: list[bytes]):
-        self.starts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])[:-1]
-        self.sizes = np.array([len(s) for s in strings])
-        text = np.frombuffer(SEPARATOR.join(strings) + SEPARATOR, np.uint8)
+    """Index of ``strings`` of bytes, or of 64-bit elements (``unit`` 8; all places and lengths
+    are then in elements). An element of bytes 0xFF follows each; UTF-8 has no such byte and
+    elements stay below 2^63, so no match crosses from one string to another."""
+
+    def __init__(self, strings: list[bytes], unit: int = 1):
+        self.sizes = np.array([len(s) // unit for s in strings])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)])[:-1]
+        separator = SEPARATOR * unit
+        text = np.frombuffer(separator.join(strings) + separator, np.uint8 if unit == 1 else np.uint64)
         n = len(text)
         order, rank = suffix_array(text)
-        transform = text[order - 1].astype(np.int16)
-        transform[rank[0]] = 256  # no byte before the whole text: a run of its own
-        change = transform[1:] != transform[:-1]
-        first, last = np.concatenate([[True], change]), np.concatenate([change, [True]])
-        words = _words(text)
+        transform = text[order - 1]
+        change = np.concatenate([[True], transform[1:] != transform[:-1], [True]])
+        change[rank[0] : rank[0] + 2] = True  # nothing is before the whole text: a run of its own
+        first, last = change[:-1], change[1:]
+        words = _words(text) if unit == 1 else _eights(text)
         self.runs = int(first.sum())
         self.n = n
         self.before = self._sampled(order, np.flatnonzero(first), -1, words, text)

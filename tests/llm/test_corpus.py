@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -97,6 +98,44 @@ def test_repeats_equal_brute_force(spark, frame, odd, monkeypatch, hot):
     assert texts == sorted(map(repr, kept))
 
 
+def removed_words(texts, least):
+    """What is left of each text without runs of ``least`` words that also start elsewhere."""
+    words = [list(re.finditer(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    windows = [[tuple(m[0] for m in found[i : i + least]) for i in range(len(found) - least + 1)] for found in words]
+    seen = Counter(w for one in windows for w in one)
+    out = []
+    for text, found, one in zip(texts, words, windows):
+        gone = np.zeros(len(text or ""), bool)
+        for i, w in enumerate(one):
+            if seen[w] > 1:
+                gone[found[i].start() : found[i + least - 1].end()] = True
+        out.append("".join(c for c, g in zip(text or "", gone) if not g))
+    return out
+
+
+@pytest.mark.parametrize("hot", [3000, 1])
+def test_pipeline_removes_passages_by_words(spark, frame, monkeypatch, hot):
+    monkeypatch.setattr(op2_repeats, "HOT_SEGMENTS", hot)
+    draw = random.Random(14)
+
+    def prose(n):
+        return " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(1, 9))) for _ in range(n))
+
+    around = [prose(180) for _ in range(12)]
+    passage = prose(55)
+    while len(passage) > 330:  # over 50 words, under 400 bytes
+        passage = prose(55)
+    texts = [f"{a[:300]} {passage} {a[300:]}" for a in around[:4]]
+    texts += [around[4] + " " + passage.replace(" ", "\n", 9), around[5] + " " + " ".join(passage.split()[:50]) + " end", passage.upper(), None, ""]
+    texts += [around[6] + " " + " ".join("xy" * 70), " ".join(around[7].split()[:60]), around[7], around[8]]
+    left = corpus_pipeline.suffix_array_dedup(spark, frame(list(enumerate(texts))), "")
+    expected = removed_words(texts, 51)
+    # 140 letters "x y x y" and the copied sixty words are under 400 bytes as well
+    kept = {i: t if t is None else e for i, (t, e) in enumerate(zip(texts, expected)) if not t or e.strip() or e == t}
+    assert 0 in kept and passage[20:300] not in kept[0]
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == kept
+
+
 # --- near duplicates ---
 
 
