@@ -3,16 +3,21 @@
 Base findings are three fixed patterns. Beside them, long unbroken strings are candidates;
 each is compressed after the code around it, with a dictionary of common identifiers, and
 its marginal bytes are measured. Text like what surrounds it, words and identifiers cost
-little; random key material costs its full entropy. A candidate is reported (kind
-``novel``) when it is incompressible, mixes kinds of characters, and stands in a sensitive
-context. Base findings always stay; a candidate inside one is not reported again.
+little; random key material costs its full entropy. What that comes to in bits depends on
+the alphabet, the length and the literals around, so the measure is random strings of the
+same alphabet and length in the same place. A candidate is reported (kind ``novel``) when it
+costs about what they cost and its letters do not read as words, or costs more than any
+alphabet does; mixes kinds of characters; and stands in a sensitive context. Base findings always stay; a candidate inside one is not reported again.
 
 Spans are in code points, end exclusive. Null texts count as empty: no findings, and the
 digest of the empty string. Repeated rows give repeated results. Only doc_id and text are
 read, so extra columns of any name do no harm.
 """
 
+import math
+import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -31,11 +36,18 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 # --- parameters of the method ---
 AROUND = 400
 SENSITIVE_BEFORE = 48
-#: Marginal bits a character from which a candidate is incompressible.
+#: Marginal bits a character from which a candidate is incompressible whatever it reads like.
 NOVEL_BITS = 6.5
+#: Share of its alphabet's bits that a candidate may cost less than random strings cost there.
+NOVEL_SLACK = 0.13
+CONTROLS = 4
+#: Mean bits that pairs of letters gain over random ones from which they read as words, and
+#: the least share of such pairs.
+WORD_BITS, WORD_PAIRS = 0.4, 0.35
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|credential|private.?key|bearer|authorization|signature|access.?key", re.I)
 _HAS = [re.compile(p) for p in ("[a-z]", "[A-Z]", "[0-9]", "[+/=]")]
+_LETTERS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 #: Common identifiers and words of configuration files and code.
 IDENTIFIERS = b"""
 import export from return function class public private protected static const final void string integer boolean
@@ -62,6 +74,44 @@ class Novelty:
         extra = len(self.compressor.compress(around + candidate.encode())) - alone
         return 8 * extra / len(candidate)
 
+    def novel(self, before: str, candidate: str, after: str) -> bool:
+        """Whether the candidate costs what random strings of its alphabet cost in its place."""
+        if self.bits(before, candidate, after) >= NOVEL_BITS:
+            return True
+        if reads_as_words(candidate):
+            return False
+        around = (after + "\n" + before).encode("utf-8", "replace")
+        letters, draw = alphabet(candidate), random.Random(candidate)
+        own = len(self.compressor.compress(around + candidate.encode()))
+        others = ("".join(draw.choices(letters, k=len(candidate))) for _ in range(CONTROLS))
+        least = min(len(self.compressor.compress(around + other.encode())) for other in others)
+        return 8 * (least - own) <= NOVEL_SLACK * math.log2(len(letters)) * len(candidate)
+
+
+def alphabet(candidate: str) -> str:
+    """All characters of the kinds that the candidate has; those of hexadecimal digits or of
+    base 32 if it has no others."""
+    last = 26 if re.search("[G-Zg-z]", candidate) else 6
+    digits = "0123456789" if re.search("[0189]", candidate) or re.search("[a-z]", candidate) and re.search("[A-Z]", candidate) else "234567"
+    kinds = ("abcdefghijklmnopqrstuvwxyz"[:last], "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[:last], digits)
+    return "".join(k for p, k in zip(_HAS, kinds) if p.search(candidate)) + "".join(sorted(set(candidate) & set("+/_=-")))
+
+
+def _pair_bits() -> dict[str, float]:
+    """Bits that a pair of letters gains over a random one, as often as identifiers have it."""
+    words = [w.lower() for w in _LETTERS.findall(IDENTIFIERS.decode()) if len(w) < 26]
+    pairs = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
+    firsts = Counter(p[0] for p in pairs.elements())
+    return {a + b: math.log2(26 * (pairs[a + b] + 0.3) / (firsts[a] + 0.3 * 26)) for a in map(chr, range(97, 123)) for b in map(chr, range(97, 123))}
+
+
+PAIR_BITS = _pair_bits()
+
+
+def reads_as_words(candidate: str) -> bool:
+    gains = [PAIR_BITS[w[i : i + 2].lower()] for w in _LETTERS.findall(candidate) for i in range(len(w) - 1)]
+    return len(gains) >= WORD_PAIRS * len(candidate) and sum(gains) > WORD_BITS * len(gains)
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end), by start, then kind."""
@@ -84,7 +134,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
             continue
         if sum(bool(p.search(m[0])) for p in _HAS) < 2:
             continue
-        if novelty.bits(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND]) >= NOVEL_BITS:
+        if novelty.novel(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND]):
             found.append((start, 3, end))
     return found
 

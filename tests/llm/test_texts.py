@@ -81,6 +81,27 @@ def test_secret_base_findings_and_novelty(frame, odd):
     assert kept[91]["text"] == dict(texts)[91] and kept[0]["text"] is None
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+def test_secrets_of_any_length_and_in_lists(letters):
+    draw, novelty, base = random.Random(21), op3_secrets.Novelty(), []
+
+    def key(n):
+        return "".join(draw.choices(letters, k=n))
+
+    prose = " ".join(draw.choice("the of harbour lantern morning quiet river and stone to window".split()) for _ in range(70))
+    for n in (20, 32, 64, 200, 400, 800, 2000):
+        for before, after in (("Authorization Bearer ", ""), (prose + " the secret ", " " + prose), (key(380) + "\nsecret ", "\n" + key(380))):
+            hit = 0
+            for _ in range(20):
+                text, at = before + (one := key(n)) + after, len(before)
+                hit += (at, 3, at + len(one)) in op3_secrets.novel_spans(text, base, novelty)
+            assert hit >= 18, (n, before[-20:], hit)
+    text = "".join(f"secret {key(24)}\n" for _ in range(12))
+    assert len(op3_secrets.novel_spans(text, base, novelty)) >= 11
+    for plain in ("ab3" * 40, "getElementById_addEventListener_2024", "client_secret_access_key_id_2", "placeholder/changeme/example/v2"):
+        assert op3_secrets.novel_spans(f"the secret value {plain} {prose}", base, novelty) == []
+
+
 def test_fingerprints_of_edited_texts(frame, odd):
     pairs = [(i, t) for i, t in odd]
     order = sorted(pairs, key=lambda p: (p[0] is None, -(p[0] or 0), (p[1] is not None, (p[1] or "").encode())))
