@@ -7,7 +7,8 @@ little; random key material costs its full entropy. What that comes to in bits d
 the alphabet, the length and the literals around, so the measure is random strings of the
 same alphabet and length in the same place. A candidate is reported (kind ``novel``) when it
 costs about what they cost and its letters do not read as words, or costs more than any
-alphabet does; mixes kinds of characters; and stands in a sensitive context. Base findings always stay; a candidate inside one is not reported again.
+alphabet does; mixes kinds of characters; and stands in a sensitive context, its own or
+that of a candidate it adjoins (lines of a key, parts of a token joined by dots). Base findings always stay; a candidate inside one is not reported again.
 
 Spans are in code points, end exclusive. Null texts count as empty: no findings, and the
 digest of the empty string. Repeated rows give repeated results. Only doc_id and text are
@@ -35,7 +36,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 # --- parameters of the method ---
 AROUND = 400
-SENSITIVE_BEFORE = 48
+#: Characters before and after a candidate that may make it sensitive.
+SENSITIVE_AROUND = 48
 #: Marginal bits a character from which a candidate is incompressible whatever it reads like.
 NOVEL_BITS = 6.5
 #: Share of its alphabet's bits that a candidate may cost less than random strings cost there.
@@ -48,6 +50,10 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|credential|private.?key|bearer|authorization|signature|access.?key", re.I)
 _HAS = [re.compile(p) for p in ("[a-z]", "[A-Z]", "[0-9]", "[+/=]")]
 _LETTERS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+#: Between candidates that share their context; a part of a dotted token may be short.
+_ADJOINS = re.compile(r"""[\s"'.,;+>#*|\\]{1,48}|\.[A-Za-z0-9_-]{1,19}\.""")
+#: Short pieces of a reported secret: a part between dots, the last line of a key.
+_SHORT_PIECE = re.compile(r"""\.([A-Za-z0-9_-]{1,19})(?=\.[A-Za-z0-9_-]{20})|(?:\\r|\\n|[\s"',;+>#*|\\])+([A-Za-z0-9+/_=]{1,19})(?=(?:\\r|\\n|[\s"',;+>#*|\\])*-----END)""")
 #: Common identifiers and words of configuration files and code.
 IDENTIFIERS = b"""
 import export from return function class public private protected static const final void string integer boolean
@@ -124,18 +130,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def sensitive_candidates(text: str) -> list[re.Match]:
+    """Candidates with a sensitive word near them or near one of those that they adjoin."""
+    found, group, near = [], [], False
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        if group and not _ADJOINS.fullmatch(text, group[-1].end(), start):
+            found += group if near else []
+            group, near = [], False
+        group.append(m)
+        near = near or bool(_SENSITIVE.search(text, max(0, start - SENSITIVE_AROUND), start) or _SENSITIVE.search(text, end, end + SENSITIVE_AROUND))
+    return found + (group if near else [])
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     found = []
-    for m in _CANDIDATE.finditer(text):
+    for m in sensitive_candidates(text):
         start, end = m.span()
         if any(s <= start and end <= e for s, _, e in base):
             continue
-        if not _SENSITIVE.search(text, max(0, start - SENSITIVE_BEFORE), start):
-            continue
         if sum(bool(p.search(m[0])) for p in _HAS) < 2:
             continue
         if novelty.novel(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND]):
             found.append((start, 3, end))
+            short = _SHORT_PIECE.match(text, end)
+            if short:
+                found.append((short.start(short.lastindex), 3, short.end(short.lastindex)))
     return found
 
 
