@@ -239,6 +239,31 @@ def test_quality_measures_and_verdict(frame, odd):
     assert sorted(repr(r["doc_id"]) for r in op9_quality.keep(docs, known).collect()) == kept
 
 
+@pytest.mark.parametrize("most", [1000, 1])
+def test_quality_judges_every_language(frame, monkeypatch, most):
+    monkeypatch.setattr(op9_quality, "MOST_LANGUAGES", most)
+    draw = random.Random(12)
+
+    def prose(n, words):
+        return " ".join(draw.choice(words) for _ in range(n)) + "."
+
+    latin = [a + b for a in ("ma", "ri", "tu", "sel", "vo") for b in ("n", "ra", "tel", "dis", "co", "mir", "e", "an", "ul", "st")]
+    greek = [w.translate(str.maketrans("aeioulmnrstvdc", "αειουλμνρστβδκ")) for w in latin]
+    large = frame([(k, prose(200, latin)) for k in range(1200)])
+    rare = frame([(2000, prose(200, latin))], "xx")
+    junk = frame([(3000 + k, " ".join(f"{draw.randrange(10**6)}###" for _ in range(300))) for k in range(3)], "yy")
+    loud = frame([(3500 + k, " ".join("".join(draw.choices("QXZ|", k=5)) for _ in range(300))) for k in range(2)], None)
+    other = frame([(2100 + k, prose(200, greek)) for k in range(3)], "el")
+    strange = frame([(3600, prose(150, greek)), (3601, " ".join(f"α{draw.randrange(10**6)}###" for _ in range(300)))], "zz")
+    docs = large.union(rare).union(junk).union(loud).union(other).union(strange).cache()
+    known = op9_quality.learn(docs)
+    rows = {r["doc_id"]: r for r in op9_quality.judge(docs, known).collect()}
+    assert all(r["class_distance"] is not None and r["word_distance"] is not None for r in rows.values())
+    kept = {i for i, r in rows.items() if r["kept"]}
+    assert {i for i in rows if i < 3000} <= kept and not kept & {3000, 3001, 3002, 3500, 3501, 3601}
+    assert {r["doc_id"] for r in op9_quality.keep(docs, known).collect()} == kept
+
+
 @pytest.mark.parametrize("p, q, far", [([1, 0], [0, 1], 1.0), ([1, 1], [2, 2], 0.0)])
 def test_divergence_bounds(p, q, far):
     assert abs(op9_quality.js_distance(np.array(p, float), np.array(q, float)) - far) < 1e-9
