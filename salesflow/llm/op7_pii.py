@@ -4,16 +4,19 @@ Base findings are four fixed patterns with their checks; they always stay. Gener
 high recall then propose spans of looser form, overlapping ones included. Boosted trees
 score each from its format and the words before it. They are trained here, on candidates
 of at most ``SAMPLE_DOCUMENTS`` documents, where the label is whether the span is a base
-finding; anchors of the base patterns that other writings lack (a plus sign, the kind of
-generator) are no features, so what looks like a finding in every other way scores high.
-The threshold is the smallest from ``LEAST_SCORE`` on with a precision of ``PRECISION`` on
-the half of the sample that the trees did not see. The trees become one SQL expression: no Python touches a row,
+finding or meets a rule for looser forms (``by_rule``: valid IBAN, valid IPv6, a number of 9
+to 15 digits after a word of contact, an obfuscated e-mail); anchors of the base patterns
+that other writings lack (a plus sign, the kind of generator) are no features, so what looks
+like a finding in every other way scores high. What meets a rule is reported at any score,
+so it does not depend on what the sample holds. The threshold is the smallest from
+``LEAST_SCORE`` on with a precision of ``PRECISION`` over all documents that the trees were
+not fitted on, counted in Spark. The trees become one SQL expression: no Python touches a row,
 and nothing is shuffled but the sample.
 
 Spans are in code points, end exclusive. Null texts count as empty: no findings, and the
 digest of the empty string. Repeated rows give repeated results. Only doc_id and text are
-read, so extra columns of any name do no harm. Without a finding in the sample, or an empty
-table, there are base findings alone.
+read, so extra columns of any name do no harm. Without a finding in the sample there are
+base findings and those of the rules alone.
 """
 
 from collections.abc import Callable
@@ -41,7 +44,13 @@ GENERATORS = [
     r"(?<![A-Za-z0-9])[+(]?[0-9][\x20().0-9-]{5,40}[0-9](?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?![A-Za-z0-9])",
     r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    # an IBAN whose last group is short; a shortened IPv6; an obfuscated e-mail before a full stop
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}\x20?[A-Z0-9]{1,3}(?![A-Za-z0-9])",
+    r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])",
+    _FROM.format("A-Za-z0-9._%+-") + r"\s?(?:@|[(\[]at[)\]])\s?[A-Za-z0-9-]++(?:(?:\.|\s?[(\[]dot[)\]]\s?)[A-Za-z0-9-]++)++",
 ]
+#: Cheap patterns of texts that a generator has to search.
+MAY = ["@|at[)\\]]", "[0-9][\\x20().0-9-]{5}", "[A-Z]{2}[0-9]{2}", ":[0-9A-Fa-f]{1,4}:", "[A-Z]{2}[0-9]{2}", "[0-9A-Fa-f]::[0-9A-Fa-f]", "(?:at|dot)[)\\]]"]
 CONTEXT = 32
 SAMPLE_DOCUMENTS = 4000
 PRECISION, LEAST_SCORE = 0.98, 0.5
@@ -117,8 +126,7 @@ def with_base(docs: DataFrame) -> DataFrame:
 def with_candidates(rows: DataFrame) -> DataFrame:
     """Adds ``candidates``: (start, stop, value, before) of what the generators propose."""
     text = F.col("text")
-    may = ["@|at[)\\]]", "[0-9][\\x20().0-9-]{5}", "[A-Z]{2}[0-9]{2}", ":[0-9A-Fa-f]{1,4}:"]
-    found = [located(text, pattern, cheap) for pattern, cheap in zip(GENERATORS, may)]
+    found = [located(text, pattern, cheap) for pattern, cheap in zip(GENERATORS, MAY)]
 
     def proposed(one: Column) -> Column:
         before = F.substring(text, F.greatest(F.lit(1), one["start"] - CONTEXT + 1), F.least(one["start"], F.lit(CONTEXT)))
@@ -128,6 +136,31 @@ def with_candidates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("candidates", F.transform("proposed", proposed)).drop("proposed")
 
 
+def valid_iban(value: Column) -> Column:
+    """The remainder by 97, first four characters last, letters as 10 to 35."""
+    plain = F.regexp_replace(value, " ", "")
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(turned), F.lit(1))), lambda i: F.ascii(F.substring(turned, i, F.lit(1))))
+    rest = F.aggregate(codes, F.lit(0), lambda r, c: F.when(c >= 65, (r * 100 + c - 55) % 97).otherwise((r * 10 + c - 48) % 97).cast("int"))
+    return F.when(plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), rest == 1).otherwise(F.lit(False))
+
+
+def valid_ipv6(value: Column) -> Column:
+    """Eight groups, or three to seven and one gap, with a digit."""
+    groups = F.regexp_count(value, F.lit("[0-9A-Fa-f]+"))
+    short = value.rlike("^[0-9A-Fa-f:]+$") & value.contains("::") & groups.between(3, 7) & value.rlike("[0-9]")
+    return value.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$") | short
+
+
+def by_rule(one: Column) -> Column:
+    """Whether a candidate is personal data in a looser form, by rules of that form."""
+    value, before = one["value"], one["before"]
+    number = value.rlike(r"^[+(]?[0-9][\x20().0-9-]+$") & ~value.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
+    phone = number & F.length(digits_of(value)).between(9, 15) & before.rlike(r"(?:phone|tel|call|fax|mobile|contact|whatsapp|sms)")
+    hidden = value.rlike(r"[(\[](?:at|dot)[)\]]") & value.rlike(r"(?:\.|dot[)\]]\s?)[A-Za-z]{2,24}$") & ~value.rlike(r"\s[.@]|[.@]\s")
+    return F.coalesce(valid_iban(value) | valid_ipv6(value) | phone | hidden, F.lit(False))
+
+
 def features(one: Column) -> list[Column]:
     """Format and context of a candidate, as numbers."""
     value, before = one["value"], one["before"]
@@ -137,6 +170,8 @@ def features(one: Column) -> list[Column]:
         valid_ip(value),
         F.when(n.between(12, 19), luhn(digits)).otherwise(F.lit(False)),
         value.rlike(r"(?:@|at[)\]]).*(?:\.|dot[)\]])\s?[A-Za-z]{2,}$"),
+        valid_iban(value),
+        valid_ipv6(value),
         before.rlike("phone|tel|call|fax|mobile|contact"),
         before.rlike("mail|write|contact"),
         before.rlike("card|visa|account|iban|payment"),
@@ -176,22 +211,29 @@ class Trees:
         return 1 / (1 + F.exp(-2 * margin))
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    """fit (a half of the documents by doc_id), label and features of every candidate."""
+    rows = with_candidates(with_base(docs)).withColumn("one", F.explode("candidates"))
+    is_base = F.exists("base", lambda span: (span["start"] == F.col("one.start")) & (span["stop"] == F.col("one.stop")))
+    label = (is_base | by_rule(F.col("one"))).cast("double").alias("label")
+    numbers = (x.alias(f"f{i}") for i, x in enumerate(features(F.col("one"))))
+    return rows.select((F.xxhash64("doc_id") % 2 == 0).alias("fit"), label, *numbers)
+
+
 def train(docs: DataFrame, documents_at_most: int = SAMPLE_DOCUMENTS) -> Trees | None:
-    """Trees and threshold from the candidates of the first documents by a hash of doc_id."""
+    """Trees from half of the first documents by a hash of doc_id, threshold from all others."""
     ids = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null").distinct()
-    ids = F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(documents_at_most))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    rows = with_candidates(with_base(sample)).withColumn("one", F.explode("candidates"))
-    is_base = F.exists("base", lambda span: (span["start"] == F.col("one.start")) & (span["stop"] == F.col("one.stop")))
-    of = features(F.col("one"))
-    names = [f"f{i}" for i in range(len(of))]
-    rows = rows.select((F.xxhash64("doc_id") % 2 == 0).alias("fit"), is_base.cast("double").alias("label"), *(x.alias(n) for x, n in zip(of, names)))
+    ids = ids.orderBy(F.xxhash64("id"), "id").limit(documents_at_most).filter(F.xxhash64("id") % 2 == 0).persist()
+    own = F.col("doc_id").cast("long") == F.col("id")
+    rows = _labelled(docs.join(F.broadcast(ids), own, "left_semi"))
+    names = rows.columns[2:]
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).persist()
     try:
-        if rows.filter("fit").agg(F.count_distinct("label")).first()[0] < 2:
+        if rows.agg(F.count_distinct("label")).first()[0] < 2:
             return None
-        model = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, subsamplingRate=1.0).fit(rows.filter("fit")))
-        scored = rows.filter("not fit").select("label", F.floor(model.score([F.col(n) for n in names]) * 100).alias("bin"))
+        model = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, subsamplingRate=1.0).fit(rows))
+        others = _labelled(docs.join(F.broadcast(ids), own, "left_anti"))
+        scored = others.select("label", F.floor(model.score([F.col(n) for n in names]) * 100).alias("bin"))
         bins = scored.groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).orderBy(F.desc("bin")).collect()
         n = good = 0
         for row in bins:
@@ -201,6 +243,7 @@ def train(docs: DataFrame, documents_at_most: int = SAMPLE_DOCUMENTS) -> Trees |
         return model
     finally:
         rows.unpersist()
+        ids.unpersist()
 
 
 def joined(spans: Column) -> Column:
@@ -210,25 +253,26 @@ def joined(spans: Column) -> Column:
 
 def find(docs: DataFrame, model: Trees | None) -> DataFrame:
     """doc_id, counts of the base kinds, base (their spans) and spans (all), both as text."""
-    rows = with_base(docs)
-    added = F.expr("array_repeat(named_struct('start', 0, 'kind', 0, 'stop', 0), 0)")
-    if model is not None:
-        rows = with_candidates(rows)
+    rows = with_candidates(with_base(docs))
+    none = F.expr("array_repeat(named_struct('start', 0, 'kind', 0, 'stop', 0), 0)")
+
+    def clear(one: Column) -> Column:
+        return ~F.exists("base", lambda span: (span["start"] < one["stop"]) & (one["start"] < span["stop"]))
 
-        def clear(one: Column) -> Column:
-            return ~F.exists("base", lambda span: (span["start"] < one["stop"]) & (one["start"] < span["stop"]))
+    def reported(one: Column) -> Column:
+        return by_rule(one) if model is None else by_rule(one) | (model.score(features(one)) >= model.threshold)
 
-        rows = rows.withColumn("open", F.filter("candidates", clear))
-        good = F.filter("open", lambda one: model.score(features(one)) >= model.threshold)
-        # of overlapping candidates the one that starts first stays, the longer one of two
-        order = F.array_sort(F.transform(good, lambda one: F.struct(one["start"].alias("start"), (-one["stop"]).alias("stop"))))
+    rows = rows.withColumn("open", F.filter("candidates", clear))
+    good = F.filter("open", reported)
+    # of overlapping candidates the one that starts first stays, the longer one of two
+    order = F.array_sort(F.transform(good, lambda one: F.struct(one["start"].alias("start"), (-one["stop"]).alias("stop"))))
 
-        def step(done: Column, one: Column) -> Column:
-            span = F.array(F.struct(one["start"].alias("start"), F.lit(4).alias("kind"), (-one["stop"]).alias("stop")))
-            free = one["start"] >= done["end"]
-            return F.struct(F.when(free, -one["stop"]).otherwise(done["end"]).alias("end"), F.when(free, F.concat(done["found"], span)).otherwise(done["found"]).alias("found"))
+    def step(done: Column, one: Column) -> Column:
+        span = F.array(F.struct(one["start"].alias("start"), F.lit(4).alias("kind"), (-one["stop"]).alias("stop")))
+        free = one["start"] >= done["end"]
+        return F.struct(F.when(free, -one["stop"]).otherwise(done["end"]).alias("end"), F.when(free, F.concat(done["found"], span)).otherwise(done["found"]).alias("found"))
 
-        added = F.aggregate(order, F.struct(F.lit(0).alias("end"), added.alias("found")), step, lambda done: done["found"])
+    added = F.aggregate(order, F.struct(F.lit(0).alias("end"), none.alias("found")), step, lambda done: done["found"])
     counts = [F.size(f"s_{name}").cast("long").alias(f"n_{name}") for name in KINDS[:4]]
     rows = rows.withColumn("all", F.array_sort(F.concat("base", added)))
     return rows.select("doc_id", *counts, joined(F.col("base")).alias("base"), joined(F.col("all")).alias("spans"))

@@ -209,6 +209,32 @@ def test_personal_data_base_findings(spark, frame, odd):
     assert spans[2] == ""
 
 
+def test_personal_data_of_every_generator(spark, frame):
+    """Also where the corpus holds many of such forms, and where none was learned."""
+    forms = [
+        "(234) 555-7777",
+        "joe.doe (at) example (dot) com",
+        "joe[at]example.org",
+        "DE89 3704 0044 0532 0130 00",
+        "GB29NWBK60161331926819",
+        "LU280019400644750000",
+        "2001:0db8:0000:0000:0000:ff00:0042:8329",
+        "2001:db8::ff00:42:8329",
+    ]
+    no = ["DE89 3704 0044 0532 0130 01", "std::vector::begin", "in 1999 we had 20 rooms", "12:30:45:10"]
+    texts = [f"please call our phone {form}. Then we went home" if k == 0 else f"the thing {form}. Then we went home" for k, form in enumerate(forms)]
+    pairs = list(enumerate([*texts, *(f"the thing {form}. Then" for form in no)]))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    many = docs.unionByName(frame([(10**6 + 100 * r + i, t) for r in range(30) for i, t in pairs]).select("doc_id", "text"))
+    for model in (None, op7_pii.train(many)):
+        found = {r["doc_id"]: r["spans"] for r in op7_pii.find(frame(pairs), model).collect()}
+        for k, form in enumerate(forms):
+            start = texts[k].index(form)
+            assert found[k] == f"like:{start}:{start + len(form)}"
+        if model is None:
+            assert {found[k] for k in range(len(forms), len(pairs))} == {""}
+
+
 def test_quality_measures_and_verdict(frame, odd):
     draw = random.Random(2)
     common = ["the", "of", "and", "to", "in", "is"]
