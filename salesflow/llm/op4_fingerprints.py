@@ -198,6 +198,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     found = rows.agg(F.percentile_approx("doc_id", shares, 10 * ranges + 1000).alias("at"), F.max("doc_id").alias("top")).first()
     bounds = sorted({*(found["at"] or []), found["top"]} - {None}) or [0]
     dealt = rows.mapInArrow(partial(_dealt, bounds), "place int, turn int, doc_id long, text string")
+    if found["top"] is None:  # no id is an edge: the first row by text follows the last
+        dealt = dealt.unionByName(rows.orderBy("text").limit(1).select(F.lit(0).alias("place"), F.lit(2).alias("turn"), "doc_id", "text"))
     ordered = dealt.repartition(len(bounds), "place").sortWithinPartitions("place", "turn", F.desc("doc_id"), "text")
     return ordered.mapInArrow(_beside_next, ", ".join(f"{name} {sql}" for name, _, sql in EDITED))
 

@@ -139,6 +139,13 @@ def test_fingerprints_of_edited_texts(frame, odd):
     assert one["near_next"] == 1.0
 
 
+def test_fingerprints_of_a_table_of_null_ids(frame):
+    assert op4_fingerprints.edited_likeness(frame([(None, "a b c d e f")])).first()["near_next"] == 1.0
+    found = op4_fingerprints.edited_likeness(frame([(None, "b" * 20), (None, "a" * 10), (None, None)]))
+    texts = ["", "a" * 5 + "b" * 5, "b" * 10]
+    assert sorted(r["edited_sha256"] for r in found.collect()) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts)
+
+
 def test_sketches_estimate_and_merge(spark):
     draw = random.Random(5)
     sets = [np.unique(np.array([draw.randrange(1 << 48) for _ in range(4000)], np.uint64)) for _ in range(2)]
