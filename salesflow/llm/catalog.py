@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from salesflow.llm import op1_bpe, op2_repeats, op3_secrets, op4_fingerprints, op5_tokens, op6_toxicity, op7_pii, op8_jaccard, op9_quality, op10_packing
+from salesflow.llm import op1_bpe, op2_repeats, op3_secrets, op4_fingerprints, op5_tokens, op6_toxicity, op7_pii, op8_jaccard, op9_quality, op10_packing, op11_quality, op12_divergence, op13_whitening
 
 
 def queries() -> dict[str, Callable]:
@@ -17,8 +17,11 @@ def queries() -> dict[str, Callable]:
         "op8_jaccard_join": op8_jaccard.op8_jaccard_join,
         "op9_quality_rules": op9_quality.op9_quality_rules,
         "op10_best_fit_packing": op10_packing.op10_best_fit_packing,
+        "op11_quality_classifier": op11_quality.op11_quality_classifier,
+        "op12_source_divergence": op12_divergence.op12_source_divergence,
+        "op13_embedding_whitening": op13_whitening.op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_jaccard_join": op8_jaccard.SQL}
+    return {"op8_jaccard_join": op8_jaccard.SQL, "op12_source_divergence": op12_divergence.SQL}
