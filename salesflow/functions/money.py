@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 UNITS = 10_000
 """Units of a dollar; the documented scale of revenue."""
 
-TOLERANCE = 0.01
-"""In units: what the nearest double of an exact amount may be off."""
+TOLERANCE = 4 * 2.0**-52
+"""What the nearest double of an exact amount may be off, as a share of it: a few last bits."""
 
 
 def to_units(usd: Column) -> Column:
     scaled = usd * UNITS
     whole = F.rint(scaled)
     finer = F.raise_error(F.lit(f"revenue finer than 1/{UNITS} of a dollar")).cast("long")
-    return F.when(F.abs(scaled - whole) > TOLERANCE, finer).otherwise(whole.cast("long"))
+    return F.when(F.abs(scaled - whole) > F.abs(scaled) * TOLERANCE, finer).otherwise(whole.cast("long"))
 
 
 def to_usd(units: Column) -> Column:

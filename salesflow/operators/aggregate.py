@@ -7,6 +7,7 @@ task.
 """
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +21,11 @@ from salesflow.sources.lookups import Lookups
 
 SUMS = ["_quantity", "_quantity_n", "_units", "_units_n", "_orders"]
 
+BASE = ["_rows_in", "_invalid_in", "_imputed_in"]
+"""Counters of rows before the joins: a lookup key that occurs twice must not count a row twice."""
+
+MISSES = ["_zip_misses", "_sku_misses"]
+
 
 def sales_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
     """Additive measures per ``(*by, *GROUP_KEYS)``, from cleaned transactions.
@@ -30,55 +36,121 @@ def sales_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) ->
     many categories, rows are first collapsed per SKU (``_by_sku``). Both give the
     same sums, also when a lookup key repeats.
     """
-    valid, measures = valid_zips(cleaned), _row_sums()
+    return _joined_sums(valid_zips(cleaned), lookups, by, Measures(SUMS, [], []))
+
+
+def counted_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
+    """``sales_sums``, and what the quality counters are sums of, from the same pass.
+
+    The counters are measures of the aggregation, so a task that is run again after a lost
+    executor does not count twice. Rows without a usable ZIP code form groups of their own, without
+    keys but ``by`` (``_valid`` false): one a client.
+    """
+    return _joined_sums(cleaned, lookups, by, Measures([*SUMS, *MISSES], BASE, ["_valid"]))
+
+
+@dataclass(frozen=True)
+class Measures:
+    """What is summed: ``joined`` counts every joined row, ``base`` every row before the joins.
+    ``keys`` are further grouping keys."""
+
+    joined: list[str]
+    base: list[str]
+    keys: list[str]
+
+    @property
+    def counting(self) -> bool:
+        return bool(self.base)
+
+
+def _joined_sums(rows: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures) -> DataFrame:
+    rows = rows.select(*by, "transaction_date", "maturity_date", "sku_id", "zip_code", *[c.alias(n) for n, c in _measures(of).items()])
+    if of.counting:
+        rows = rows.withColumn("_valid", F.col("_rows_in") > F.col("_invalid_in"))
     if not lookups.zip_small:
         # collapsed before the rows are shuffled on their code: a hot code is gone by then
-        keys = [*by, "transaction_date", "maturity_date", "sku_id", "zip_code"]
-        valid = valid.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
-        measures = {name: F.sum(name) for name in SUMS}
-    localized = valid.transform(enrich_zip, lookups.zip_side()).transform(local_flag)
+        rows = _collapsed(rows, [*by, "transaction_date", "maturity_date", "sku_id", "zip_code", *of.keys], of)
+    zips = lookups.zip_side(_numbered_rows(lookups.zip, "zip_code") if of.counting else None)
+    rows = rows.transform(enrich_zip, zips).transform(local_flag).transform(_after_join, "_zip", of)
     if lookups.sku_small and lookups.few_categories:
-        return _direct(localized, lookups, by, measures)
-    return _by_sku(localized, lookups, by, measures)
+        return _direct(rows, lookups, by, of)
+    return _by_sku(rows, lookups, by, of)
 
 
-def _direct(localized: DataFrame, lookups: Lookups, by: Sequence[str], measures: dict[str, Column]) -> DataFrame:
+def _direct(localized: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures) -> DataFrame:
     """Join and aggregate inside the scan stage; one exchange, of partial sums."""
     numbers = F.broadcast(category_numbers(lookups.sku))
     sku = lookups.sku.withColumn("category", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)))
-    numbered = lookups.sku_side(sku.join(numbers, "category").drop("category"))
-    sums = (
-        localized.join(numbered, "sku_id", "left")
-        .withColumns(
-            {
-                "sku_group": F.coalesce("sku_group", F.lit(UNKNOWN_GROUP)),
-                "is_high_priority": F.coalesce("is_high_priority", F.lit(False)),
-                "_category": F.coalesce("_category", F.lit(0)),
-            }
-        )
-        .groupBy(*by, *GROUP_KEYS)
-        .agg(
-            F.min("_category").alias("_category"),
-            F.max("is_high_priority").alias("is_high_priority"),
-            *[c.alias(n) for n, c in measures.items()],
-        )
+    sku = sku.join(numbers, "category").drop("category")
+    numbered = lookups.sku_side(_numbered_rows(sku, "sku_id") if of.counting else sku)
+    joined = localized.join(numbered, "sku_id", "left").withColumns(
+        {
+            "_sku_lookup_miss_flag": F.col("sku_group").isNull().cast("long"),
+            "sku_group": F.coalesce("sku_group", F.lit(UNKNOWN_GROUP)),
+            "is_high_priority": F.coalesce("is_high_priority", F.lit(False)),
+            "_category": F.coalesce("_category", F.lit(0)),
+        }
     )
+    sums = _grouped(joined.transform(_after_join, "_sku", of), by, of, F.min("_category").alias("_category"))
     return sums.join(numbers, "_category", "left").drop("_category")
 
 
-def _by_sku(localized: DataFrame, lookups: Lookups, by: Sequence[str], measures: dict[str, Column]) -> DataFrame:
+def _by_sku(localized: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures) -> DataFrame:
     """Collapse to one row per SKU, day, maturity and locality; only those rows go
     to the SKU join, so a hot SKU is gone before anything is shuffled on it."""
-    keys = [*by, "transaction_date", "maturity_date", "sku_id", "local"]
-    per_sku = localized.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
-    return (
-        per_sku.transform(enrich_sku, lookups.sku_side())
-        .groupBy(*by, *GROUP_KEYS)
-        .agg(
-            F.min("category").alias("category"),
-            F.max("is_high_priority").alias("is_high_priority"),
-            *[F.sum(name).alias(name) for name in SUMS],
-        )
+    per_sku = _collapsed(localized, [*by, "transaction_date", "maturity_date", "sku_id", "local", *of.keys], of)
+    skus = lookups.sku_side(_numbered_rows(lookups.sku, "sku_id") if of.counting else None)
+    joined = per_sku.transform(enrich_sku, skus).transform(_after_join, "_sku", of)
+    return _grouped(joined, by, of, F.min("category").alias("category"))
+
+
+def _measures(of: Measures) -> dict[str, Column]:
+    """The measures of one row; a sum of no value stays null."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    known = {
+        "_quantity": F.col("quantity_sold"),
+        "_quantity_n": F.col("quantity_sold").isNotNull().cast("long"),
+        "_units": to_units(F.col("revenue_usd")),
+        "_units_n": F.col("revenue_usd").isNotNull().cast("long"),
+        "_orders": one,
+        "_rows_in": one,
+        "_invalid_in": F.col("_zip_invalid_flag").cast("long") if of.counting else none,
+        "_imputed_in": F.col("_maturity_imputed_flag").cast("long") if of.counting else none,
+        "_zip_misses": none,
+        "_sku_misses": none,
+    }
+    return {name: known[name] for name in [*of.joined, *of.base]}
+
+
+def _collapsed(rows: DataFrame, keys: list[str], of: Measures) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in [*of.joined, *of.base]])
+
+
+def _numbered_rows(lookup: DataFrame, key: str) -> DataFrame:
+    """The lookup with ``_first``: 1 in one row of each key, 0 in its repetitions."""
+    others = [c for c in lookup.columns if c != key]
+    place = F.row_number().over(W.partitionBy(key).orderBy(*others))
+    return lookup.withColumn("_first", (place == 1).cast("long"))
+
+
+def _after_join(rows: DataFrame, side: str, of: Measures) -> DataFrame:
+    """Count the misses of a join, and each row before it once."""
+    if not of.counting:
+        return rows
+    weight = F.coalesce("_first", F.lit(1).cast("long"))
+    changed = {name: F.col(name) * weight for name in of.base}
+    changed[f"{side}_misses"] = F.col(f"{side}_lookup_miss_flag") * F.col("_orders")
+    return rows.withColumns(changed).drop("_first")
+
+
+def _grouped(joined: DataFrame, by: Sequence[str], of: Measures, category: Column) -> DataFrame:
+    keys = list(GROUP_KEYS)
+    if of.counting:
+        joined = joined.withColumns({k: F.when(F.col("_valid"), F.col(k)) for k in keys})
+    return joined.groupBy(*by, *keys, *of.keys).agg(
+        category,
+        F.max("is_high_priority").alias("is_high_priority"),
+        *[F.sum(name).alias(name) for name in [*of.joined, *of.base]],
     )
 
 
@@ -118,6 +190,20 @@ def sales_aggregate(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()
     return finish(sales_sums(cleaned, lookups, by))
 
 
+def split_counted(sums: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of stored ``counted_sums``: the sales aggregate, and the one-row quality record (zeros when
+    there was no row)."""
+    counters = [*MISSES, *BASE]
+    sales = finish(sums.filter("_valid").drop("_valid", *counters))
+    of_valid = {"rows_after_join": "_orders", "zip_lookup_miss": "_zip_misses", "sku_lookup_miss": "_sku_misses"}
+    of_all = {"rows_input": "_rows_in", "invalid_zip_dropped": "_invalid_in", "maturity_imputed": "_imputed_in"}
+    zero = F.lit(0).cast("long")
+    return sales, sums.agg(
+        *[F.coalesce(F.sum(c), zero).alias(n) for n, c in of_all.items()],
+        *[F.coalesce(F.sum(F.when(F.col("_valid"), F.col(c))), zero).alias(n) for n, c in of_valid.items()],
+    )
+
+
 def daily_totals(txn: DataFrame) -> DataFrame:
     """Per day: quantity, revenue, mean revenue and the number of rows."""
     return txn.groupBy("transaction_date").agg(*_totals(), F.count(F.lit(1)).alias("order_count"))
@@ -161,16 +247,6 @@ def sku_concentration(txn: DataFrame, top_share: float = 0.2) -> DataFrame:
     ).withColumn("top_share", per(F.col("top_weight"), F.col("total_weight")))
 
 
-def _row_sums() -> dict[str, Column]:
-    return {
-        "_quantity": F.sum("quantity_sold"),
-        "_quantity_n": F.count("quantity_sold"),
-        "_units": F.sum(to_units(F.col("revenue_usd"))),
-        "_units_n": F.count("revenue_usd"),
-        "_orders": F.count(F.lit(1)),
-    }
-
-
 def _totals() -> list[Column]:
     units = F.sum(to_units(F.col("revenue_usd")))
     return [

@@ -36,6 +36,10 @@ START_DATE = "2025-10-01"
 BLOCK_DIGITS = 2
 """Hex digits that name a block of the two-level running sum: 256 blocks."""
 
+LINE_BITS = 62
+"""The line of weights is so many bits long: two lanes of a digest name a point. A key with the
+smallest weight still has a piece of it while all weights together are under 2**52 units."""
+
 MIN_SLICE_BITS, MAX_SLICE_BITS = 8, 28
 
 BROADCAST_BITS = 16
@@ -63,7 +67,7 @@ def zip_weights(zips: DataFrame) -> DataFrame:
 
 
 def weight_intervals(weighted: DataFrame, key: str) -> DataFrame:
-    """Adjoining pieces ``[lo, hi)`` of the line ``[0, 2**32)``, one per key, as
+    """Adjoining pieces ``[lo, hi)`` of the line ``[0, 2**LINE_BITS)``, one per key, as
     wide as the key's share of all weight.
 
     The running sum has two levels: within blocks, and over one row per block.
@@ -101,7 +105,7 @@ def sample_weighted(rows: DataFrame, point: Column, intervals: DataFrame, key: s
     so no slice is hot however skewed the weights are, and a row meets about
     1 + keys / 2**bits pieces, of which exactly one holds it.
     """
-    shift = LANE_BITS - bits
+    shift = LINE_BITS - bits
     slices = F.sequence(F.shiftright("lo", shift), F.shiftright(F.col("hi") - 1, shift))
     pieces = intervals.filter("hi > lo").select(key, "lo", "hi", F.explode(slices).alias("_slice"))
     aimed = rows.withColumn("_point", point).withColumn("_slice", F.shiftright("_point", shift))
@@ -113,7 +117,12 @@ def sample_weighted(rows: DataFrame, point: Column, intervals: DataFrame, key: s
 def _cut(weight: Column) -> Column:
     """A running weight's place on the line. Monotone, and the full weight lands
     exactly on the end: scaling by a power of two does not round."""
-    return F.floor(weight.cast("double") * F.lit(2.0**LANE_BITS) / F.col("_end").cast("double"))
+    return F.floor(weight.cast("double") * F.lit(2.0**LINE_BITS) / F.col("_end").cast("double"))
+
+
+def point(digested: Column, index: int) -> Column:
+    """A whole number on the line, from two neighbouring lanes."""
+    return lane(digested, index) * F.lit(1 << (LINE_BITS - LANE_BITS)) + F.shiftright(lane(digested, index + 1), 2 * LANE_BITS - LINE_BITS)
 
 
 def noisy_zip(code: Column, shape: Column, extra: Column) -> Column:
@@ -175,7 +184,8 @@ def transactions(
         digest(row, f"{seed}-picks").alias("_picks"),
     )
     intervals = weight_intervals(sku_weights(lookups.sku), "sku_id")
-    with_sku = sample_weighted(based, lane(F.col("_picks"), 0), intervals, "sku_id", bits, lookups.sku_small)
+    place = point(digest(row, f"{seed}-places"), 0)
+    with_sku = sample_weighted(based, place, intervals, "sku_id", bits, lookups.sku_small)
     return with_sku.transform(with_noisy_zip, lookups, bits, seed).select(
         F.concat(F.lit("TXN_"), _padded(row, 10)).alias("transaction_id"),
         F.col("_day").cast("string").alias("transaction_date"),
@@ -191,8 +201,8 @@ def with_noisy_zip(ids: DataFrame, lookups: Lookups, bits: int, seed: str = "txn
     """Add a weighted ``zip_code`` and its dirty form ``zip_code_raw``."""
     row = F.col("id")
     intervals = weight_intervals(zip_weights(lookups.zip), "zip_code")
-    point = lane(digest(row, f"{seed}-picks"), 3)
-    picked = sample_weighted(ids, point, intervals, "zip_code", bits, lookups.zip_small)
+    place = point(digest(row, f"{seed}-places"), 2)
+    picked = sample_weighted(ids, place, intervals, "zip_code", bits, lookups.zip_small)
     noise = digest(row, f"{seed}-noise")
     return picked.withColumn("zip_code_raw", noisy_zip(F.col("zip_code"), uniform(noise, 0), uniform(noise, 1)))
 

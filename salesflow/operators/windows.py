@@ -3,7 +3,7 @@
 Both read ``_units`` of the sales aggregate, so ties and shares are exact. Input
 is already aggregated: one day and locality holds at most (maturity dates x SKU
 groups) rows. ``wide`` serves lookups with so many groups that even this is too
-much for one task; it gives the same numbers.
+much for one task; it gives the same numbers from ranges of the order (``_ranged``).
 """
 
 from collections.abc import Sequence
@@ -13,8 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salesflow.functions import per
+from salesflow.session import Scratch
 
-SPLITS = 64
+BROADCAST_RANGES = 100_000
+"""Most (day, range) rows sent to every executor; more are joined by shuffle, with the same ranks."""
+
+RANGE_BITS = 33
+"""The bits of ``monotonically_increasing_id`` below the number of the partition."""
 
 
 def revenue_share(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -27,41 +32,51 @@ def revenue_rank(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sales.withColumn("revenue_rank", F.dense_rank().over(best_first).cast("long"))
 
 
-def share_and_rank(sales: DataFrame, by: Sequence[str] = (), wide: bool = False) -> DataFrame:
-    """Both columns, from one exchange (or from the split form when ``wide``)."""
+def share_and_rank(sales: DataFrame, by: Sequence[str] = (), wide: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """Both columns, from one exchange (or by ranges when ``wide``, which stores ``sales`` once
+    in ``scratch`` and reads it from there)."""
     if wide:
-        return _split_share_and_rank(sales, by)
+        return _ranged(sales, by, scratch or Scratch(sales.sparkSession))
     return sales.transform(revenue_share, by).transform(revenue_rank, by)
 
 
-def _split_share_and_rank(sales: DataFrame, by: Sequence[str], splits: int = SPLITS) -> DataFrame:
-    """Rank each day in ``splits`` value ranges at once.
+def _ranged(sales: DataFrame, by: Sequence[str], scratch: Scratch) -> DataFrame:
+    """The different values of all days are put into one order by ranges, so that a day is spread
+    over as many tasks as its values fill. A value's place in its range is a number of the stored
+    row; what comes before the range in its day is counted from one row per day and range.
 
-    The rank of a value is the number of different higher values plus one: those
-    of the higher ranges, counted per range, plus those within its own range.
-    Approximate cut points only balance the ranges; any cuts give exact ranks.
+    Ranges are chosen by sampling, which may come out differently when it is done again. So
+    the order is stored, and both uses read the same one.
     """
     day = _day(by)
-    values = sales.groupBy(*day, "_units").agg(F.count(F.lit(1)).alias("_rows"))
-    cut_at = [i / splits for i in range(1, splits)]
-    days = values.groupBy(*day).agg(
-        F.sum(F.col("_units") * F.col("_rows")).alias("_day_units"),
-        F.percentile_approx("_units", cut_at).alias("_cuts"),
+    order = [*[F.col(c) for c in day], F.desc("_units")]
+    stored = scratch(sales, "aggregate")
+    values = stored.groupBy(*day, "_units").agg(F.count(F.lit(1)).alias("_rows"))
+    ordered = values.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = scratch(ordered.withColumn("_at", F.monotonically_increasing_id()), "values")
+    placed = placed.withColumn("_range", F.shiftright("_at", RANGE_BITS))
+    per_range = placed.groupBy(*day, "_range").agg(
+        F.min("_at").alias("_first"),
+        F.count(F.lit(1)).alias("_values"),
+        F.sum(F.col("_units") * F.col("_rows")).alias("_range_units"),
+    )
+    of_day = W.partitionBy(*day)
+    before = of_day.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = scratch(
+        per_range.select(
+            *day,
+            "_range",
+            (F.coalesce(F.sum("_values").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"),
+            F.sum("_range_units").over(of_day).alias("_day_units"),
+        ),
+        "ranges",
     )
-    ranged = _same_day(values, days, day).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("_units")))
+    if ranges.count() <= BROADCAST_RANGES:
+        ranges = F.broadcast(ranges)
+    ranks = _same_day(placed, ranges, [*day, "_range"]).select(
+        *day, "_units", "_day_units", (F.col("_at") + F.col("_offset")).alias("revenue_rank")
     )
-    per_range = ranged.groupBy(*day, "_range").agg(F.count(F.lit(1)).alias("_values"))
-    higher = W.partitionBy(*day).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_range.withColumn("_higher", F.coalesce(F.sum("_values").over(higher), F.lit(0)))
-    within = W.partitionBy(*day, "_range").orderBy(F.desc("_units"))
-    ranks = _same_day(
-        ranged.withColumn("_within", F.row_number().over(within)).drop("_cuts", "_rows"),
-        offsets.select(*day, "_range", "_higher"),
-        [*day, "_range"],
-    ).withColumn("revenue_rank", F.col("_higher") + F.col("_within"))
-    found = ranks.select(*day, "_units", "_day_units", "revenue_rank")
-    return _same_day(sales, found, [*day, "_units"]).transform(_share)
+    return _same_day(stored, ranks, [*day, "_units"]).transform(_share)
 
 
 def _share(sales: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ from salesflow.plans.incremental import replay, run_batch
 from salesflow.plans.pipeline import text_dates
 from salesflow.schemas import GROUP_KEYS, STATE_KEYS, TRANSACTIONS
 from salesflow.session import workspace
+from salesflow.sources import archive
 from salesflow.sources import driver_tables as model
 from salesflow.sources.export import write_csv
-from salesflow.sources.landing import land, read_landing
+from salesflow.sources.landing import land, landed_days, read_landing
 from salesflow.sources.lookups import Lookups
 from salesflow.sources.tables import read_transactions
 
@@ -57,8 +58,8 @@ def zip_lookup(spark, sf):
 
 
 def date_filter_gt(spark, sf):
-    flat = model.lines_only(spark, sf).select("transaction_id", "transaction_date", "sku_id", "quantity_sold")
-    return clean.after_date(flat, model.FILTER_DATE)
+    lines = model.lines_only(spark, sf, after=model.FILTER_DATE)
+    return clean.after_date(lines.select("transaction_id", "transaction_date", "sku_id", "quantity_sold"), model.FILTER_DATE)
 
 
 def date_filter_sql(spark, sf):
@@ -144,6 +145,11 @@ def quality_report(spark, sf):
     return quality.quality_report(_cleaned(spark, sf), model.lookups(spark, sf))
 
 
+def quality_one_pass(spark, sf):
+    """The same counters as measures of the full pipeline's own aggregation."""
+    return pipeline.run(model.transactions(spark, sf), model.lookups(spark, sf)).quality
+
+
 # --- aggregates and windows ---
 
 
@@ -217,6 +223,11 @@ def top5_latest_day(spark, sf):
     return text_dates(topk.top_latest_day(_sales(spark, sf)))
 
 
+def top5_one_pass(spark, sf):
+    """From what a run stored, in the forms for lookups that are not broadcast."""
+    return text_dates(pipeline.run(model.transactions(spark, sf), _unmeasured(spark, sf)).top_slice)
+
+
 def top5_report(spark, sf):
     return text_dates(topk.top_report(topk.top_latest_day(_sales(spark, sf))))
 
@@ -233,6 +244,23 @@ def locality_summary(spark, sf):
     return summary.withColumns(means)
 
 
+# --- archives ---
+
+
+def archive_roundtrip(spark, sf):
+    """Cumulative snapshots of the last two days as zipped archives, found by name; of all of
+    them only the newest one of each client is opened."""
+    root = f"{workspace(spark, 'salesflow-archives')}/archives"
+    txn = model.transactions(spark, sf)
+    days = F.explode(F.array(*[F.lit(n) for n in (model.NUM_DAYS - 1, model.NUM_DAYS)]))
+    first = F.lit(model.START_DATE).cast("date")
+    snapshots_of = txn.withColumn("snapshot_day", days).filter(
+        F.col("transaction_date").cast("date") < F.date_add(first, F.col("snapshot_day"))
+    )
+    archive.write_archives(snapshots_of, root)
+    return archive.read_archives(spark, root).filter(F.col("snapshot_day") == model.NUM_DAYS)
+
+
 # --- state and incremental runs ---
 
 
@@ -243,7 +271,7 @@ def state_projection(spark, sf):
 def last_processed_date(spark, sf):
     path = f"{workspace(spark, 'salesflow-high-water')}/processed_sales_v1"
     states.write_days(states.to_state(_sales(spark, sf, by=CLIENT)), path)
-    return states.high_water(states.read_state(spark, path))
+    return states.marks(spark, path)
 
 
 def incremental_batch(spark, sf):
@@ -259,14 +287,14 @@ def state_after_replay(spark, sf):
     landed = read_landing(spark, f"{root}/landing")
     first = F.lit(model.START_DATE).cast("date")
     days = [r[0] for r in spark.range(model.NUM_DAYS).select(F.date_add(first, F.col("id").cast("int")).cast("string")).collect()]
-    path = replay(spark, landed, model.lookups(spark, sf), root, model.CLIENTS, days)
+    path = replay(spark, landed, model.lookups(spark, sf), root, model.CLIENTS, days, landed=landed_days(spark, f"{root}/landing"))
     return states.read_state(spark, path)
 
 
 def incremental_landed(spark, sf):
     """One more day: landed rows, nine days stored, then a run over the tenth by high water."""
     root, landed, lookups = landed_state(spark, sf, "2025-10-09")
-    run_batch(spark, landed, lookups, root, model.CLIENTS)
+    run_batch(spark, landed, lookups, root, model.CLIENTS, landed=landed_days(spark, f"{root}/landing"))
     return states.read_state(spark, states.state_path(spark, root))
 
 
@@ -369,6 +397,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         parity_summary, parity_diff, synth_transactions, synth_zip_noise, synth_maturity,
         csv_scan_typed, full_pipeline_large, revenue_rank_large, csv_sink_roundtrip, max_date, parity_head,
         incremental_landed, changed_replay, state_rebuild_client, state_schema_drift,
+        quality_one_pass, top5_one_pass, archive_roundtrip,
     ]
     return {query.__name__: query for query in listed}
 

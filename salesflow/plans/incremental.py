@@ -19,13 +19,11 @@ days.
 
 import logging
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
-from functools import reduce
-from operator import or_
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +31,8 @@ from salesflow.functions import to_units
 from salesflow.operators.parity import parity_diff, parity_head, parity_summary
 from salesflow.operators.snapshots import snapshot
 from salesflow.plans.pipeline import sales
-from salesflow.plans.state import clear_days, high_water, read_state, state_path, to_state, write_days
+from salesflow.plans.ledger import KEYS, Ledger
+from salesflow.plans.state import day_counts, days_since, marks, state_path, stored_days, to_state, write_days
 from salesflow.schemas import STATE_KEYS, TRANSACTIONS
 from salesflow.sources.lookups import Lookups
 
@@ -42,43 +41,60 @@ log = logging.getLogger(__name__)
 MODES = ("from", "after", "changed")
 
 BROADCAST_DAYS = 100_000
-"""Most changed client-days sent to every executor; more are joined by shuffle, with the same rows."""
+"""Most client-days (or clients) sent to every executor; more are joined by shuffle, with the same rows."""
 
-LEDGER = T.StructType(
-    [
-        T.StructField("client_id", T.StringType()),
-        T.StructField("transaction_date", T.StringType()),
-        T.StructField("rows", T.LongType()),
-        T.StructField("units", T.LongType()),
-        T.StructField("fingerprint", T.DecimalType(38, 0)),
-        T.StructField("batch", T.LongType()),
-    ]
-)
+FINGERPRINT = [("rows", T.LongType()), ("units", T.LongType()), ("fingerprint", T.DecimalType(38, 0))]
 
 
 @dataclass(frozen=True)
 class BatchResult:
+    """What a run did. The frames are small tables and read when asked for: ``before`` is the
+    last stored day each client had, ``entries`` the written client-days with their rows."""
+
     path: str
-    high_water: dict[str, str | None]
-    days: list[tuple[str, str]] = field(default_factory=list)
-    cleared: list[tuple[str, str]] = field(default_factory=list)
+    before: DataFrame
+    entries: DataFrame | None = None
     undated: int = 0
 
+    @cached_property
+    def high_water(self) -> dict[str, str | None]:
+        return {row["client_id"]: row["last_processed_date"] for row in self.before.collect()}
+
+    @cached_property
+    def days(self) -> list[tuple[str, str]]:
+        return self._days("rows > 0")
+
+    @cached_property
+    def cleared(self) -> list[tuple[str, str]]:
+        return self._days("rows = 0")
+
+    def _days(self, which):
+        return [] if self.entries is None else sorted(tuple(r) for r in self.entries.filter(which).select(*KEYS).collect())
+
+
+Clients = Sequence[str] | DataFrame
+"""Names, or a frame with a column ``client_id``."""
+
 
 def run_batch(
     spark: SparkSession,
     txn: DataFrame,
     lookups: Lookups,
     root: str,
-    clients: Sequence[str],
+    clients: Clients,
     mode: str = "from",
+    landed: DataFrame | None = None,
 ) -> BatchResult:
-    """Process one snapshot (``client_id`` plus the transaction columns)."""
+    """Process one snapshot (``client_id`` plus the transaction columns).
+
+    ``landed``: the client-days of ``txn`` where it is a landing table (``landing.landed_days``); a
+    run then opens the partitions of due days only.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    if mode != "changed" and read_ledger(spark, root) is not None:
+    if mode != "changed" and day_ledger(spark, root).exists():
         raise ValueError(f"{root} is kept in mode 'changed'; a run in another mode would outdate its ledger")
-    return _run(spark, txn, lookups, root, state_path(spark, root), clients, mode)
+    return _run(spark, txn, lookups, root, state_path(spark, root), clients, mode, landed)
 
 
 def replay(
@@ -86,9 +102,10 @@ def replay(
     txn: DataFrame,
     lookups: Lookups,
     root: str,
-    clients: Sequence[str],
+    clients: Clients,
     days: Iterable[str],
     mode: str = "from",
+    landed: DataFrame | None = None,
 ) -> str:
     """Run the snapshots of ``days`` in order against the state in ``root``.
 
@@ -97,11 +114,11 @@ def replay(
     """
     path = None
     for day in days:
-        seen = snapshot(txn, day)
+        seen, listed = snapshot(txn, day), None if landed is None else snapshot(landed, day)
         if path is None:
-            path = run_batch(spark, seen, lookups, root, clients, mode).path
+            path = run_batch(spark, seen, lookups, root, clients, mode, listed).path
         else:
-            _run(spark, seen, lookups, root, path, clients, mode)
+            _run(spark, seen, lookups, root, path, clients, mode, listed)
     return path or state_path(spark, root)
 
 
@@ -118,36 +135,24 @@ def check_day(txn: DataFrame, lookups: Lookups, state: DataFrame, client_id: str
     return False
 
 
-def due_since(marks: dict[str, str | None], inclusive: bool) -> Column:
-    """A filter on client and date only, so it prunes partitions of a landing table.
+def due_days(landed: DataFrame, since: DataFrame, inclusive: bool) -> DataFrame:
+    """The landed client-days to process, for clients and their last stored days."""
+    day, mark = F.col("transaction_date"), F.col("last_processed_date")
+    later = day >= mark if inclusive else day > mark
+    return landed.join(since, "client_id").filter(day.isNotNull() & (mark.isNull() | later)).select(*KEYS)
+
+
+def due_rows(txn: DataFrame, since: DataFrame, inclusive: bool, few: bool) -> DataFrame:
+    """The same for the rows of any frame, whose client-days are not known."""
+    marked = since.select(F.col("client_id").alias("_client"), F.col("last_processed_date").alias("_mark"))
+    day, mark = F.col("transaction_date"), F.col("_mark")
+    due = (F.col("client_id") == F.col("_client")) & (mark.isNull() | (day >= mark if inclusive else day > mark))
+    return txn.join(F.broadcast(marked) if few else marked, due, "left_semi")
 
-    Clients that stopped at the same day share one condition.
-    """
-    day = F.col("transaction_date")
-    by_mark: dict[str | None, list[str]] = {}
-    for client, mark in marks.items():
-        by_mark.setdefault(mark, []).append(client)
-    conditions = []
-    for mark, members in by_mark.items():
-        condition = F.col("client_id").isin(members)
-        if mark is not None:
-            condition = condition & (day >= mark if inclusive else day > mark)
-        conditions.append(condition)
-    return reduce(or_, conditions, F.lit(False))
-
-
-def read_ledger(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest fingerprint per client-day, or None before the first one."""
-    try:
-        entries = spark.read.schema(LEDGER).parquet(f"{root}/day_ledger")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    newest = F.max_by(F.struct("rows", "units", "fingerprint"), "batch").alias("e")
-    return entries.groupBy("client_id", "transaction_date").agg(newest).select(
-        "client_id", "transaction_date", "e.*"
-    )
+
+def day_ledger(spark: SparkSession, root: str) -> Ledger:
+    """The fingerprint of each client-day when it was last processed in mode ``changed``."""
+    return Ledger(spark, f"{root}/day_ledger", FINGERPRINT)
 
 
 def day_fingerprints(txn: DataFrame) -> DataFrame:
@@ -175,81 +180,71 @@ def changed_days(current: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def _run(spark, txn, lookups, root, path, clients, mode):
-    state = read_state(spark, path)
-    marks = _marks(state, clients)
-    own = txn.filter(F.col("client_id").isin(list(clients)))
-    undated = own.filter(F.col("transaction_date").isNull()).count()
-    if undated:
-        log.warning("%d undated rows are left out", undated)
-    own = own.filter(F.col("transaction_date").isNotNull())
-    if mode == "changed":
-        return _run_changed(spark, own, lookups, root, path, state, marks, clients, undated)
-    due = own.filter(due_since(marks, inclusive=mode == "from"))
-    # a mark is the newest stored day, so it is the only stored day that is redone
-    redone = {(c, mark) for c, mark in marks.items() if mark and mode == "from"}
-    days, cleared = _replace(spark, due, lookups, path, redone)
-    return BatchResult(path, marks, days, cleared, undated)
-
-
-def _run_changed(spark, txn, lookups, root, path, state, marks, clients, undated):
-    known = read_ledger(spark, root)
-    if known is None:
-        known = spark.createDataFrame([], LEDGER).drop("batch")
-    own = known.filter(F.col("client_id").isin(list(clients)))
-    changed = changed_days(day_fingerprints(txn), own).persist(StorageLevel.MEMORY_AND_DISK)
+def _run(spark, txn, lookups, root, path, clients, mode, landed):
+    names = clients if isinstance(clients, DataFrame) else spark.createDataFrame([(c,) for c in clients], "client_id string")
+    names = names.select("client_id").distinct()
+    since = names.join(marks(spark, path), "client_id", "left").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        number = changed.count()
-        if not number:
-            return BatchResult(path, marks, undated=undated)
-        source, stored = (on_days(frame, changed, number) for frame in (txn, state))
-        days, cleared = _replace(spark, source, lookups, path, _client_days(stored))
-        _append_ledger(spark, changed, root)
-        return BatchResult(path, marks, days, cleared, undated)
+        few = since.count() <= BROADCAST_DAYS
+        own = names.select(F.col("client_id").alias("_client"))
+        own = txn.join(F.broadcast(own) if few else own, F.col("client_id") == F.col("_client"), "left_semi")
+        undated = own.filter(F.col("transaction_date").isNull()).count()
+        if undated:
+            log.warning("%d undated rows are left out", undated)
+        dated = txn.filter(F.col("transaction_date").isNotNull())
+        if mode == "changed":
+            own = own.filter(F.col("transaction_date").isNotNull())
+            return _run_changed(spark, own, lookups, root, path, names, undated)
+        # a mark is the newest stored day, so it is the only stored day that is redone,
+        # unless the run before was broken off
+        inclusive = mode == "from"
+        redone = days_since(spark, path, since, inclusive)
+        if landed is None:
+            return _replace(spark, due_rows(dated, since, inclusive, few), lookups, path, redone, names, undated)
+        due = due_days(landed, since, inclusive).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return _replace(spark, on_days(dated, due), lookups, path, redone, names, undated)
+        finally:
+            due.unpersist()
     finally:
-        changed.unpersist()
+        since.unpersist()
 
 
-def on_days(frame: DataFrame, days: DataFrame, number: int, most: int = BROADCAST_DAYS) -> DataFrame:
-    """The rows of ``frame`` on the given ``number`` of client-days. Up to ``most`` of them are
-    broadcast, so rows are not shuffled and partitions are pruned."""
-    keys = ["client_id", "transaction_date"]
-    wanted = days.select(*[F.col(k).alias(f"_on_{k}") for k in keys])
-    match = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
-    return frame.join(F.broadcast(wanted) if number <= most else wanted, match, "left_semi")
-
-
-def _replace(spark, source, lookups, path, redone):
-    """Write the batch; empty those redone days for which it holds nothing."""
-    batch = sales(source, lookups, by=["client_id"]).transform(to_state)
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+def _run_changed(spark, txn, lookups, root, path, names, undated):
+    ledger = day_ledger(spark, root)
+    known = ledger.read().join(names, "client_id", "left_semi")
+    changed = changed_days(day_fingerprints(txn), known).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        write_days(batch, path)
-        days = _client_days(batch)
+        if changed.isEmpty():
+            return BatchResult(path, _before(spark, path, names, stored_days(spark, path).last()), undated=undated)
+        redone = day_counts(spark, path).filter("rows > 0").join(changed.select(*KEYS), KEYS, "left_semi")
+        result = _replace(spark, on_days(txn, changed), lookups, path, redone, names, undated)
+        ledger.append(changed)
+        return result
     finally:
-        batch.unpersist()
-    cleared = sorted(redone - days)
-    clear_days(spark, path, cleared)
-    return sorted(days), cleared
+        changed.unpersist()
 
 
-def _append_ledger(spark, changed, root):
-    path = f"{root}/day_ledger"
-    try:
-        last = spark.read.schema(LEDGER).parquet(path).agg(F.max("batch")).first()[0]
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        last = 0
-    changed.withColumn("batch", F.lit(last + 1).cast("long")).write.mode("append").parquet(path)
+def on_days(frame: DataFrame, days: DataFrame, most: int = BROADCAST_DAYS) -> DataFrame:
+    """The rows of ``frame`` on the given client-days, none of them null. Up to ``most`` of
+    them are broadcast, so rows are not shuffled and partitions of other days are not opened."""
+    number, first = days.agg(F.count(F.lit(1)), F.min("transaction_date")).first()
+    if first is not None:
+        # known when the partitions are listed, also where they are not pruned by the join
+        frame = frame.filter(F.col("transaction_date") >= first)
+    # Spark prunes partitions by joins on plain equality, and by a side that has a filter
+    wanted = days.select(*[F.col(k).alias(f"_on_{k}") for k in KEYS]).filter(F.col("_on_transaction_date") > "")
+    match = [F.col(k) == F.col(f"_on_{k}") for k in KEYS]
+    return frame.join(F.broadcast(wanted) if number <= most else wanted, match, "left_semi")
 
 
-def _marks(state, clients):
-    found = high_water(state.filter(F.col("client_id").isin(list(clients)))).collect()
-    stored = {row["client_id"]: row["last_processed_date"] for row in found}
-    return {client: stored.get(client) for client in clients}
+def _replace(spark, source, lookups, path, redone, names, undated):
+    """Write the batch; empty those redone days for which it holds nothing."""
+    batch = sales(source, lookups, by=["client_id"]).transform(to_state)
+    number = write_days(batch, path, redone)
+    return BatchResult(path, _before(spark, path, names, number - 1), stored_days(spark, path).of_batch(number), undated)
 
 
-def _client_days(frame):
-    rows = frame.select("client_id", "transaction_date").distinct().collect()
-    return {(row["client_id"], row["transaction_date"]) for row in rows}
+def _before(spark, path, names, upto):
+    """The marks as they were after an earlier batch."""
+    return names.join(marks(spark, path, upto), "client_id", "left")

@@ -191,12 +191,16 @@ def _draw(index: int, count: int, seed: str) -> str:
     return f"CAST(floor({_uniform(_seeded(seed), index)} * {count}) AS BIGINT)"
 
 
+def _point(text: str, index: int) -> str:
+    return f"({_lane(text, index)} * 1073741824 + {_lane(text, index + 1)} // 4)"
+
+
 def _line(key: str, weighted: str) -> str:
-    """Adjoining pieces of [0, 2**32), ordered by block and key."""
+    """Adjoining pieces of [0, 2**62), ordered by block and key."""
     return f"""
-        SELECT {key}, CAST(floor(CAST(upto - weight AS DOUBLE) * CAST(4294967296 AS DOUBLE)
+        SELECT {key}, CAST(floor(CAST(upto - weight AS DOUBLE) * CAST(4611686018427387904 AS DOUBLE)
                                  / CAST(total AS DOUBLE)) AS BIGINT) AS lo,
-               CAST(floor(CAST(upto AS DOUBLE) * CAST(4294967296 AS DOUBLE)
+               CAST(floor(CAST(upto AS DOUBLE) * CAST(4611686018427387904 AS DOUBLE)
                           / CAST(total AS DOUBLE)) AS BIGINT) AS hi
         FROM (SELECT {key}, weight, CAST(sum(weight) OVER () AS BIGINT) AS total,
                      CAST(sum(weight) OVER (ORDER BY substr(md5({key}), 1, 2), {key}) AS BIGINT) AS upto
@@ -240,7 +244,7 @@ _MATURITY = f"""
 
 def _generators() -> dict[str, str]:
     picks = f"""
-        SELECT id, {_lane(_seeded('txn-picks'), 0)} AS sku_point, {_lane(_seeded('txn-picks'), 3)} AS zip_point,
+        SELECT id, {_point(_seeded('txn-places'), 0)} AS sku_point, {_point(_seeded('txn-places'), 2)} AS zip_point,
                {_uniform(_seeded('txn-noise'), 0)} AS shape FROM ({_IDS})"""
     noisy = f"""
         SELECT id, sku_point, zip_code, {_NOISE} AS zip_code_raw
@@ -282,6 +286,8 @@ def oracle_sql() -> dict[str, str]:
         "changed_replay": "state_projection",
         "state_rebuild_client": "state_projection",
         "state_schema_drift": "state_projection",
+        "quality_one_pass": "quality_report",
+        "top5_one_pass": "top5_latest_day",
     }
     return found | {name: found[other] for name, other in same.items()}
 
@@ -295,6 +301,11 @@ def _texts() -> dict[str, str]:
         FROM lines"""
     return {
         "txn_scan_typed": _with("txn", "SELECT transaction_id, transaction_date, sku_id, quantity_sold, revenue_usd, maturity_date, zip_code_raw FROM txn"),
+        "archive_roundtrip": _with(
+            "txn",
+            """SELECT client_id, CAST(10 AS INTEGER) AS snapshot_day, transaction_id, transaction_date, sku_id, quantity_sold,
+                   revenue_usd, maturity_date, zip_code_raw FROM txn""",
+        ),
         "sku_lookup": _with("sku", "SELECT sku_id, sku_group, category, is_high_priority FROM sku"),
         "zip_lookup": _with("zip", "SELECT zip_code, city, state, is_us FROM zip"),
         "date_filter_gt": _with("lines", after),

@@ -1,4 +1,4 @@
-"""Zipped daily snapshots as a Spark data source.
+"""Zipped daily snapshots as a Spark data source, to read and to write.
 
 ``spark.read.format("sales_archive")`` yields one input partition per archive. The
 first member of each archive is parsed as a typed CSV and streamed in Arrow
@@ -6,20 +6,30 @@ batches, so a task holds one block of text whatever the archive's size. Deflate
 cannot be split, so an archive is the unit of parallelism: land the rows once
 (``sources.landing``) and query that table instead.
 
-Options: ``root``, ``clients`` and ``days`` (comma-separated). Paths may be local
+Options: ``root``, and ``clients`` and ``days`` (comma-separated) to name archives, of which each has to
+exist. Without either, the archives under ``root`` are found by their names. Filters
+on client and snapshot day decide which archives are opened. Paths may be local
 or any URI that Arrow's file systems open. On a cluster ship this package to the
 executors, for example with ``--py-files``.
+
+Writing takes rows sorted by client and day (``write_archives``): a task streams one archive after
+the other under temporary names, which the driver replaces when all tasks are done, so a task
+that is run again or a job that fails leaves no part of an archive behind.
 """
 
+import operator
+import re
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import datasource as ds
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from salesflow.schemas import TRANSACTIONS
+from salesflow.session import ship
 
 BLOCK_BYTES = 8 * 1024 * 1024
 
@@ -34,18 +44,39 @@ def archive_path(root: str, client_id: str, day: int) -> str:
     return f"{root.rstrip('/')}/{client_id}/transactions_day_{day}.zip"
 
 
-def read_archives(spark: SparkSession, root: str, clients: list[str], days: list[int]) -> DataFrame:
+NAME = re.compile(r"(?:^|/)([^/]+)/transactions_day_([0-9]+)\.zip$")
+"""Client and day in the path of an archive."""
+
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+
+
+def read_archives(spark: SparkSession, root: str, clients: list[str] | None = None, days: list[int] | None = None) -> DataFrame:
+    """The archives of some clients and days, or (with neither) all that there are."""
+    _register(spark)
+    reader = spark.read.format(ArchiveSource.name()).option("root", root)
+    for option, values in (("clients", clients), ("days", days)):
+        if values is not None:
+            reader = reader.option(option, ",".join(map(str, values)))
+    return reader.load()
+
+
+def write_archives(snapshots: DataFrame, root: str) -> None:
+    """One archive per client and ``snapshot_day``."""
+    _register(snapshots.sparkSession)
+    keys = ["client_id", "snapshot_day"]
+    rows = snapshots.select([snapshots[f.name].cast(f.dataType).alias(f.name) for f in ARCHIVE.fields])
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    rows.write.format(ArchiveSource.name()).option("root", root).mode("append").save()
+
+
+def _register(spark):
+    ship(spark)
+    # a source that takes filters fails to plan where this is off
+    spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(ArchiveSource)
-    return (
-        spark.read.format(ArchiveSource.name())
-        .option("root", root)
-        .option("clients", ",".join(clients))
-        .option("days", ",".join(str(d) for d in days))
-        .load()
-    )
 
 
-class ArchiveSource(DataSource):
+class ArchiveSource(ds.DataSource):
     @classmethod
     def name(cls) -> str:
         return "sales_archive"
@@ -53,27 +84,65 @@ class ArchiveSource(DataSource):
     def schema(self) -> T.StructType:
         return ARCHIVE
 
-    def reader(self, schema: T.StructType) -> DataSourceReader:
+    def reader(self, schema: T.StructType) -> ds.DataSourceReader:
         return ArchiveReader(self.options)
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> ds.DataSourceWriter:
+        return ArchiveWriter(self.options["root"])
+
 
 @dataclass
-class Archive(InputPartition):
+class Archive(ds.InputPartition):
     client_id: str
     day: int
     path: str
 
 
-class ArchiveReader(DataSourceReader):
+class ArchiveReader(ds.DataSourceReader):
     def __init__(self, options):
         self.root = options["root"]
-        self.clients = options["clients"].split(",")
-        self.days = [int(d) for d in options["days"].split(",")]
+        self.clients = options["clients"].split(",") if "clients" in options else None
+        self.days = [int(d) for d in options["days"].split(",")] if "days" in options else None
+        self.wanted = []
+
+    def pushFilters(self, filters: list[ds.Filter]) -> Iterable[ds.Filter]:
+        """Takes every comparison with the client or the day: an archive has one of each."""
+        tests = {
+            ds.EqualTo: operator.eq,
+            ds.EqualNullSafe: operator.eq,
+            ds.GreaterThan: operator.gt,
+            ds.GreaterThanOrEqual: operator.ge,
+            ds.LessThan: operator.lt,
+            ds.LessThanOrEqual: operator.le,
+            ds.In: lambda own, values: own in values,
+            ds.IsNotNull: lambda own, _: own is not None,
+        }
+        places = {("client_id",): 0, ("snapshot_day",): 1}
+        for one in filters:
+            if type(one) in tests and one.attribute in places:
+                self.wanted.append((places[one.attribute], tests[type(one)], getattr(one, "value", None)))
+            else:
+                yield one
 
     def partitions(self) -> list[Archive]:
+        named = self._named() if self.clients and self.days else self._found()
+        return [a for a in named if all(test((a.client_id, a.day)[place], value) for place, test, value in self.wanted)]
+
+    def _named(self):
         return [Archive(c, d, archive_path(self.root, c, d)) for c in self.clients for d in self.days]
 
-    def read(self, partition: Archive) -> Iterator:
+    def _found(self):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(self.root)
+        for info in system.get_file_info(fs.FileSelector(base, recursive=True)):
+            parts = NAME.search(info.path)
+            if parts and parts[1] in (self.clients or [parts[1]]) and int(parts[2]) in (self.days or [int(parts[2])]):
+                yield Archive(parts[1], int(parts[2]), archive_path(self.root, parts[1], int(parts[2])))
+
+    def read(self, partition: Archive | None) -> Iterator:
+        if partition is None:  # no archive is wanted
+            return
         import pyarrow as pa
         from pyarrow import csv, fs
 
@@ -97,3 +166,79 @@ class ArchiveReader(DataSourceReader):
                     client = pa.array([partition.client_id] * batch.num_rows, pa.string())
                     day = pa.array([partition.day] * batch.num_rows, pa.int32())
                     yield pa.RecordBatch.from_arrays([client, day, *batch.columns], schema=target)
+
+
+@dataclass
+class Written(ds.WriterCommitMessage):
+    """Temporary and final paths of what a task wrote."""
+
+    paths: list[tuple[str, str]]
+
+
+class ArchiveWriter(ds.DataSourceArrowWriter):
+    def __init__(self, root: str):
+        self.root = root
+
+    def write(self, iterator: Iterator) -> Written:
+        import pyarrow.compute as pc
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(self.root)
+        done, current, stream = [], None, None
+        for batch in iterator:
+            at = 0
+            while at < len(batch):
+                key = batch.column("client_id")[at].as_py(), batch.column("snapshot_day")[at].as_py()
+                if None in key:
+                    raise ValueError("a row without client or snapshot day belongs to no archive")
+                # rows are sorted, so those of one archive are neighbours
+                rest = batch.slice(at)
+                same = pc.and_(pc.equal(rest.column("client_id"), key[0]), pc.equal(rest.column("snapshot_day"), key[1]))
+                size = pc.sum(same).as_py()
+                if key != current:
+                    if stream:
+                        stream.close()
+                    final = archive_path(base, *key)
+                    temporary = f"{final}.{uuid.uuid4().hex}"
+                    done.append((temporary, final))
+                    stream, current = _Stream(system, temporary), key
+                stream.write(rest.slice(0, size).select(TRANSACTIONS.fieldNames()))
+                at += size
+        if stream:
+            stream.close()
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        self._each(messages, lambda system, temporary, final: system.move(temporary, final))
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._each(messages, lambda system, temporary, final: system.delete_file(temporary))
+
+    def _each(self, messages, act):
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.root)
+        for message in messages:
+            for temporary, final in message.paths if message else ():
+                act(system, temporary, final)
+
+
+class _Stream:
+    """One archive that is being written, block by block."""
+
+    def __init__(self, system, path):
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        self.file = system.open_output_stream(path)
+        self.archive = zipfile.ZipFile(self.file, "w", zipfile.ZIP_DEFLATED)
+        self.member = self.archive.open("transactions.csv", "w", force_zip64=True)
+        self.writer = None
+
+    def write(self, rows):
+        from pyarrow import csv
+
+        self.writer = self.writer or csv.CSVWriter(self.member, rows.schema)
+        self.writer.write(rows)
+
+    def close(self):
+        for part in (self.writer, self.member, self.archive, self.file):
+            part.close()

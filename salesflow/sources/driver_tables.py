@@ -57,11 +57,15 @@ def transactions(spark: SparkSession, sf_dir: str, malformed: bool = False, afte
     return lines.selectExpr(*[f"{columns.get(n, n)} AS {n}" for n in LANDING.fieldNames()])
 
 
-def lines_only(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
-    """The transaction columns that need no join: all but client and ZIP text."""
+def lines_only(spark: SparkSession, sf_dir: str, malformed: bool = False, after: str | None = None) -> DataFrame:
+    """The transaction columns that need no join: all but client and ZIP text. Only days past
+    ``after``, if given: compared as dates, before any is written out."""
     columns = _line_columns(malformed)
     names = [n for n in TRANSACTIONS.fieldNames() if n in columns]
-    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{columns[n]} AS {n}" for n in names])
+    lines = table(spark, sf_dir, "lineitem")
+    if after is not None:
+        lines = lines.filter(f"{_DAY} > DATE '{after}'")
+    return lines.selectExpr(*[f"{columns[n]} AS {n}" for n in names])
 
 
 def sku_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,13 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LANDING).parquet(path).select(*LANDING.fieldNames())
 
 
+def landed_days(spark: SparkSession, path: str) -> DataFrame:
+    """client_id, transaction_date of every partition, from the names of its files; none is opened."""
+    names = "path string, modificationTime timestamp, length long, content binary, client_id string, transaction_date string"
+    listed = spark.read.format("binaryFile").schema(names).load(path)
+    return listed.select(*LANDING_PARTITIONS).distinct()
+
+
 def replace_partitions(rows: DataFrame, path: str, partitions: list[str]) -> None:
     (
         rows.hint("rebalance", *[F.col(p) for p in partitions])

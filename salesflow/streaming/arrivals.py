@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from salesflow.plans.incremental import run_batch
 from salesflow.sources.archive import read_archives
-from salesflow.sources.landing import land, read_landing
+from salesflow.sources.landing import land, landed_days, read_landing
 from salesflow.sources.lookups import Lookups
 
 log = logging.getLogger(__name__)
@@ -123,4 +123,4 @@ def ingest(
     marks = spark.createDataFrame(newer, LANDED)
     marks.coalesce(1).write.mode("append").parquet(f"{landing}{MARKS}")
     clients = sorted({client for client, _ in newer})
-    run_batch(spark, read_landing(spark, landing), lookups, root, clients, mode)
+    run_batch(spark, read_landing(spark, landing), lookups, root, clients, mode, landed_days(spark, landing))

@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from salesflow.operators import aggregate, clean
+from salesflow.operators.quality import quality_report
 from salesflow.plans import pipeline
 from salesflow.schemas import SALES_COLUMNS
 from salesflow.sources.lookups import Lookups
@@ -54,6 +55,30 @@ def test_all_paths_agree(mixed, lookup_frames, by, repeated):
     assert results[0] and all(r == results[0] for r in results[1:])
 
 
+@pytest.mark.parametrize("by", [(), ("client_id",)])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_one_pass_gives_result_and_counters(spark, mixed, lookup_frames, by, repeated):
+    """By every form, also when lookup keys repeat and joins multiply rows."""
+    sku, zips = lookup_frames
+    if repeated:
+        sku, zips = sku.union(sku.filter("sku_id < 'SKU_3'")), zips.union(zips.filter("zip_code = '94105'"))
+    cleaned = clean.clean(mixed)
+    for lookups in variants(sku, zips):
+        made = pipeline.run(mixed, lookups, by)
+        assert rows(made.aggregated) == rows(pipeline.sales(mixed, lookups, by))
+        assert made.quality.first() == quality_report(cleaned, lookups).first()
+        made.scratch.drop()
+
+
+def test_one_pass_over_nothing_counts_zeros(txn_frame, lookups):
+    made = pipeline.run(txn_frame([]), lookups)
+    assert made.aggregated.count() == 0 and set(made.quality.first()) == {0}
+    bad = pipeline.run(txn_frame([("c", "2025-10-01", "SKU_1", 1, 1.0, None, "bad")] * 3), lookups)
+    assert bad.aggregated.count() == 0 and bad.quality.first().asDict() == {
+        "rows_input": 3, "invalid_zip_dropped": 3, "maturity_imputed": 3, "rows_after_join": 0, "zip_lookup_miss": 0, "sku_lookup_miss": 0,
+    }
+
+
 def test_against_plain_python(mixed, lookups):
     sku = {r["sku_id"]: r for r in lookups.sku.collect()}
     zips = {r["zip_code"]: r for r in lookups.zip.collect()}
@@ -146,6 +171,9 @@ def test_sums_do_not_depend_on_partitioning(mixed, lookups):
 def test_fine_amounts_are_summed_whole_or_fail(spark):
     frame = spark.createDataFrame([("2025-10-01", 1, usd) for usd in (0.004, 0.004, 0.004)], "transaction_date string, quantity_sold long, revenue_usd double")
     assert aggregate.daily_totals(frame).first()["total_revenue"] == 0.012
-    finer = frame.withColumn("revenue_usd", F.lit(0.00004))
-    with pytest.raises(Exception, match="finer"):
-        aggregate.daily_totals(finer).collect()
+    for usd in (0.00004, 0.0000005, 1234.50000001):
+        with pytest.raises(Exception, match="finer"):
+            aggregate.daily_totals(frame.withColumn("revenue_usd", F.lit(usd))).collect()
+    exact = [0.0, 19.99, -0.0001, 123456789.1234, 499.95, 0.07, 1e11]
+    many = spark.createDataFrame([("2025-10-01", 1, usd) for usd in exact], frame.schema)
+    assert aggregate.daily_totals(many).first()["total_revenue"] == sum(round(usd * 10_000) for usd in exact) / 10_000

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from salesflow.operators.snapshots import late_rows, snapshot, snapshot_rows
 from salesflow.plans import incremental, pipeline
 from salesflow.plans import state as states
-from salesflow.sources.landing import land, read_landing
+from salesflow.sources.landing import land, landed_days, read_landing
 
 CLIENTS = ["client_1", "client_2"]
 
@@ -145,8 +145,8 @@ def test_boundary_day_that_lost_its_rows_is_emptied(spark, root, run, stored, re
     result = run(shrunk)
     assert result.cleared == [(c, day(2)) for c in CLIENTS]
     assert stored() == recomputed(shrunk)
-    marks = rows(states.high_water(states.read_state(spark, states.state_path(spark, root))))
-    assert marks == [(c, day(1)) for c in CLIENTS]
+    path = states.state_path(spark, root)
+    assert rows(states.high_water(states.read_state(spark, path))) == rows(states.marks(spark, path)) == [(c, day(1)) for c in CLIENTS]
 
 
 def test_strict_filter_with_inclusive_delete_loses_days():
@@ -209,11 +209,33 @@ def test_last_processed_date(spark, root, run, txn_frame):
 def test_incremental_run_reads_only_due_partitions(spark, tmp_path, lookups, txn_frame):
     landing = str(tmp_path / "landing")
     land(txn_frame(txn_rows(range(1, 8))), landing)
-    due = incremental.due_since({"client_1": day(6), "client_2": day(7)}, inclusive=True)
-    source = read_landing(spark, landing).filter(due)
-    plan = source._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
-    assert len({r[0] for r in source.select(F.input_file_name()).distinct().collect()}) == 3
+    since = spark.createDataFrame([("client_1", day(6)), ("client_2", day(7))], "client_id string, last_processed_date string")
+    due = incremental.due_days(landed_days(spark, landing), since, inclusive=True)
+    assert rows(due) == [("client_1", day(6)), ("client_1", day(7)), ("client_2", day(7))]
+    source = incremental.on_days(read_landing(spark, landing), due)
+    # pruned by client and by day: two of each, of two clients and seven days
+    assert source.count() == 12 and partitions_read(source) == 4
+
+
+def partitions_read(frame):
+    """Partitions that the scans of a frame opened, by Spark's own count."""
+    frame = frame.select("*")
+    frame.collect()
+    plan, found = frame._jdf.queryExecution().executedPlan().toString(), 0
+    assert "dynamicpruning" in plan
+    nodes = [frame._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+        if node.nodeName().startswith("Scan parquet"):
+            found += node.metrics().apply("numPartitions").value()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return found
 
 
 def test_landing_replaces_days_and_keeps_rows(spark, tmp_path, txn_frame):
@@ -276,3 +298,106 @@ def test_client_names_that_are_special_in_paths(spark, root, run, stored, recomp
     again = txn_frame(txn_rows([3], names))
     states.rebuild_client(states.to_state(pipeline.sales(again, lookups, by=["client_id"])), path, names[0])
     assert stored() == recomputed(txn_frame(txn_rows([3], names[:1]) + txn_rows([1], names[1:])))
+
+
+def jobs_of(spark, work):
+    """Spark jobs that a piece of work starts."""
+    group = f"jobs-{id(work)}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_many_emptied_days_are_one_write(spark, root, stored, run):
+    """Forty clients lose four of five days at once: no write a day, and none of them on the driver."""
+    txn = spark.range(200).selectExpr(
+        "concat('c', id div 5) as client_id", "'T' as transaction_id", "concat('2025-10-0', 1 + id % 5) as transaction_date",
+        "'SKU_1' as sku_id", "1L as quantity_sold", "1.0D as revenue_usd", "cast(null as string) as maturity_date", "'94105' as zip_code_raw",
+    )
+    clients = txn.select("client_id").distinct()
+    run(txn, mode="changed", clients=clients)
+    assert len(stored()) == 200
+    results = []
+    jobs = jobs_of(spark, lambda: results.append(run(txn.filter("transaction_date = '2025-10-01'"), mode="changed", clients=clients)))
+    assert jobs < 40
+    assert results[0].entries.filter("rows = 0").count() == 160 and results[0].days == []
+    assert {r[1] for r in stored()} == {day(1)} and len(stored()) == 40
+    assert {r[1] for r in rows(states.marks(spark, states.state_path(spark, root)))} == {day(1)}
+
+
+def test_ten_thousand_clients_prune_partitions(spark, lookups, run, stored, tmp_path):
+    """Marks are joined, not written into the filter; partitions of other days stay closed."""
+    landing = str(tmp_path / "landing")
+    txn = spark.range(300).selectExpr(
+        "concat('c', id % 10) as client_id", "concat('T', id) as transaction_id", "concat('2025-10-0', 1 + id div 10 % 3) as transaction_date",
+        "'SKU_1' as sku_id", "1L as quantity_sold", "1.0D as revenue_usd", "cast(null as string) as maturity_date", "'94105' as zip_code_raw",
+    )
+    land(txn, landing)
+    landed, names = read_landing(spark, landing), spark.range(10_000).selectExpr("concat('c', id) as client_id")
+    run(snapshot(landed, day(2)), clients=names)
+    since = names.join(spark.createDataFrame([(f"c{i}", day(2)) for i in range(10)], "client_id string, last_processed_date string"), "client_id", "left")
+    due = incremental.due_days(landed_days(spark, landing), since, inclusive=True)
+    source = incremental.on_days(landed, due)
+    assert "IN (" not in source._jdf.queryExecution().optimizedPlan().toString()
+    assert source.count() == 200 and partitions_read(source) == 20
+    incremental.run_batch(spark, landed, lookups, str(tmp_path / "warehouse"), names, landed=landed_days(spark, landing))
+    assert {r[1] for r in stored()} == {day(1), day(2), day(3)} and len(stored()) == 30
+
+
+def test_marks_open_no_state_file(spark, root, run, txn_frame):
+    run(txn_frame(txn_rows([1, 2])))
+    path = states.state_path(spark, root)
+    files = states.marks(spark, path).inputFiles()
+    assert files and all("_days/" in f for f in files)
+
+
+def test_a_run_broken_off_before_its_ledger(spark, root, run, stored, recomputed, txn_frame, monkeypatch):
+    """The table is ahead of the ledger: the next run redoes everything since the old mark, and
+    empties what the broken run stored and the source no longer has."""
+    run(txn_frame(txn_rows([1, 2])))
+    path = states.state_path(spark, root)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(states.Ledger, "append", broken)
+        with pytest.raises(RuntimeError):
+            run(txn_frame(txn_rows([1, 2, 3, 4])))
+    assert states.interrupted(spark, path)
+    assert rows(states.marks(spark, path)) == [(c, day(2)) for c in CLIENTS]
+    again = txn_frame(txn_rows([1, 2, 4]))
+    result = run(again)
+    assert result.high_water == {c: day(2) for c in CLIENTS} and result.cleared == [(c, day(3)) for c in CLIENTS]
+    assert stored() == recomputed(again) and not states.interrupted(spark, path)
+
+
+def test_a_table_without_a_ledger_is_counted_once(spark, root, run, stored, recomputed, txn_frame, lookups):
+    """As stored before there were ledgers."""
+    batch = states.to_state(pipeline.sales(txn_frame(txn_rows([1, 2])), lookups, by=["client_id"]))
+    batch.write.partitionBy("client_id", "transaction_date").parquet(f"{root}/processed_sales_v1")
+    txn = txn_frame(txn_rows([1, 2, 3]))
+    run(txn)
+    assert stored() == recomputed(txn)
+    assert rows(states.marks(spark, states.state_path(spark, root))) == [(c, day(3)) for c in CLIENTS]
+
+
+def test_ledger_is_compacted(spark, tmp_path, monkeypatch):
+    from salesflow.plans import ledger as ledgers
+
+    monkeypatch.setattr(ledgers, "COMPACT", 3)
+    ledger = states.stored_days(spark, str(tmp_path / "t"))
+    assert not ledger.exists() and ledger.read().count() == 0 and ledger.last() == 0
+    for n in range(1, 9):
+        ledger.append(spark.createDataFrame([("a", day(1), n), ("b", day(n), n)], "client_id string, transaction_date string, rows long"))
+        assert ("a", day(1), n) in rows(ledger.read()) and ledger.read().count() == n + 1 and ledger.last() == n
+    assert rows(ledger.of_batch(8)) == [("a", day(1), 8), ("b", day(8), 8)]
+    assert ("a", day(1), 7) in rows(ledger.read(7))
+    names = sorted(p.name for p in (tmp_path / "t_days").iterdir())
+    assert names == ["all-00000003", "all-00000006", "entries-00000004", "entries-00000005", "entries-00000006", "entries-00000007", "entries-00000008"]
+    # a write that did not end is as if it had not begun
+    (tmp_path / "t_days" / "entries-00000009").mkdir()
+    assert ledger.last() == 8 and ledger.read().count() == 9

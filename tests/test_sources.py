@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from conftest import rows
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from salesflow.operators import clean
 from salesflow.plans import pipeline
@@ -104,6 +105,42 @@ def test_archives_one_partition_each_first_member_only(spark, tmp_path):
     assert rows(frame.filter("client_id = 'client_1' and snapshot_day = 2").drop("client_id", "snapshot_day")) == EXPECTED
 
 
+def test_archives_are_found_and_filters_choose_them(spark, tmp_path):
+    for client in ("client_1", "client_2"):
+        for day in (1, 2, 10):
+            zip_snapshot(tmp_path, client, day, LINES[: 1 + day % 3])
+    (tmp_path / "client_1" / "notes.txt").write_text("no archive")
+    # opening this one would fail
+    (tmp_path / "client_2" / "transactions_day_3.zip").write_text("broken")
+    frame = archive.read_archives(spark, str(tmp_path))
+    newest = frame.filter("snapshot_day >= 10 and client_id in ('client_1', 'client_2')")
+    assert newest.rdd.getNumPartitions() == 2 and newest.count() == 4
+    assert frame.filter("snapshot_day = 2 and client_id = 'client_1' and quantity_sold > 1").rdd.getNumPartitions() == 1
+    assert rows(frame.filter("snapshot_day = 2 and client_id = 'client_1'").select(TRANSACTIONS.fieldNames())) == EXPECTED
+    assert frame.filter("snapshot_day < 0").count() == 0
+    with pytest.raises(Exception, match="zip"):
+        frame.count()
+
+
+def test_archives_are_written_and_read_again(spark, tmp_path, txn_frame):
+    root = str(tmp_path / "out")
+    data = [(f"client_{k % 2}", f"2025-10-0{1 + k % 3}", f"S, \"{k}\"", None if k % 7 == 0 else k, k / 4, None, " 941\n05 ") for k in range(300)]
+    txn = txn_frame(data).repartition(5)
+    snapshots = txn.withColumn("snapshot_day", F.explode(F.sequence(F.substring("transaction_date", 10, 1).cast("int"), F.lit(3))))
+    archive.write_archives(snapshots, root)
+    names = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.*"))
+    assert names == [f"client_{c}/transactions_day_{d}.zip" for c in (0, 1) for d in (1, 2, 3)]
+    back = archive.read_archives(spark, root)
+    assert rows(back.select(snapshots.columns)) == rows(snapshots)
+    # a second write of a day replaces it; a failed one leaves all as it was
+    archive.write_archives(snapshots.filter("snapshot_day = 1 and client_id = 'client_0'").limit(2), root)
+    assert back.filter("snapshot_day = 1").groupBy("client_id").count().filter("client_id = 'client_0'").first()[1] == 2
+    before = rows(archive.read_archives(spark, root))
+    with pytest.raises(Exception, match="belongs to no archive"):
+        archive.write_archives(snapshots.withColumn("client_id", F.when(F.col("quantity_sold") < 290, F.col("client_id"))), root)
+    assert rows(archive.read_archives(spark, root)) == before
+
+
 def test_missing_archive_fails(spark, tmp_path):
     with pytest.raises(Exception, match="No such file|FileNotFound"):
         archive.read_archives(spark, str(tmp_path), ["client_1"], [3]).collect()

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from salesflow.functions import digest, lane, uniform
 from salesflow.operators import clean, synth
 from salesflow.plans import catalog, pipeline
+from salesflow.session import Scratch
 from salesflow.sources import driver_tables as model
 from salesflow.sources.lookups import Lookups
 
@@ -77,10 +80,20 @@ def test_draws_follow_the_weights(lookups, made):
 def test_pieces_cover_the_line_once(lookups):
     for weighted, key in ((synth.sku_weights(lookups.sku), "sku_id"), (synth.zip_weights(lookups.zip), "zip_code")):
         pieces = sorted((r["lo"], r["hi"]) for r in synth.weight_intervals(weighted, key).collect())
-        assert pieces[0][0] == 0 and pieces[-1][1] == 2**32
+        assert pieces[0][0] == 0 and pieces[-1][1] == 2**synth.LINE_BITS
         assert all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
 
 
+def test_every_key_can_be_drawn(spark):
+    """Among 100,000 keys, from one unit of weight to ten billion; each is found at both ends of its piece."""
+    keys = spark.range(100_000).selectExpr("concat('K', id) as k", "if(id % 10 = 0, 1L, pow(10, id % 11)) as w")
+    intervals = synth.weight_intervals(keys.select("k", F.col("w").cast("long").alias("weight")), "k").cache()
+    assert intervals.filter("hi <= lo").count() == 0
+    aimed = intervals.select(F.col("k").alias("wanted"), F.explode(F.array("lo", F.col("hi") - 1)).alias("at"))
+    found = synth.sample_weighted(aimed, F.col("at"), intervals, "k", synth.slice_bits(100_000), False)
+    assert found.count() == 200_000 and found.filter("k <> wanted").count() == 0
+
+
 def test_lanes_look_uniform_and_independent(spark):
     d = digest(F.col("id"), "x")
     u = [uniform(d, i) for i in range(4)]
@@ -105,6 +118,21 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def test_large_form_reads_the_transactions_once(spark, monkeypatch):
+    """The result, its ranks and its counters start from what was stored."""
+    plans, store = [], Scratch.__call__
+
+    def seen(self, frame, name):
+        plans.append(plan(frame))
+        return store(self, frame, name)
+
+    monkeypatch.setattr(Scratch, "__call__", seen)
+    for build in (catalog.full_pipeline_large, catalog.quality_one_pass, catalog.top5_one_pass):
+        plans.clear()
+        plans.append(plan(build(spark, SMALL)))
+        assert sum(len(re.findall(r"FileScan parquet.*lineitem", p)) for p in plans) == 1, build.__name__
+
+
 @pytest.mark.parametrize("name", ["full_pipeline", "multi_client_pipeline", "daily_totals", "quality_report", "late_rows", "state_constraint_check", "leaderboard_sku_group", "locality_summary"])
 def test_aggregates_are_hashed(spark, name):
     assert "SortAggregate" not in plan(catalog.queries()[name](spark, SMALL))

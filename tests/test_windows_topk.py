@@ -1,9 +1,11 @@
 import random
+import re
 
 import pytest
 from conftest import rows
 
 from salesflow.operators import topk, windows
+from salesflow.session import Scratch, folder, sweep
 
 SCHEMA = "client_id string, transaction_date date, maturity_date date, sku_group string, local boolean, _units long"
 
@@ -37,7 +39,10 @@ def test_share_is_zero_without_a_positive_total(spark, wide, cents):
 
 @pytest.mark.parametrize("by", [(), ("client_id",)])
 @pytest.mark.parametrize("spread", [5, 10_000])
-def test_split_ranking_equals_the_window(spark, by, spread):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_ranking_by_ranges_equals_the_window(spark, monkeypatch, by, spread, most):
+    """A day over several ranges, several days in one, ties across all, with few and with many ranges."""
+    monkeypatch.setattr(windows, "BROADCAST_RANGES", most)
     draw = random.Random(spread)
     values = [
         (draw.choice("ab"), draw.choice([1, 1, 1, 1, 2, None]), draw.random() < 0.5, draw.randint(-3, spread))
@@ -46,7 +51,49 @@ def test_split_ranking_equals_the_window(spark, by, spread):
     frame = sales_frame(spark, values)
     columns = ["sku_group", "revenue_rank", "revenue_share_of_day"]
     plain = rows(windows.share_and_rank(frame, by), *columns)
-    assert rows(windows.share_and_rank(frame, by, wide=True), *columns) == plain
+    with Scratch(spark) as scratch:
+        assert rows(windows.share_and_rank(frame, by, wide=True, scratch=scratch), *columns) == plain
+
+
+def test_no_value_is_shuffled_on_its_day(spark, monkeypatch):
+    """Only one row per day and range is; values are placed by ranges, and joined on themselves."""
+    plans, store = [], Scratch.__call__
+
+    def seen(self, frame, name):
+        plans.append((name, frame._jdf.queryExecution().executedPlan().toString()))
+        return store(self, frame, name)
+
+    monkeypatch.setattr(Scratch, "__call__", seen)
+    frame = sales_frame(spark, [("c", 1, True, k) for k in range(500)])
+    with Scratch(spark) as scratch:
+        last = windows.share_and_rank(frame, wide=True, scratch=scratch)
+        plans.append(("result", last._jdf.queryExecution().executedPlan().toString()))
+    of = dict(plans)
+    on_day = re.compile(r"hashpartitioning\(transaction_date#\d+, local#\d+, \d+\)")
+    assert list(of) == ["aggregate", "values", "ranges", "result"]
+    assert "rangepartitioning" in of["values"] and on_day.search(of["ranges"])
+    assert not any(on_day.search(of[name]) for name in ("aggregate", "values", "result"))
+
+
+def test_scratch_tables_are_dropped(spark):
+    with Scratch(spark) as scratch:
+        kept = scratch(spark.range(3), "t")
+        assert kept.count() == 3
+        place, system = folder(spark, scratch.root)
+        assert system.exists(place)
+    assert not system.exists(place)
+
+
+def test_sweep_spares_the_living(spark):
+    own = Scratch(spark)
+    own(spark.range(1), "t")
+    other = own.root.replace(spark.sparkContext.applicationId, "app-gone")
+    spark.range(1).write.parquet(f"{other}/01-t")
+    assert other.rsplit("/", 1)[1] not in sweep(spark, hours=1)
+    assert other.rsplit("/", 1)[1] in sweep(spark, hours=0)
+    place, system = folder(spark, own.root)
+    assert system.exists(place)
+    own.drop()
 
 
 def full(spark, values):
