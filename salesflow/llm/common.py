@@ -1,7 +1,8 @@
 """What the text operators share: reading documents, running a function over whole
 texts in Arrow batches, and intermediate tables in the shared folder."""
 
-import os
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.session import workspace
+from salesflow import session
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: A mapping task hands on a batch whenever it has gathered this many characters of input.
 CHUNK_CHARS = 4_000_000
+#: Of Spark: the most bytes of one batch sent to a worker, where the session sets none of its own.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Words in a generation of a word cache; two generations bound a worker's memory.
 CACHE_WORDS = 250_000
 #: The same where a word's value is a hash, quickly computed again.
@@ -29,8 +31,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    """Let Python workers import this package from where the driver has it, and bound what one
+    batch of texts holds in them: some rows are a few bytes, some many megabytes."""
+    session.ship(spark)
+    if spark.conf.get(BATCH_SETTING, None) in (None, str(2**31 - 1), "-1"):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
+def free(columns: Iterable[str], name: str) -> str:
+    """``name``, made longer until no column has it. Spark tells names apart without case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class WordCache(dict):
@@ -69,8 +82,15 @@ def held(key, make: Callable):
 
 
 def release() -> None:
-    """Frees what an earlier stage kept in this worker."""
+    """Frees what an earlier stage kept in this worker, and hands unused memory back."""
     _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def over_texts(make: Callable[[], Callable[[str], tuple]], schema: pa.Schema) -> Callable:
@@ -110,7 +130,7 @@ class Stored:
     """Intermediate tables of one run, in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, workspace(spark, label)
+        self.spark, self.root = spark, session.workspace(spark, label)
 
     def __call__(self, frame: DataFrame, name: str, keep: bool = True) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
