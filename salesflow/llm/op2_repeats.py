@@ -14,17 +14,22 @@ Each byte covered by a string of ``least`` bytes that also starts elsewhere goes
    finer key (the smallest hashes of both halves of a window), at last by the window itself,
    where equal keys are equal bytes and nothing is left to index. Nothing is dropped.
 
+A long stretch of one period (a line repeated, padding) repeats throughout by itself. It is
+found before anything is shuffled: its span is known, and of its windows only those of
+the first two periods and of its end go on, which are all the different ones it has.
+
 The same steps find repeats by words instead of bytes (``unit`` WORDS): the elements are then
 64-bit hashes of the words, ``least`` counts words, and white space is not compared.
 
-Null texts count as empty. Rows are told apart by what they hold: two rows of equal id and
+Null texts count as empty. Rows are told apart by id and a hash of the text: two rows of equal id and
 text are two documents and repeat each other. Only doc_id and text are read (``remove``
-keeps all columns), so extra columns of any name do no harm. An empty table gives an
-empty result.
+keeps all columns), and helper columns take names that are free, so extra columns of any
+name do no harm. An empty table gives an empty result.
 """
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -33,10 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import CHUNK_CHARS, Stored, documents, mixed, release
+from salesflow.llm.common import CHUNK_CHARS, Stored, documents, free, mixed, release, ship
 from salesflow.llm.run_index import RunIndex, _words
 
 LEAST = 400
+#: Passages of over 50 words are repeats too, of however few bytes.
+PASSAGE_WORDS = 51
 #: Bytes an element has: of texts as bytes, and as words.
 BYTES, WORDS = 1, 8
 #: Elements of a k-gram: shared lines shorter than this never decide a key.
@@ -44,8 +51,11 @@ GRAM = {BYTES: 96, WORDS: 12}
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of segments in one index.
 SHARD_BYTES = 1_000_000
-#: Different segments of one key from which it is hot.
+#: A key with more different segments, or more bytes of them, is hot.
 HOT_SEGMENTS = 3000
+HOT_BYTES = 4 * SHARD_BYTES
+#: Segments of so many times the least length are searched for periods.
+LONG = 4
 
 SEGMENTS = [
     ("doc_id", pa.int64(), "long"),
@@ -59,11 +69,6 @@ SEGMENTS = [
 DDL = ", ".join(f"{name} {sql}" for name, _, sql in SEGMENTS)
 
 
-def version_of(raw: bytes) -> int:
-    """Tells rows of one id but different texts apart."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64))
-
-
 def elements(raw: bytes, unit: int) -> bytes:
     """A text as a string of elements: itself, or the hashes of its words, below 2^63."""
     if unit == BYTES:
@@ -119,25 +124,59 @@ def segments_of(raw: bytes, level: int, least: int, unit: int = BYTES) -> list[t
         keys = mixed(near[:n] * np.uint64(0x9E3779B97F4A7C15) + mixed(near[least // 2 :][:n]) + keys)
     firsts, ends = runs(keys)
     found = []
-    for a, b, key in zip(firsts.tolist(), ends.tolist(), keys[firsts].tolist()):
+
+    def segment(a, b, key):
         part = raw[unit * a : unit * (b + least - 1)]
         # at the first level, a second place of the key is needed for a repeat within
         own = b - a > 1 and (level == 1 or int(np.count_nonzero(h[a : b + width - 1] == np.uint64(key))) > 1)
         found.append((a, len(part) // unit, key - (1 << 64) if key >= 1 << 63 else key, xxhash.xxh3_128_digest(part), own))
+
+    for a, b, key in zip(firsts.tolist(), ends.tolist(), keys[firsts].tolist()):
+        at = a
+        if level == 0 and b - a > LONG * least:
+            marks = a + np.flatnonzero(h[a : b + width - 1] == np.uint64(key))
+            for first, end, period in periodic(raw, unit, a, b + least - 1, marks, least):
+                # windows from here on, but for those that reach the end, are like earlier ones
+                segment(at, first + 2 * period, key)
+                found.append((first, end - first, None, None, False))
+                at = end - least + 1
+        if at < b:
+            segment(at, b, key)
+    return found
+
+
+def periodic(raw: bytes, unit: int, a: int, stop: int, marks: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(first, end, period) of long stretches of elements a..stop that repeat themselves; the
+    places of one k-gram tell the periods worth trying. Stretches do not overlap."""
+    text = np.frombuffer(raw, np.uint8 if unit == BYTES else np.uint64)
+    gaps, found, free = np.diff(marks), [], a
+    if not len(gaps):
+        return []
+    for first, end in zip(*runs(gaps)):
+        period, start = int(gaps[first]), max(free, int(marks[first]))
+        last = int(marks[end])
+        if last - start < LONG * least or last - start < 4 * period:
+            continue
+        # the stretch may begin before the first and end after the last of the places
+        back = text[free : start][::-1] == text[free + period : start + period][::-1]
+        start -= len(back) if back.all() else int(back.argmin())
+        ahead = text[start : stop - period] == text[start + period : stop]
+        close = stop if ahead.all() else start + period + int(ahead.argmin())
+        if close - start >= LONG * least and close - start >= 4 * period:
+            found.append((start, close, period))
+            free = close
     return found
 
 
 def _segments(least, unit, batches):
     release()
     for batch in batches:
-        ids, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
+        ids, versions, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), 0
         while at < len(ids):
             rows, size = [], 0
             while at < len(ids) and size < CHUNK_CHARS:
                 raw = (texts[at].as_py() or "").encode("utf-8", "surrogatepass")
-                parts = elements(raw, unit)
-                version = version_of(raw) if len(parts) >= least * unit else 0
-                rows += [(ids[at], version, *found) for found in segments_of(parts, 0, least, unit)]
+                rows += [(ids[at], versions[at], *found) for found in segments_of(elements(raw, unit), 0, least, unit)]
                 size += len(raw)
                 at += 1
             yield _batch(rows)
@@ -153,15 +192,13 @@ def _fetched(unit, batches):
     for batch in batches:
         rows = []
         for doc_id, version, places, text in zip(*(batch.column(i) for i in range(4))):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            if version_of(raw) == version.as_py():
-                parts = elements(raw, unit)
-                for p in places.as_py():
-                    part = parts[unit * p["start"] : unit * (p["start"] + p["size"])]
-                    rows.append((doc_id.as_py(), version.as_py(), p["start"], p["key"], p["hot"], part))
-                if len(rows) > 5_000:
-                    yield _bytes_batch(rows)
-                    rows = []
+            parts = elements((text.as_py() or "").encode("utf-8", "surrogatepass"), unit)
+            for p in places.as_py():
+                part = parts[unit * p["start"] : unit * (p["start"] + p["size"])]
+                rows.append((doc_id.as_py(), version.as_py(), p["start"], p["key"], p["hot"], part))
+            if len(rows) > 5_000:
+                yield _bytes_batch(rows)
+                rows = []
         if rows:
             yield _bytes_batch(rows)
 
@@ -199,23 +236,38 @@ def _indexed(least, unit, table):
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "version", "start", "stop"])
 
 
+#: A document: its id, whether that is null, and a hash of its text.
+DOCUMENT = ["id", "no_id", "version"]
+
+
+def identified(doc_id, text) -> list:
+    """The columns of DOCUMENT; none is null, so that equal ones meet in a plain join."""
+    doc_id = doc_id.cast("long")
+    return [F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))]
+
+
 def repeated_spans(docs: DataFrame, stored: Stored, least: int = LEAST, unit: int = BYTES) -> DataFrame:
     """(doc_id, version, start, stop, unit): elements to remove, spans of a document may overlap."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    segments = stored(rows.mapInArrow(partial(_segments, least, unit), DDL), "segments")
-    spans, level = [], 0
+    ship(docs.sparkSession)
+    keys = identified(docs["doc_id"], docs["text"])
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *(c.alias(n) for c, n in zip(keys, DOCUMENT)))
+    segments = stored(rows.select("doc_id", "version", "text").mapInArrow(partial(_segments, least, unit), DDL), "segments")
+    periods = segments.filter("key is null").select("doc_id", "version", "start", (F.col("start") + F.col("size")).alias("stop"))
+    segments, spans, level = segments.filter("key is not null"), [periods], 0
     while True:
         one = F.min(F.struct("doc_id", "version", "start", "size", "own")).alias("one")
         distinct = stored(segments.groupBy("key", "digest").agg(F.count("*").alias("times"), one), "distinct")
         again = distinct.filter("times > 1").select("key", "digest")
         spans.append(segments.join(again, ["key", "digest"]).select("doc_id", "version", "start", (F.col("start") + F.col("size")).alias("stop")))
-        kinds = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"), F.max("one.own").alias("own"))
-        open_keys = kinds.filter("fewest = 1 and (kinds > 1 or own)").select("key", (F.col("kinds") > HOT_SEGMENTS).alias("hot"))
+        kinds = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"), F.max("one.own").alias("own"), F.sum("one.size").alias("total"))
+        too_much = (F.col("kinds") > HOT_SEGMENTS) | (F.col("kinds") > 1) & (F.col("total") * unit > HOT_BYTES)
+        open_keys = kinds.filter("fewest = 1 and (kinds > 1 or own)").select("key", too_much.alias("hot"))
         wanted = distinct.join(open_keys, "key").select("one.*", "key", "hot")
         if level == 0:
             places = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "size", "key", "hot")).alias("places"))
-            texts = rows.withColumnRenamed("doc_id", "id")
-            found = places.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "version", "places", "text")
+            places = places.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "version", "places")
+            # of rows of equal id and text one is enough; the join has brought them together
+            found = places.join(rows, DOCUMENT).dropDuplicates(DOCUMENT).select("doc_id", "version", "places", "text")
             held = found.mapInArrow(partial(_fetched, unit), "doc_id long, version long, start long, key long, hot boolean, bytes binary")
         else:
             # the bytes are in the hot segments of the level before; a place lies in one of them
@@ -263,67 +315,81 @@ def _byte_spans(raw: bytes, spans: list[dict]) -> list[tuple[int, int]]:
     return found
 
 
-def _kept(batches):
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.string()]
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+def cut(text: str, spans: list[dict]) -> tuple[bytes, bytes, int]:
+    """A text in UTF-8, what is left of it, and the number of removed runs."""
+    raw = text.encode("utf-8", "surrogatepass")
+    found, parts, end = merged(_byte_spans(raw, spans)), [], 0
+    for a, b in found:
+        parts.append(raw[end:a])
+        end = b
+    return raw, b"".join([*parts, raw[end:]]), len(found)
+
+
+def _counted(batches):
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
     for batch in batches:
         rows = []
         for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            version = version_of(raw) if found else 0
-            spans = merged(_byte_spans(raw, [s for s in found or () if s["version"] == version]))
-            parts, end = [], 0
-            for a, b in spans:
-                parts.append(raw[end:a])
-                end = b
-            kept = b"".join([*parts, raw[end:]])
-            text = kept.decode("utf-8", "ignore") if spans else None
-            rows.append((doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), text))
+            of = {unit: [s for s in found or () if s["unit"] == unit] for unit in (BYTES, WORDS)}
+            raw, kept, n = cut(text.as_py() or "", of[BYTES])
+            words = sum(b - a for a, b in merged([(s["start"], s["stop"]) for s in of[WORDS]]))
+            rows.append((doc_id, len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), words))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """All columns of ``docs``, and the spans of each row's id (null: none)."""
-    each = spans.groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_list(F.struct("version", "start", "stop", "unit")).alias("_spans"))
-    return docs.join(each, F.col("doc_id").eqNullSafe(F.col("_span_id")), "left").drop("_span_id")
+def with_spans(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """All columns of ``docs``, and as ``name`` the spans of each row (null: none)."""
+    keys = []
+    for key in DOCUMENT:
+        keys.append(free([*docs.columns, name, *keys], f"_{key}"))
+    no_id = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("version")]
+    # rows of equal id and text share their spans: each of them has all
+    each = spans.groupBy(*(c.alias(k) for c, k in zip(no_id, keys))).agg(F.collect_set(F.struct("start", "stop", "unit")).alias(name))
+    marked = docs.withColumns(dict(zip(keys, identified(docs["doc_id"], docs["text"]))))
+    return marked.join(each, keys, "left").drop(*keys)
 
 
 def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; kept: the text that is
-    left where something went (parts of cut characters dropped), else null."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    return _with_spans(rows, spans).select("doc_id", "text", "_spans").mapInArrow(_kept, ddl)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 by the spans of bytes, and n_passage_words by
+    those of words, of every row."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
+    return with_spans(rows, spans, "spans").select("doc_id", "text", "spans").mapInArrow(_counted, ddl)
 
 
 def remove(docs: DataFrame, stored: Stored, least: int = LEAST, least_words: int | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, with repeated bytes removed from the text and
-    n_chars counted anew where it changed; rows of which nothing is left go. With
+    """The rows of ``docs``, all columns, with repeated bytes removed from the text (parts of cut
+    characters dropped) and n_chars counted anew where it changed; rows of which nothing is left go. With
     ``least_words``, what repeats so many words goes as well, of however few bytes, and so do
     rows of which only white space is left."""
-    schema = docs.schema
-
-    def run(batches):
-        for batch in batches:
-            found = pa.RecordBatch.from_arrays([batch.column(i) for i in (-3, -2, -1)], names=["doc_id", "text", "spans"])
-            texts = batch.column("text").to_pylist()
-            kept = [row for part in _kept([found]) for row in part.column("kept").to_pylist()]
-            texts = [old if new is None else new for old, new in zip(texts, kept)]
-            out = batch.select(schema.names).set_column(schema.names.index("text"), "text", pa.array(texts, pa.string()))
-            gone = [new is not None and not (new.strip(" \t\n\v\f\r") if least_words else new) for new in kept]
-            yield out.filter(pa.array([not g for g in gone], pa.bool_()))
-
-    whole = docs.withColumn("text", F.col("text").cast("string"))
     spans = repeated_spans(docs, stored, least)
     if least_words:
         spans = spans.unionByName(repeated_spans(docs, stored, least_words, WORDS))
-    rows = _with_spans(whole, spans).withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.col("text"), "_found": F.col("_spans")}).drop("_spans")
-    out = rows.mapInArrow(run, whole.schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+    @F.arrow_udf("string")
+    def left(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        release()
+        for texts, found in batches:
+            kept = [cut(t.as_py(), own.as_py())[1].decode("utf-8", "ignore") if t.is_valid else None for t, own in zip(texts, found)]
+            yield pa.array(kept, pa.string())
+
+    name = free(docs.columns, "_spans")
+    kept = free([*docs.columns, name], "_kept")
+    rows = with_spans(docs.withColumn("text", docs["text"].cast("string")), spans, name)
+    # of a text that loses nothing, nothing is sent to Python
+    lost = rows[name].isNotNull()
+    rows = rows.withColumn(kept, left(F.when(lost, F.coalesce("text", F.lit(""))), rows[name]))
+    blank = F.regexp_replace(F.col(kept), r"^[\x20\x09-\x0D]+$", "") if least_words else F.col(kept)
+    out = rows.filter(F.col(name).isNull() | (F.length(blank) > 0))
+    out = out.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(F.col(kept))).drop(name, kept)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without strings of 400 bytes found elsewhere."""
-    docs = documents(spark, sf_dir)
-    return removed(docs, repeated_spans(docs, Stored(spark, "repeats"))).drop("kept")
+    """What is left of every document without strings of 400 bytes found elsewhere, and how many of
+    its words lie in passages of ``PASSAGE_WORDS`` words found elsewhere."""
+    docs, stored = documents(spark, sf_dir), Stored(spark, "repeats")
+    spans = repeated_spans(docs, stored).unionByName(repeated_spans(docs, stored, PASSAGE_WORDS, WORDS))
+    return removed(docs, spans)

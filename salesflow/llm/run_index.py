@@ -58,27 +58,48 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         width *= 2
 
 
+#: Steps of 8 elements that all pairs take together, before long matches are followed one by one.
+STEPS = 64
+
+
 def _common(words: np.ndarray, text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of the suffixes at ``a`` and ``b``."""
     n, length = len(text), np.zeros(len(a), np.int64)
-    active = np.arange(len(a))
-    while len(active):
+    active, ended = np.arange(len(a)), []
+    for _ in range(STEPS):
+        if not len(active):
+            break
         i, j = a[active] + length[active], b[active] + length[active]
         inside = np.maximum(i, j) + 8 <= n
         same = np.zeros(len(active), bool)
         same[inside] = words[i[inside]] == words[j[inside]]
         length[active[same]] += 8
-        last = active[~same]
-        for _ in range(8):
-            i, j = a[last] + length[last], b[last] + length[last]
-            equal = np.maximum(i, j) < n
-            equal[equal] = text[i[equal]] == text[j[equal]]
-            last = last[equal]
-            length[last] += 1
+        ended.append(active[~same])
         active = active[same]
+    for k in active.tolist():
+        length[k] += _follow(text, int(a[k] + length[k]), int(b[k] + length[k]))
+    last = np.concatenate(ended) if ended else active
+    for _ in range(8):
+        i, j = a[last] + length[last], b[last] + length[last]
+        equal = np.maximum(i, j) < n
+        equal[equal] = text[i[equal]] == text[j[equal]]
+        last = last[equal]
+        length[last] += 1
     return length
 
 
+def _follow(text: np.ndarray, i: int, j: int) -> int:
+    """Length of the common prefix of two suffixes, compared in pieces of doubling size."""
+    done, piece, most = 0, 1024, len(text) - max(i, j)
+    while done < most:
+        size = min(piece, most - done)
+        same = text[i + done : i + done + size] == text[j + done : j + done + size]
+        if not same.all():
+            return done + int(same.argmin())
+        done, piece = done + size, 2 * piece
+    return done
+
+
 class RunIndex:
     """Index of ``strings`` of bytes, or of 64-bit elements (``unit`` 8; all places and lengths
     are then in elements). An element of bytes 0xFF follows each; UTF-8 has no such byte and

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,6 +44,42 @@ def removed(texts, least):
     return out
 
 
+def passage_windows(texts, least):
+    """For each text its words, and whether a run of ``least`` of them from each also starts elsewhere."""
+    words = [list(re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for t in texts]
+    windows = [[tuple(m[0] for m in found[i : i + least]) for i in range(len(found) - least + 1)] for found in words]
+    seen = Counter(w for one in windows for w in one)
+    return [(found, [seen[w] > 1 for w in one]) for found, one in zip(words, windows)]
+
+
+def passage_words(texts, least):
+    """For each text the number of words in such runs."""
+    out = []
+    for found, again in passage_windows(texts, least):
+        gone = np.zeros(len(found), bool)
+        for i in np.flatnonzero(again):
+            gone[i : i + least] = True
+        out.append(int(gone.sum()))
+    return out
+
+
+def without_repeats(texts, least, least_words):
+    """What is left of each text without either kind of repeat; None where that is blank."""
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(raw[i : i + least] for raw in raws for i in range(len(raw) - least + 1))
+    out = []
+    for raw, (found, again) in zip(raws, passage_windows(texts, least_words)):
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - least + 1):
+            if seen[raw[i : i + least]] > 1:
+                gone[i : i + least] = True
+        for i in np.flatnonzero(again):
+            gone[found[i].start() : found[i + least_words - 1].end()] = True
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        out.append(None if gone.any() and not kept.strip(" \t\n\v\f\r") else kept)
+    return out
+
+
 def linked(pairs, width, percent):
     """doc_id -> (set size, smallest doc_id reachable), ids taken as one document."""
     sets = []
@@ -88,9 +125,12 @@ def test_repeats_equal_brute_force(spark, frame, odd, monkeypatch, hot):
     more = [(200 + k, a[:400] + passage[: 400 + 10 * (k % 4)] + a[400:]) for k, a in enumerate(around)]
     pairs = [*odd, *more, (300, "xy" * 900), (301, around[0][100:700])]
     docs = frame(pairs)
-    found = op2_repeats.removed(docs, op2_repeats.repeated_spans(docs, Stored(spark, "test")))
-    expected = [(i, *row[:4]) for (i, _), row in zip(pairs, removed([t for _, t in pairs], 400))]
-    assert sorted((tuple(r)[:5] for r in found.collect()), key=repr) == sorted(expected, key=repr)
+    stored, texts = Stored(spark, "test"), [t for _, t in pairs]
+    spans = op2_repeats.repeated_spans(docs, stored).unionByName(op2_repeats.repeated_spans(docs, stored, 51, op2_repeats.WORDS))
+    found = op2_repeats.removed(docs, spans)
+    expected = [(i, *row[:4], words) for (i, _), row, words in zip(pairs, removed(texts, 400), passage_words(texts, 51))]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+    assert any(row[5] for row in expected) and any(row[2] and not row[5] for row in expected)
     left = op2_repeats.remove(docs, Stored(spark, "test"))
     assert left.columns == docs.columns
     texts = sorted((repr((r["doc_id"], r["text"])) for r in left.collect()))
@@ -98,6 +138,62 @@ def test_repeats_equal_brute_force(spark, frame, odd, monkeypatch, hot):
     assert texts == sorted(map(repr, kept))
 
 
+def test_helper_names_are_free(spark, odd):
+    """Columns named like those that stages add for themselves are kept as they are."""
+    from salesflow.llm.common import ship
+
+    ship(spark)
+    extra = ["_terms", "_spans", "_SPANS_", "_kept", "_id", "_no_id", "_version", "_text", "_lang", "_of", "_found", "version", "start", "spans"]
+    rows = [(i, t, "en", *[f"{c}{i}" for c in extra]) for i, t in odd]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in extra))
+    known = {repr(i): [f"{c}{i}" for c in extra] for i, _ in odd}
+    for made in (op9_quality.keep(docs, op9_quality.learn(docs)), op2_repeats.remove(docs, Stored(spark, "test"), least_words=51)):
+        got = made.collect()
+        assert made.columns == docs.columns and 0 < len(got) < len(odd)
+        assert all(list(r)[3:] == known[repr(r["doc_id"])] for r in got)
+
+
+def test_rows_without_an_id_share_no_spans(spark, frame):
+    """Each text has its own; of equal rows one is fetched and all are cut."""
+    draw = random.Random(9)
+    passage = "".join(draw.choice("abcdefgh ") for _ in range(420))
+    pairs = [(None, "".join(draw.choice("klmnop ") for _ in range(300)) + passage) for _ in range(60)] + [(None, passage + "end")] * 20
+    docs = frame(pairs)
+    spans = op2_repeats.repeated_spans(docs, Stored(spark, "test"))
+    assert spans.count() <= 6 * len(pairs)
+    marked = op2_repeats.with_spans(docs, spans, "found").select("found").collect()
+    assert len(marked) == 80 and sum(len(r[0] or ()) for r in marked) <= 6 * len(pairs)
+    got = op2_repeats.removed(docs, spans).collect()
+    expected = removed([t for _, t in pairs], 400)
+    assert sorted(tuple(r)[1:5] for r in got) == sorted(row[:4] for row in expected)
+
+
+@pytest.mark.parametrize("unit", [op2_repeats.BYTES, op2_repeats.WORDS])
+def test_periods_of_long_texts(spark, frame, unit):
+    """Repeated letters, lines and paragraphs in long texts, alone and beside windows of theirs elsewhere."""
+    draw = random.Random(21)
+    prose = lambda n: "".join(draw.choice("abcdefghijk lm") for _ in range(n))
+    paragraph = " ".join("".join(draw.choice("abcdefg") for _ in range(4)) for _ in range(30))
+    texts = ["xy " * 1500, prose(500) + "xy " * 1400 + prose(500), "q" * 6000 + prose(100), prose(90) + (paragraph + "\n") * 40 + prose(700)]
+    texts += [prose(300) + "xy " * 140 + prose(50), (paragraph + "\n") * 4, "q" * 399 + "r", "q" * 401, prose(3000), "y x" * 1700 + "z " + "xy " * 900]
+    docs, least = frame(list(enumerate(texts))), 400 if unit == op2_repeats.BYTES else 51
+    spans = op2_repeats.repeated_spans(docs, Stored(spark, "test"), least, unit)
+    got = {r["doc_id"]: tuple(r) for r in op2_repeats.removed(docs, spans).collect()}
+    if unit == op2_repeats.BYTES:
+        assert {i: row[1:5] for i, row in got.items()} == dict(enumerate(row[:4] for row in removed(texts, 400)))
+    else:
+        assert [got[i][5] for i in range(len(texts))] == passage_words(texts, 51)
+
+
+def test_a_text_of_megabytes_of_one_period():
+    raw = b"xy" * 4_000_000 + b"the end"
+    started = time.monotonic()
+    found = op2_repeats.segments_of(raw, 0, 400)
+    assert time.monotonic() - started < 20
+    assert sum(size for _, size, key, _, _ in found if key is not None) < 5000
+    assert (0, 8_000_000, None, None, False) in found
+
+
 def removed_words(texts, least):
     """What is left of each text without runs of ``least`` words that also start elsewhere."""
     words = [list(re.finditer(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
@@ -274,8 +370,8 @@ def test_pipeline_equals_brute_force(spark):
     pairs = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good)
     roots = {i: root for i, _, root in linked(pairs, 5, 80)}
     pairs = [(i, t) for i, t in pairs if roots[i] == i]
-    left = removed([t for _, t in pairs], 400)
-    pairs = [(i, t if not row[1] else row[4]) for (i, t), row in zip(pairs, left) if not row[1] or row[4]]
+    left = without_repeats([t for _, t in pairs], 400, 51)
+    pairs = [(i, t) for (i, _), t in zip(pairs, left) if t is not None]
     novelty, final = op3_secrets.Novelty(), []
     for i, text in pairs:
         base = op3_secrets.base_spans(text)
