@@ -5,9 +5,6 @@ from pyspark.sql import DataFrame, SparkSession
 from salesflow.llm import op2_repeats, op3_secrets, op8_jaccard, op9_quality, op10_packing
 from salesflow.llm.common import Stored, documents
 
-#: Passages of over 50 words go if they repeat, of however few bytes.
-PASSAGE_WORDS = 51
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence verdict keep. Null and short texts go."""
@@ -21,9 +18,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without strings of 400 bytes and passages of ``PASSAGE_WORDS`` words that
+    """All documents, without strings of 400 bytes and passages of 51 words that
     also start elsewhere; a document of which nothing is left goes."""
-    return op2_repeats.remove(docs, Stored(spark, "repeats"), least_words=PASSAGE_WORDS)
+    return op2_repeats.remove(docs, Stored(spark, "repeats"), least_words=op2_repeats.PASSAGE_WORDS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
