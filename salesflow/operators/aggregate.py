@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from salesflow.functions import per, to_units, to_usd
 from salesflow.operators.clean import clamped_days, valid_zips
 from salesflow.operators.enrich import enrich_sku, enrich_zip, local_flag
+from salesflow.operators.reduction import reduced_join
 from salesflow.schemas import GROUP_KEYS, UNKNOWN_CATEGORY, UNKNOWN_GROUP
 from salesflow.sources.lookups import Lookups
 
@@ -71,7 +72,11 @@ def _joined_sums(rows: DataFrame, lookups: Lookups, by: Sequence[str], of: Measu
         # collapsed before the rows are shuffled on their code: a hot code is gone by then
         rows = _collapsed(rows, [*by, "transaction_date", "maturity_date", "sku_id", "zip_code", *of.keys], of)
     zips = lookups.zip_side(_numbered_rows(lookups.zip, "zip_code") if of.counting else None)
-    rows = rows.transform(enrich_zip, zips).transform(local_flag).transform(_after_join, "_zip", of)
+    if lookups.zip_small or not lookups.zip_rows:
+        rows = rows.transform(enrich_zip, zips)
+    else:
+        rows = reduced_join(rows, zips, "zip_code", lookups.zip_rows, enrich_zip)
+    rows = rows.transform(local_flag).transform(_after_join, "_zip", of)
     if lookups.sku_small and lookups.few_categories:
         return _direct(rows, lookups, by, of)
     return _by_sku(rows, lookups, by, of)
@@ -100,7 +105,11 @@ def _by_sku(localized: DataFrame, lookups: Lookups, by: Sequence[str], of: Measu
     to the SKU join, so a hot SKU is gone before anything is shuffled on it."""
     per_sku = _collapsed(localized, [*by, "transaction_date", "maturity_date", "sku_id", "local", *of.keys], of)
     skus = lookups.sku_side(_numbered_rows(lookups.sku, "sku_id") if of.counting else None)
-    joined = per_sku.transform(enrich_sku, skus).transform(_after_join, "_sku", of)
+    if lookups.sku_small or not lookups.sku_rows:
+        joined = per_sku.transform(enrich_sku, skus)
+    else:
+        joined = reduced_join(per_sku, skus, "sku_id", lookups.sku_rows, enrich_sku)
+    joined = joined.transform(_after_join, "_sku", of)
     return _grouped(joined, by, of, F.min("category").alias("category"))
 
 

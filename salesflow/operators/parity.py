@@ -1,5 +1,6 @@
 """Compare an incremental result with a recomputed one."""
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -52,14 +53,16 @@ def parity_head(diff: DataFrame, k: int = 5, keys: list[str] = GROUP_KEYS) -> Da
     return diff.orderBy(*keys).limit(k)
 
 
-def parity_summary(incremental: DataFrame, baseline: DataFrame, day: str | None = None, **kw) -> DataFrame:
-    """One row: how many keys were compared, are missing, or differ per metric.
+def parity_summary(
+    incremental: DataFrame, baseline: DataFrame, day: str | None = None, by: Sequence[str] = (), **kw
+) -> DataFrame:
+    """One row (or one per ``by``): how many keys were compared, are missing, or differ per metric.
 
     Nothing to compare is a pass. So is an incremental side without any row, as
     there was then nothing to process.
     """
     one_sided = F.col("found_in") != "both"
-    counts = parity_join(incremental, baseline, day, **kw).agg(
+    counts = parity_join(incremental, baseline, day, **kw).groupBy(*by).agg(
         F.count(F.lit(1)).alias("keys_compared"),
         F.count_if(F.col("found_in") != RIGHT).alias("incremental_keys"),
         F.count_if(F.col("found_in") == LEFT).alias("only_in_incremental"),

@@ -34,6 +34,7 @@ from salesflow.plans.pipeline import sales
 from salesflow.plans.ledger import KEYS, Ledger
 from salesflow.plans.state import day_counts, days_since, marks, state_path, stored_days, to_state, write_days
 from salesflow.schemas import STATE_KEYS, TRANSACTIONS
+from salesflow.session import Scratch
 from salesflow.sources.lookups import Lookups
 
 log = logging.getLogger(__name__)
@@ -135,6 +136,19 @@ def check_day(txn: DataFrame, lookups: Lookups, state: DataFrame, client_id: str
     return False
 
 
+def check_days(txn: DataFrame, lookups: Lookups, state: DataFrame, most: int = 5) -> DataFrame:
+    """The verdict of every stored client-day, all recomputed in one job. Logs how many differ,
+    and the first of them."""
+    days = state.select(*KEYS).distinct()
+    again = sales(on_days(txn, days), lookups, by=["client_id"]).transform(to_state)
+    verdicts = Scratch(txn.sparkSession)(parity_summary(state, again, by=KEYS, keys=STATE_KEYS), "verdicts")
+    wrong = verdicts.filter("not parity_pass")
+    if number := wrong.count():
+        first = [tuple(r) for r in wrong.orderBy(*KEYS).limit(most).select(*KEYS).collect()]
+        log.warning("%d stored days differ from their recomputation, the first are %s", number, first)
+    return verdicts
+
+
 def due_days(landed: DataFrame, since: DataFrame, inclusive: bool) -> DataFrame:
     """The landed client-days to process, for clients and their last stored days."""
     day, mark = F.col("transaction_date"), F.col("last_processed_date")

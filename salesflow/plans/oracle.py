@@ -430,6 +430,19 @@ def _texts() -> dict[str, str]:
                   {_BOTH_SIDES})""",
             copy=_PERTURBED,
         ),
+        "stored_day_parity": _sales(
+            f"""SELECT *, only_in_incremental + only_in_baseline
+                   + {' + '.join(f'differs_{m}' for m in _METRICS)} = 0 OR incremental_keys = 0 AS parity_pass
+            FROM (SELECT coalesce(i.client_id, b.client_id) AS client_id,
+                   CAST(coalesce(i.transaction_date, b.transaction_date) AS VARCHAR) AS transaction_date,
+                   count(*) AS keys_compared, count(i.order_count) AS incremental_keys,
+                   count(*) FILTER (WHERE b.order_count IS NULL) AS only_in_incremental,
+                   count(*) FILTER (WHERE i.order_count IS NULL) AS only_in_baseline,
+                   {', '.join(f'count(*) FILTER (WHERE i.order_count IS NOT NULL AND b.order_count IS NOT NULL AND {_differs(m, _VERDICT)}) AS differs_{m}' for m in _METRICS)}
+                  {_BOTH_SIDES} AND i.client_id = b.client_id GROUP BY 1, 2)""",
+            by="client_id,",
+            copy=_PERTURBED,
+        ),
         "parity_diff": _sales(
             f"""SELECT CAST(coalesce(i.transaction_date, b.transaction_date) AS VARCHAR) AS transaction_date,
                    CAST(coalesce(i.maturity_date, b.maturity_date) AS VARCHAR) AS maturity_date,

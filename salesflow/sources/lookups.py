@@ -2,7 +2,8 @@
 
 A lookup is broadcast only after one small job has measured it. Past the limit,
 or when nothing was measured, the plans join by shuffle instead and shrink the
-transactions first (see ``operators.aggregate``).
+transactions first (see ``operators.aggregate``); with a measured number of rows, what has no
+match is kept out of that shuffle (``operators.reduction``).
 """
 
 from dataclasses import dataclass
@@ -28,6 +29,8 @@ class Lookups:
     zip_small: bool = False
     few_groups: bool = False
     few_categories: bool = False
+    sku_rows: int = 0
+    zip_rows: int = 0
 
     @classmethod
     def measured(
@@ -44,12 +47,13 @@ class Lookups:
             for row in sizes.groupBy("name")
             .agg(
                 F.sum("width").alias("size"),
+                F.count(F.lit(1)).alias("rows"),
                 F.approx_count_distinct("group").alias("groups"),
                 F.approx_count_distinct("category").alias("categories"),
             )
             .collect()
         }
-        nothing = {"size": 0, "groups": 0, "categories": 0}
+        nothing = {"size": 0, "rows": 0, "groups": 0, "categories": 0}
         sku_found, zip_found = found.get("sku", nothing), found.get("zip", nothing)
         return cls(
             sku=sku,
@@ -58,6 +62,8 @@ class Lookups:
             zip_small=zip_found["size"] <= broadcast_limit,
             few_groups=sku_found["groups"] <= group_limit,
             few_categories=sku_found["categories"] <= group_limit,
+            sku_rows=sku_found["rows"],
+            zip_rows=zip_found["rows"],
         )
 
     def sku_side(self, frame: DataFrame | None = None) -> DataFrame:

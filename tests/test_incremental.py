@@ -280,6 +280,20 @@ def test_parity_check_of_a_stored_day_warns(spark, root, run, lookups, txn_frame
     assert not incremental.check_day(txn, lookups, gone, "client_1", day(2))
 
 
+def test_parity_of_all_stored_days_in_one_job(spark, root, run, lookups, txn_frame, caplog):
+    txn = txn_frame(txn_rows([1, 2]))
+    run(txn)
+    state = states.read_state(spark, states.state_path(spark, root))
+    verdicts = incremental.check_days(txn, lookups, state)
+    assert rows(verdicts, "client_id", "transaction_date", "parity_pass") == [(c, day(d), True) for c in CLIENTS for d in (1, 2)]
+    assert not caplog.records
+    one = (F.col("client_id") == "client_2") & (F.col("transaction_date") == day(2))
+    other = state.withColumn("order_count", F.col("order_count") + F.when(one, 1).otherwise(0))
+    failed = incremental.check_days(txn, lookups, other).filter("not parity_pass")
+    assert rows(failed, "client_id", "transaction_date") == [("client_2", day(2))]
+    assert "1 stored days differ" in caplog.text and day(2) in caplog.text
+
+
 def test_artifacts_of_a_run(lookups, txn_frame):
     made = pipeline.run(txn_frame(txn_rows([1, 2], ["client_1"])), lookups)
     assert made.target_date.first()[0] == day(2)
