@@ -38,8 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import CHUNK_CHARS, Stored, documents, free, mixed, release, ship
+from salesflow.llm.common import CHUNK_CHARS, HASHED_WORDS, Stored, WordCache, documents, free, mixed, release, ship
 from salesflow.llm.run_index import RunIndex, _words
+from salesflow.operators.reduction import filter_bits, key_bitmaps, with_match
 
 LEAST = 400
 #: Passages of over 50 words are repeats too, of however few bytes.
@@ -69,11 +70,12 @@ SEGMENTS = [
 DDL = ", ".join(f"{name} {sql}" for name, _, sql in SEGMENTS)
 
 
-def elements(raw: bytes, unit: int) -> bytes:
+def elements(raw: bytes, unit: int, hashes: dict | None = None) -> bytes:
     """A text as a string of elements: itself, or the hashes of its words, below 2^63."""
     if unit == BYTES:
         return raw
-    return (np.fromiter(map(xxhash.xxh3_64_intdigest, raw.split()), np.uint64) >> np.uint64(1)).tobytes()
+    hashed = map(xxhash.xxh3_64_intdigest if hashes is None else hashes.__getitem__, raw.split())
+    return (np.fromiter(hashed, np.uint64) >> np.uint64(1)).tobytes()
 
 
 def gram_hashes(raw: bytes, unit: int) -> np.ndarray:
@@ -170,13 +172,14 @@ def periodic(raw: bytes, unit: int, a: int, stop: int, marks: np.ndarray, least:
 
 def _segments(least, unit, batches):
     release()
+    hashes = WordCache(xxhash.xxh3_64_intdigest, HASHED_WORDS) if unit == WORDS else None
     for batch in batches:
         ids, versions, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), 0
         while at < len(ids):
             rows, size = [], 0
             while at < len(ids) and size < CHUNK_CHARS:
                 raw = (texts[at].as_py() or "").encode("utf-8", "surrogatepass")
-                rows += [(ids[at], versions[at], *found) for found in segments_of(elements(raw, unit), 0, least, unit)]
+                rows += [(ids[at], versions[at], *found) for found in segments_of(elements(raw, unit, hashes), 0, least, unit)]
                 size += len(raw)
                 at += 1
             yield _batch(rows)
@@ -255,14 +258,18 @@ def repeated_spans(docs: DataFrame, stored: Stored, least: int = LEAST, unit: in
     periods = segments.filter("key is null").select("doc_id", "version", "start", (F.col("start") + F.col("size")).alias("stop"))
     segments, spans, level = segments.filter("key is not null"), [periods], 0
     while True:
-        one = F.min(F.struct("doc_id", "version", "start", "size", "own")).alias("one")
-        distinct = stored(segments.groupBy("key", "digest").agg(F.count("*").alias("times"), one), "distinct")
+        # of equal segments any one will do; firsts of numbers are all of one row, and are hashed
+        one = [F.first(c).alias(c) for c in ("doc_id", "version", "start", "size", "own")]
+        distinct = stored(segments.groupBy("key", "digest").agg(F.count("*").alias("times"), *one), "distinct")
         again = distinct.filter("times > 1").select("key", "digest")
-        spans.append(segments.join(again, ["key", "digest"]).select("doc_id", "version", "start", (F.col("start") + F.col("size")).alias("stop")))
-        kinds = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"), F.max("one.own").alias("own"), F.sum("one.size").alias("total"))
+        # most segments occur once: those are kept from the join's shuffle
+        bits = filter_bits(again.count())
+        maybe = with_match(segments, key_bitmaps(again, "digest", bits), "digest", bits).filter("_may_match").drop("_may_match")
+        spans.append(maybe.join(again, ["key", "digest"]).select("doc_id", "version", "start", (F.col("start") + F.col("size")).alias("stop")))
+        kinds = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"), F.max("own").alias("own"), F.sum("size").alias("total"))
         too_much = (F.col("kinds") > HOT_SEGMENTS) | (F.col("kinds") > 1) & (F.col("total") * unit > HOT_BYTES)
         open_keys = kinds.filter("fewest = 1 and (kinds > 1 or own)").select("key", too_much.alias("hot"))
-        wanted = distinct.join(open_keys, "key").select("one.*", "key", "hot")
+        wanted = distinct.drop("own", "times", "digest").join(open_keys, "key")
         if level == 0:
             places = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "size", "key", "hot")).alias("places"))
             places = places.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "version", "places")

@@ -36,7 +36,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and the rank of each, by prefix doubling over those not yet apart."""
     n = len(text)
     word, width = (_words(text), 8) if text.dtype == np.uint8 else (text, 1)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)  # equal ones are told apart below
     word = word[order]
     heads = np.concatenate([[True], word[1:] != word[:-1]])
     rank = np.empty(n + 1, np.int64)
@@ -49,7 +49,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return order, rank[:n]
         at = order[slots]
         group, following = rank[at], rank[np.minimum(at + width, n)]
-        by = np.lexsort((following, group))
+        by = np.argsort((group << 32) + following + 1)  # both below 2^31
         at, group, following = at[by], group[by], following[by]
         order[slots] = at
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (following[1:] != following[:-1])])
