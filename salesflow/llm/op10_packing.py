@@ -122,7 +122,8 @@ def _two_best(sizes: list[int], counts: dict[int, int], room: int) -> int:
 
 
 def reduce(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """Takes dominating sets out of ``counts``: (times, sizes) of each."""
+    """Takes dominating sets out of ``counts``: (times, sizes) of each. At most two steps a size,
+    whatever the counts."""
     fixed = []
     for large in sorted(counts, reverse=True):
         while counts.get(large, 0):
@@ -134,16 +135,16 @@ def reduce(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]
                 fixed.append((counts.pop(large), [large]))
                 break
             partner = others[-1]
-            smallest = [s for s in others for _ in range(min(3, counts[s] - (s == large)))][:3]
+            smallest = [s for s in others[:3] for _ in range(min(3, counts[s] - (s == large)))][:3]
             dominates = large + partner == capacity or sum(smallest[:2]) > room or len(smallest) < 2
             if not dominates and (len(smallest) < 3 or sum(smallest) > room):
                 left = {s: counts[s] - (s == large) for s in others}
                 dominates = partner >= _two_best([s for s in others if left[s]], left, room)
             if not dominates:
                 break
+            # with fewer items left nothing better fits either, so the pair dominates until one of both
+            # sizes is used up: all such pairs are fixed at once, and each step ends a size
             times = counts[large] // 2 if partner == large else min(counts[large], counts[partner])
-            if large + partner != capacity:
-                times = 1 if partner == large else min(times, 1)
             for size in (large, partner):
                 counts[size] -= times
             fixed.append((times, [large, partner]))
