@@ -2,21 +2,30 @@
 
 Base findings are four fixed patterns with their checks; they always stay. Generators of
 high recall then propose spans of looser form, overlapping ones included. Boosted trees
-score each from its format and the words before it. They are trained here, on candidates
-of at most ``SAMPLE_DOCUMENTS`` documents, where the label is whether the span is a base
-finding or meets a rule for looser forms (``by_rule``: valid IBAN, valid IPv6, a number of 9
-to 15 digits after a word of contact, an obfuscated e-mail); anchors of the base patterns
-that other writings lack (a plus sign, the kind of generator) are no features, so what looks
-like a finding in every other way scores high. What meets a rule is reported at any score,
-so it does not depend on what the sample holds. The threshold is the smallest from
-``LEAST_SCORE`` on with a precision of ``PRECISION`` over all documents that the trees were
-not fitted on, counted in Spark. The trees become one SQL expression: no Python touches a row,
-and nothing is shuffled but the sample.
+score each from its format and the words before it, and what reaches a calibrated threshold is
+reported: nothing else adds a span.
+
+The trees are trained here, on at most ``SAMPLE_DOCUMENTS`` documents. Labels are weak: a
+candidate is personal data if it is a base finding or meets a rule for looser forms
+(``by_rule``: valid IBAN, valid IPv6, a number of 9 to 15 digits after a word of contact, an
+obfuscated e-mail). Looser forms are rare and mostly meet no rule, so each base finding is also
+rewritten, with what stands before it, into forms that people use (without the plus or
+the country, dots for spaces, "(at)", blanks around the @) and into look-alikes that are none (a wrong
+check digit, a date, a plain number, a sentence that goes on after the @); hashes of it give valid
+and invalid IBANs and IPv6 addresses. Rules are thus labels, some of their checks are features, and forms that
+no rule takes are found by what they look like.
+
+The threshold is the smallest from ``LEAST_SCORE`` on with a precision of ``PRECISION`` on the
+candidates of all documents that the trees were not fitted on, and on the rewritten findings of one in
+``REWRITTEN`` of them, counted in Spark. The trees become one SQL expression: no Python touches
+a row, and nothing is shuffled but the sample.
 
 Spans are in code points, end exclusive. Null texts count as empty: no findings, and the
 digest of the empty string. Repeated rows give repeated results. Only doc_id and text are
-read, so extra columns of any name do no harm. Without a finding in the sample there are
-base findings and those of the rules alone.
+read, so extra columns of any name do no harm. Without a base finding in the sample there is
+nothing to learn from, and there are base findings alone. Arrays of matches are built in blocks
+of the square root of their number, so a text of very many matches costs little more
+for each than one of few.
 """
 
 from collections.abc import Callable
@@ -44,17 +53,51 @@ GENERATORS = [
     r"(?<![A-Za-z0-9])[+(]?[0-9][\x20().0-9-]{5,40}[0-9](?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?![A-Za-z0-9])",
     r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    # an IBAN whose last group is short; a shortened IPv6; an obfuscated e-mail before a full stop
+    # an IBAN whose last group is short; a shortened IPv6; a spaced or obfuscated e-mail before a full stop
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}\x20?[A-Z0-9]{1,3}(?![A-Za-z0-9])",
     r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])",
     _FROM.format("A-Za-z0-9._%+-") + r"\s?(?:@|[(\[]at[)\]])\s?[A-Za-z0-9-]++(?:(?:\.|\s?[(\[]dot[)\]]\s?)[A-Za-z0-9-]++)++",
 ]
 #: Cheap patterns of texts that a generator has to search.
-MAY = ["@|at[)\\]]", "[0-9][\\x20().0-9-]{5}", "[A-Z]{2}[0-9]{2}", ":[0-9A-Fa-f]{1,4}:", "[A-Z]{2}[0-9]{2}", "[0-9A-Fa-f]::[0-9A-Fa-f]", "(?:at|dot)[)\\]]"]
+MAY = ["@|at[)\\]]", "[0-9][\\x20().0-9-]{5}", "[A-Z]{2}[0-9]{2}", ":[0-9A-Fa-f]{1,4}:", "[A-Z]{2}[0-9]{2}", "[0-9A-Fa-f]::[0-9A-Fa-f]", "\\s@|@\\s|(?:at|dot)[)\\]]"]
 CONTEXT = 32
 SAMPLE_DOCUMENTS = 4000
 PRECISION, LEAST_SCORE = 0.98, 0.5
-TREES, DEPTH = 12, 3
+TREES, DEPTH = 20, 4
+#: One in so many documents outside the sample also calibrates by its rewritten findings.
+REWRITTEN = 20
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks(array: Column) -> Column:
+    """An array in pieces of the square root of its length."""
+
+    def cut(whole: Column) -> Column:
+        each = F.ceil(F.sqrt(F.greatest(F.size(whole), F.lit(1)))).cast("int")
+        number = F.ceil(F.greatest(F.size(whole), F.lit(1)) / each).cast("int")
+        return F.transform(F.sequence(F.lit(0), number - 1), lambda k: F.slice(whole, k * each + 1, each))
+
+    return let(array, cut)
+
+
+def folded(array: Column, carry: Column, empty: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """An array built element by element: ``step`` gives, from the carry and an element, the next
+    carry and an array to append. Appending copies, so it is done within a block and by whole blocks."""
+
+    def inner(done: Column, one: Column) -> Column:
+        after, more = step(done["carry"], one)
+        return F.struct(after.alias("carry"), F.concat(done["found"], more).alias("found"))
+
+    def outer(done: Column, block: Column) -> Column:
+        part = F.aggregate(block, F.struct(done["carry"].alias("carry"), empty.alias("found")), inner)
+        return let(part, lambda p: F.struct(p["carry"].alias("carry"), F.concat(done["found"], F.array(p["found"])).alias("found")))
+
+    start = F.struct(carry.alias("carry"), F.array_repeat(empty, F.lit(0)).alias("found"))
+    return F.flatten(F.aggregate(blocks(array), start, outer, lambda done: done["found"]))
 
 
 def located(text: Column, pattern: str, may: str) -> Column:
@@ -63,15 +106,24 @@ def located(text: Column, pattern: str, may: str) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     none = F.expr("array_repeat(named_struct('start', 0, 'value', ''), 0)")
+    pairs = F.filter(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), lambda one: one["hit"].isNotNull())
 
-    def step(done: Column, one: Column) -> Column:
-        start = done["at"] + F.length(one["piece"])
-        found = F.array(F.struct(start.alias("start"), one["hit"].alias("value")))
-        return F.struct((start + F.length(one["hit"])).alias("at"), F.concat(done["found"], found).alias("found"))
+    # first where each block begins, then the places within it
+    def begin(total: Column, block: Column) -> Column:
+        size = F.aggregate(block, F.lit(0), lambda t, one: t + F.length(one["piece"]) + F.length(one["hit"]))
+        return F.struct((total["at"] + size).alias("at"), F.concat(total["all"], F.array(total["at"])).alias("all"))
 
-    pairs = F.filter(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), lambda one: one["hit"].isNotNull())
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda done: done["found"])
-    return F.when(text.rlike(may), folded).otherwise(none)
+    def within(block: Column, first: Column) -> Column:
+        def step(done: Column, one: Column) -> Column:
+            start = done["at"] + F.length(one["piece"])
+            found = F.array(F.struct(start.alias("start"), one["hit"].alias("value")))
+            return F.struct((start + F.length(one["hit"])).alias("at"), F.concat(done["found"], found).alias("found"))
+
+        return F.aggregate(block, F.struct(first.alias("at"), none.alias("found")), step, lambda done: done["found"])
+
+    zero = F.struct(F.lit(0).alias("at"), F.expr("array_repeat(0, 0)").alias("all"))
+    placed = let(blocks(pairs), lambda all_: F.flatten(F.zip_with(all_, F.aggregate(all_, zero, begin, lambda total: total["all"]), within)))
+    return F.when(text.rlike(may), placed).otherwise(none)
 
 
 def digits_of(value: Column) -> Column:
@@ -172,6 +224,13 @@ def features(one: Column) -> list[Column]:
         value.rlike(r"(?:@|at[)\]]).*(?:\.|dot[)\]])\s?[A-Za-z]{2,}$"),
         valid_iban(value),
         valid_ipv6(value),
+        value.rlike(r"[.@][A-Za-z0-9-]+\.\s"),
+        value.rlike(r"\s@|@\s"),
+        value.rlike(r"\.\s"),
+        value.rlike(r"[(\[](?:at|dot)[)\]]"),
+        value.rlike(r"^[0-9]+$"),
+        value.rlike(r"(?:^|[^0-9])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?:$|[^0-9])"),
+        value.rlike(r"^\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}$"),
         before.rlike("phone|tel|call|fax|mobile|contact"),
         before.rlike("mail|write|contact"),
         before.rlike("card|visa|account|iban|payment"),
@@ -190,6 +249,68 @@ def features(one: Column) -> list[Column]:
     return [F.coalesce(x.cast("double"), F.lit(0.0)) for x in [*flags, *counts]]
 
 
+def iban_of(digits: Column, off: int) -> Column:
+    """A German IBAN of eighteen digits, with its check digits changed by ``off``."""
+    number = F.concat(digits, F.lit("131400")).cast("decimal(38,0)")
+    check = (98 - number % 97 + off) % 100
+    plain = F.concat(F.lit("DE"), F.lpad(check.cast("int").cast("string"), 2, "0"), digits)
+    return F.trim(F.regexp_replace(plain, "(.{4})", "$1 "))
+
+
+def rewritings(kind: int, value: Column) -> list[tuple[Column, int]]:
+    """Other forms of a base finding of one kind, and look-alikes: (value, label)."""
+    digits = digits_of(value)
+    if kind == 0:
+        name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+        dotted = F.regexp_replace(host, r"\.", " (dot) ")
+        return [
+            (F.concat(name, F.lit(" (at) "), dotted), 1),
+            (F.concat(name, F.lit("[at]"), host), 1),
+            (F.concat(name, F.lit(" @ "), host), 1),
+            (F.concat(name, F.lit(" @ "), F.regexp_replace(host, r"\.", ". ")), 0),
+            (F.concat(F.lit("@ "), F.regexp_replace(host, r"\.", ". The ")), 0),
+        ]
+    if kind == 1:
+        hashed = F.md5(value)
+        groups = F.regexp_replace(hashed, "(.{4})", "$1:")
+        numbers = F.lpad(F.conv(F.substring(hashed, 1, 15), 16, 10), 18, "7")
+        return [
+            (F.rtrim(F.regexp_replace(groups, ":$", "")), 1),
+            (iban_of(numbers, 0), 1),
+            (iban_of(numbers, 1), 0),
+            (F.regexp_replace(F.substring(numbers, 1, 8), "(..)(?=.)", "$1:"), 0),
+        ]
+    if kind == 2:
+        last = F.substring(digits, -1, 1).cast("int")
+        wrong = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), ((last + 1) % 10).cast("string"))
+        in_fours = [(F.regexp_replace(d, "(.{4})(?=.)", f"$1{sign}"), y) for d, y in ((digits, 1), (wrong, 0)) for sign in ". "]
+        return [*in_fours, (digits, 1), (wrong, 0)]
+    local = F.regexp_replace(value, r"^\+[0-9]{1,3}[\x20.-]*", "")
+    return [
+        (F.substring(value, F.lit(2), F.length(value)), 1),
+        (F.when(F.length(digits_of(local)) >= 9, local), 1),
+        (F.when(F.length(digits_of(local)) >= 9, F.translate(F.translate(local, "()", ""), " ", "-")), 1),
+        (digits, 0),
+        (F.concat(F.lit("20"), F.substring(digits, 2, 2), F.lit("-0"), F.substring(digits, 4, 1), F.lit("-1"), F.substring(digits, 5, 1)), 0),
+        (F.concat(F.substring(digits, 1, 2), F.lit("."), F.substring(digits, 3, 3), F.lit("."), F.substring(digits, 6, 3)), 0),
+    ]
+
+
+def rewritten(text: Column) -> Column:
+    """(value, before, label) of the rewritten base findings of a row from ``with_base``."""
+
+    def of_kind(kind: int) -> Callable[[Column], Column]:
+        def forms(span: Column) -> Column:
+            value = F.substring(text, span["start"] + 1, span["stop"] - span["start"])
+            before = F.lower(F.substring(text, F.greatest(F.lit(1), span["start"] - CONTEXT + 1), F.least(span["start"], F.lit(CONTEXT))))
+            return F.array(*(F.struct(v.alias("value"), before.alias("before"), F.lit(float(y)).alias("label")) for v, y in rewritings(kind, value)))
+
+        return forms
+
+    found = [F.flatten(F.transform(f"s_{name}", of_kind(kind))) for kind, name in enumerate(KINDS[:4])]
+    return F.filter(F.concat(*found), lambda one: one["value"].isNotNull())
+
+
 def _tree_sql(node, columns: list[Column]) -> Column:
     """A fitted tree as nested conditions."""
     if node.getClass().getSimpleName() == "LeafNode":
@@ -211,28 +332,55 @@ class Trees:
         return 1 / (1 + F.exp(-2 * margin))
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
-    """fit (a half of the documents by doc_id), label and features of every candidate."""
-    rows = with_candidates(with_base(docs)).withColumn("one", F.explode("candidates"))
-    is_base = F.exists("base", lambda span: (span["start"] == F.col("one.start")) & (span["stop"] == F.col("one.stop")))
-    label = (is_base | by_rule(F.col("one"))).cast("double").alias("label")
-    numbers = (x.alias(f"f{i}") for i, x in enumerate(features(F.col("one"))))
-    return rows.select((F.xxhash64("doc_id") % 2 == 0).alias("fit"), label, *numbers)
+def nearby(spans: Column) -> Column:
+    """Spans in order of their starts, in blocks with their bounds: few of them come near a candidate."""
+
+    def bounded(block: Column) -> Column:
+        ends = F.transform(block, lambda s: s["stop"])
+        return F.struct(block.alias("spans"), F.get(block, F.lit(0))["start"].alias("first"), F.array_max(ends).alias("last"))
+
+    return F.transform(blocks(spans), bounded)
+
+
+def among(near: Column, one: Column, test: Callable[[Column], Column]) -> Column:
+    """Whether a span that meets a candidate passes a test."""
+
+    def within(block: Column) -> Column:
+        close = (block["first"] < one["stop"]) & (one["start"] < block["last"])
+        return F.when(close, F.exists(block["spans"], test)).otherwise(F.lit(False))
+
+    return F.exists(near, within)
+
+
+def labelled(docs: DataFrame, rewrite: Column) -> DataFrame:
+    """label and features of every candidate, and of rewritten findings of the rows where ``rewrite`` holds."""
+    rows = with_candidates(with_base(docs.withColumns({"doc_id": docs["doc_id"].cast("long")})))
+
+    def judged(one: Column, near: Column) -> Column:
+        is_base = among(near, one, lambda span: (span["start"] == one["start"]) & (span["stop"] == one["stop"]))
+        return F.struct(one["value"].alias("value"), one["before"].alias("before"), (is_base | by_rule(one)).cast("double").alias("label"))
+
+    none = F.expr("array_repeat(named_struct('value', '', 'before', '', 'label', 0.0D), 0)")
+    natural = let(nearby(F.col("base")), lambda near: F.transform("candidates", lambda one: judged(one, near)))
+    both = F.concat(natural, F.when(rewrite, rewritten(F.col("text"))).otherwise(none))
+    rows = rows.select(F.explode(both).alias("one"))
+    return rows.select("one.label", *(x.alias(f"f{i}") for i, x in enumerate(features(F.col("one")))))
 
 
 def train(docs: DataFrame, documents_at_most: int = SAMPLE_DOCUMENTS) -> Trees | None:
     """Trees from half of the first documents by a hash of doc_id, threshold from all others."""
+    docs = docs.select("doc_id", "text")
     ids = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null").distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(documents_at_most).filter(F.xxhash64("id") % 2 == 0).persist()
     own = F.col("doc_id").cast("long") == F.col("id")
-    rows = _labelled(docs.join(F.broadcast(ids), own, "left_semi"))
-    names = rows.columns[2:]
+    rows = labelled(docs.join(F.broadcast(ids), own, "left_semi"), F.lit(True))
+    names = rows.columns[1:]
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).persist()
     try:
         if rows.agg(F.count_distinct("label")).first()[0] < 2:
             return None
         model = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, subsamplingRate=1.0).fit(rows))
-        others = _labelled(docs.join(F.broadcast(ids), own, "left_anti"))
+        others = labelled(docs.join(F.broadcast(ids), own, "left_anti"), F.pmod(F.xxhash64("doc_id"), F.lit(REWRITTEN)) == 1)
         scored = others.select("label", F.floor(model.score([F.col(n) for n in names]) * 100).alias("bin"))
         bins = scored.groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).orderBy(F.desc("bin")).collect()
         n = good = 0
@@ -256,23 +404,23 @@ def find(docs: DataFrame, model: Trees | None) -> DataFrame:
     rows = with_candidates(with_base(docs))
     none = F.expr("array_repeat(named_struct('start', 0, 'kind', 0, 'stop', 0), 0)")
 
-    def clear(one: Column) -> Column:
-        return ~F.exists("base", lambda span: (span["start"] < one["stop"]) & (one["start"] < span["stop"]))
-
     def reported(one: Column) -> Column:
-        return by_rule(one) if model is None else by_rule(one) | (model.score(features(one)) >= model.threshold)
+        return F.lit(False) if model is None else model.score(features(one)) >= model.threshold
+
+    def clear(one: Column, near: Column) -> Column:
+        return ~among(near, one, lambda span: (span["start"] < one["stop"]) & (one["start"] < span["stop"]))
 
-    rows = rows.withColumn("open", F.filter("candidates", clear))
+    rows = rows.withColumn("open", let(nearby(F.col("base")), lambda n: F.filter("candidates", lambda one: clear(one, n))))
     good = F.filter("open", reported)
     # of overlapping candidates the one that starts first stays, the longer one of two
     order = F.array_sort(F.transform(good, lambda one: F.struct(one["start"].alias("start"), (-one["stop"]).alias("stop"))))
 
-    def step(done: Column, one: Column) -> Column:
+    def step(end: Column, one: Column) -> tuple[Column, Column]:
         span = F.array(F.struct(one["start"].alias("start"), F.lit(4).alias("kind"), (-one["stop"]).alias("stop")))
-        free = one["start"] >= done["end"]
-        return F.struct(F.when(free, -one["stop"]).otherwise(done["end"]).alias("end"), F.when(free, F.concat(done["found"], span)).otherwise(done["found"]).alias("found"))
+        free = one["start"] >= end
+        return F.when(free, -one["stop"]).otherwise(end), F.when(free, span).otherwise(none)
 
-    added = F.aggregate(order, F.struct(F.lit(0).alias("end"), none.alias("found")), step, lambda done: done["found"])
+    added = folded(order, F.lit(0), none, step)
     counts = [F.size(f"s_{name}").cast("long").alias(f"n_{name}") for name in KINDS[:4]]
     rows = rows.withColumn("all", F.array_sort(F.concat("base", added)))
     return rows.select("doc_id", *counts, joined(F.col("base")).alias("base"), joined(F.col("all")).alias("spans"))

@@ -342,6 +342,31 @@ def test_reduction_keeps_an_optimum():
         assert len(slots) and slots[:, 0].min() == min(sizes)
 
 
+def test_reduction_takes_equal_pairs_at_once():
+    """The same sets as one by one, and a plan of a hundred million pieces without short ones in seconds."""
+    draw = random.Random(12)
+    for _ in range(60):
+        sizes = [draw.randrange(5, 21) for _ in range(draw.randrange(1, 30))]
+        at_once, one_by_one = Counter(sizes), Counter(sizes)
+        sets = Counter()
+        for times, of in op10_packing.reduce(at_once, 20):
+            sets[tuple(of)] += times
+        single = Counter()
+        while True:  # the first set alone, again and again
+            found = op10_packing.reduce(Counter(one_by_one), 20)
+            if not found:
+                break
+            single[tuple(found[0][1])] += 1
+            one_by_one.subtract(found[0][1])
+            one_by_one += Counter()
+        assert sets == single and +at_once == +one_by_one
+    started = time.monotonic()
+    counts = {size: 50_000 + 37 * (size % 11) for size in range(900, 2900)}
+    fixed = op10_packing.reduce(dict(counts), 4096)
+    slots = op10_packing.plan(counts, 4096)
+    assert time.monotonic() - started < 20 and len(fixed) <= 2 * len(counts) and len(slots) < 10 * len(counts)
+
+
 # --- empty tables, entry points, pipeline ---
 
 
