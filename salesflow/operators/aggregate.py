@@ -18,6 +18,7 @@ from salesflow.operators.clean import clamped_days, valid_zips
 from salesflow.operators.enrich import enrich_sku, enrich_zip, local_flag
 from salesflow.operators.reduction import reduced_join
 from salesflow.schemas import GROUP_KEYS, UNKNOWN_CATEGORY, UNKNOWN_GROUP
+from salesflow.session import Scratch
 from salesflow.sources.lookups import Lookups
 
 SUMS = ["_quantity", "_quantity_n", "_units", "_units_n", "_orders"]
@@ -28,26 +29,27 @@ BASE = ["_rows_in", "_invalid_in", "_imputed_in"]
 MISSES = ["_zip_misses", "_sku_misses"]
 
 
-def sales_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
+def sales_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
     """Additive measures per ``(*by, *GROUP_KEYS)``, from cleaned transactions.
 
     A group may span several categories and reports the smallest. A minimum of
     text would make Spark sort all rows instead of hashing them, so it is taken
     of numbers in category order (``_direct``). With a large SKU lookup, or very
     many categories, rows are first collapsed per SKU (``_by_sku``). Both give the
-    same sums, also when a lookup key repeats.
+    same sums, also when a lookup key repeats. Collapsed rows that are joined in two parts
+    (see ``reduction``) are stored in ``scratch``, so that nothing before them is computed twice.
     """
-    return _joined_sums(valid_zips(cleaned), lookups, by, Measures(SUMS, [], []))
+    return _joined_sums(valid_zips(cleaned), lookups, by, Measures(SUMS, [], []), scratch)
 
 
-def counted_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
+def counted_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
     """``sales_sums``, and what the quality counters are sums of, from the same pass.
 
     The counters are measures of the aggregation, so a task that is run again after a lost
     executor does not count twice. Rows without a usable ZIP code form groups of their own, without
     keys but ``by`` (``_valid`` false): one a client.
     """
-    return _joined_sums(cleaned, lookups, by, Measures([*SUMS, *MISSES], BASE, ["_valid"]))
+    return _joined_sums(cleaned, lookups, by, Measures([*SUMS, *MISSES], BASE, ["_valid"]), scratch)
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,8 @@ class Measures:
         return bool(self.base)
 
 
-def _joined_sums(rows: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures) -> DataFrame:
+def _joined_sums(rows: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures, scratch: Scratch | None) -> DataFrame:
+    scratch = scratch or Scratch(rows.sparkSession)
     rows = rows.select(*by, "transaction_date", "maturity_date", "sku_id", "zip_code", *[c.alias(n) for n, c in _measures(of).items()])
     if of.counting:
         rows = rows.withColumn("_valid", F.col("_rows_in") > F.col("_invalid_in"))
@@ -75,11 +78,11 @@ def _joined_sums(rows: DataFrame, lookups: Lookups, by: Sequence[str], of: Measu
     if lookups.zip_small or not lookups.zip_rows:
         rows = rows.transform(enrich_zip, zips)
     else:
-        rows = reduced_join(rows, zips, "zip_code", lookups.zip_rows, enrich_zip)
+        rows = reduced_join(scratch(rows, "by_zip"), zips, "zip_code", lookups.zip_rows, enrich_zip)
     rows = rows.transform(local_flag).transform(_after_join, "_zip", of)
     if lookups.sku_small and lookups.few_categories:
         return _direct(rows, lookups, by, of)
-    return _by_sku(rows, lookups, by, of)
+    return _by_sku(rows, lookups, by, of, scratch)
 
 
 def _direct(localized: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures) -> DataFrame:
@@ -100,7 +103,7 @@ def _direct(localized: DataFrame, lookups: Lookups, by: Sequence[str], of: Measu
     return sums.join(numbers, "_category", "left").drop("_category")
 
 
-def _by_sku(localized: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures) -> DataFrame:
+def _by_sku(localized: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures, scratch: Scratch) -> DataFrame:
     """Collapse to one row per SKU, day, maturity and locality; only those rows go
     to the SKU join, so a hot SKU is gone before anything is shuffled on it."""
     per_sku = _collapsed(localized, [*by, "transaction_date", "maturity_date", "sku_id", "local", *of.keys], of)
@@ -108,7 +111,7 @@ def _by_sku(localized: DataFrame, lookups: Lookups, by: Sequence[str], of: Measu
     if lookups.sku_small or not lookups.sku_rows:
         joined = per_sku.transform(enrich_sku, skus)
     else:
-        joined = reduced_join(per_sku, skus, "sku_id", lookups.sku_rows, enrich_sku)
+        joined = reduced_join(scratch(per_sku, "by_sku"), skus, "sku_id", lookups.sku_rows, enrich_sku)
     joined = joined.transform(_after_join, "_sku", of)
     return _grouped(joined, by, of, F.min("category").alias("category"))
 
@@ -194,9 +197,9 @@ def finish(sums: DataFrame) -> DataFrame:
     )
 
 
-def sales_aggregate(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
+def sales_aggregate(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
     """Keys, category, priority and six measures; ``_units`` is still attached."""
-    return finish(sales_sums(cleaned, lookups, by))
+    return finish(sales_sums(cleaned, lookups, by, scratch))
 
 
 def split_counted(sums: DataFrame) -> tuple[DataFrame, DataFrame]:

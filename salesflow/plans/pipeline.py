@@ -23,7 +23,7 @@ def sales(
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """Raw transactions to the fourteen-column aggregate (after any ``by`` keys)."""
-    aggregated = txn.transform(clean, impute_days).transform(sales_aggregate, lookups, by)
+    aggregated = txn.transform(clean, impute_days).transform(sales_aggregate, lookups, by, scratch)
     return _ranked(aggregated, lookups, by, scratch)
 
 
@@ -56,7 +56,7 @@ def run(
     caller's to drop when the frames are no longer needed.
     """
     scratch = scratch or Scratch(txn.sparkSession)
-    sums = scratch(counted_sums(clean(txn, impute_days), lookups, by), "sums")
+    sums = scratch(counted_sums(clean(txn, impute_days), lookups, by, scratch), "sums")
     aggregated, quality = split_counted(sums)
     aggregated = _ranked(aggregated, lookups, by, scratch)
     return Artifacts(

@@ -5,7 +5,7 @@ from conftest import SMALL, rows
 from pyspark.sql import functions as F
 
 from salesflow.functions import digest, lane, uniform
-from salesflow.operators import clean, synth
+from salesflow.operators import aggregate, clean, synth
 from salesflow.plans import catalog, pipeline
 from salesflow.session import Scratch
 from salesflow.sources import driver_tables as model
@@ -153,7 +153,7 @@ def test_pipeline_exchanges(spark, txn_frame, lookups):
 
 def test_unmeasured_lookups_are_not_hinted(spark, txn_frame, lookups):
     unknown = Lookups(lookups.sku, lookups.zip)
-    hints = pipeline.sales(txn_frame([]), unknown)._jdf.queryExecution().analyzed().toString()
+    hints = aggregate.sales_aggregate(clean.clean(txn_frame([])), unknown)._jdf.queryExecution().analyzed().toString()
     assert "strategy=broadcast" not in hints
 
 
