@@ -132,11 +132,16 @@ class Stored:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, session.workspace(spark, label)
 
-    def __call__(self, frame: DataFrame, name: str, keep: bool = True) -> DataFrame:
+    def __call__(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def drop(self) -> None:
+        """Deletes the tables; for those whose only readers have been stored elsewhere."""
+        place, system = session.folder(self.spark, self.root)
+        system.delete(place, True)
+
 
 def ascii_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in UTF-8."""

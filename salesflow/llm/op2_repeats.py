@@ -250,8 +250,10 @@ def identified(doc_id, text) -> list:
 
 
 def repeated_spans(docs: DataFrame, stored: Stored, least: int = LEAST, unit: int = BYTES) -> DataFrame:
-    """(doc_id, version, start, stop, unit): elements to remove, spans of a document may overlap."""
+    """(doc_id, version, start, stop, unit): elements to remove, spans of a document may overlap.
+    Kept in ``stored``; the tables on the way there are dropped."""
     ship(docs.sparkSession)
+    kept, stored = stored, Stored(docs.sparkSession, "repeats-steps")
     keys = identified(docs["doc_id"], docs["text"])
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *(c.alias(n) for c, n in zip(keys, DOCUMENT)))
     segments = stored(rows.select("doc_id", "version", "text").mapInArrow(partial(_segments, least, unit), DDL), "segments")
@@ -299,7 +301,9 @@ def repeated_spans(docs: DataFrame, stored: Stored, least: int = LEAST, unit: in
     union = spans[0]
     for more in spans[1:]:
         union = union.unionByName(more)
-    return stored(union.withColumn("unit", F.lit(unit)), "spans")
+    found = kept(union.withColumn("unit", F.lit(unit)), "spans")
+    stored.drop()
+    return found
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
