@@ -63,7 +63,8 @@ def test_one_pass_gives_result_and_counters(spark, mixed, lookup_frames, by, rep
     if repeated:
         sku, zips = sku.union(sku.filter("sku_id < 'SKU_3'")), zips.union(zips.filter("zip_code = '94105'"))
     cleaned = clean.clean(mixed)
-    for lookups in variants(sku, zips):
+    measured, _, _, large_sku, large = variants(sku, zips)
+    for lookups in (measured, large_sku, large):
         made = pipeline.run(mixed, lookups, by)
         assert rows(made.aggregated) == rows(pipeline.sales(mixed, lookups, by))
         assert made.quality.first() == quality_report(cleaned, lookups).first()
