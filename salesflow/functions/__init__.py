@@ -3,10 +3,11 @@
 from salesflow.functions.dates import lenient_date, strict_date
 from salesflow.functions.money import per, to_units, to_usd
 from salesflow.functions.uniform import LANE_BITS, digest, lane, uniform
-from salesflow.functions.zips import zip_candidate
+from salesflow.functions.zips import complete_code, zip_candidate
 
 __all__ = [
     "LANE_BITS",
+    "complete_code",
     "digest",
     "lane",
     "lenient_date",

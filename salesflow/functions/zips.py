@@ -12,3 +12,8 @@ def zip_candidate(raw: Column) -> Column:
     """
     digits = F.regexp_replace(F.coalesce(raw, F.lit("")), "[^0-9]+", "")
     return F.substring(digits, 1, ZIP_DIGITS)
+
+
+def complete_code(name: str) -> Column:
+    """Whether a text is what cleaning leaves of a usable code: five digits and nothing else."""
+    return F.col(name).rlike(f"\\A[0-9]{{{ZIP_DIGITS}}}\\z")

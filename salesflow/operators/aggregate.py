@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 from salesflow.functions import per, to_units, to_usd
 from salesflow.operators.clean import clamped_days, valid_zips
-from salesflow.operators.enrich import enrich_sku, enrich_zip, local_flag
-from salesflow.operators.reduction import reduced_join
+from salesflow.operators.enrich import enrich_zip, local_flag
 from salesflow.schemas import GROUP_KEYS, UNKNOWN_CATEGORY, UNKNOWN_GROUP
-from salesflow.session import Scratch
 from salesflow.sources.lookups import Lookups
 
 SUMS = ["_quantity", "_quantity_n", "_units", "_units_n", "_orders"]
@@ -29,27 +27,29 @@ BASE = ["_rows_in", "_invalid_in", "_imputed_in"]
 MISSES = ["_zip_misses", "_sku_misses"]
 
 
-def sales_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
+def sales_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
     """Additive measures per ``(*by, *GROUP_KEYS)``, from cleaned transactions.
 
+    Rows meet each lookup once, by broadcast or, past its limit, by one shuffle of narrow rows that
+    adaptive execution splits where a key is hot. They are not collapsed before: rows of
+    a lookup that large hardly repeat their keys, so a collapse moves all of them once more.
+
     A group may span several categories and reports the smallest. A minimum of
     text would make Spark sort all rows instead of hashing them, so it is taken
-    of numbers in category order (``_direct``). With a large SKU lookup, or very
-    many categories, rows are first collapsed per SKU (``_by_sku``). Both give the
-    same sums, also when a lookup key repeats. Collapsed rows that are joined in two parts
-    (see ``reduction``) are stored in ``scratch``, so that nothing before them is computed twice.
+    of numbers in category order, or, with very many categories, of rows that were summed per
+    category. Both give the same sums, also when a lookup key repeats.
     """
-    return _joined_sums(valid_zips(cleaned), lookups, by, Measures(SUMS, [], []), scratch)
+    return _joined_sums(valid_zips(cleaned), lookups, by, Measures(SUMS, [], []))
 
 
-def counted_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
+def counted_sums(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
     """``sales_sums``, and what the quality counters are sums of, from the same pass.
 
     The counters are measures of the aggregation, so a task that is run again after a lost
     executor does not count twice. Rows without a usable ZIP code form groups of their own, without
     keys but ``by`` (``_valid`` false): one a client.
     """
-    return _joined_sums(cleaned, lookups, by, Measures([*SUMS, *MISSES], BASE, ["_valid"]), scratch)
+    return _joined_sums(cleaned, lookups, by, Measures([*SUMS, *MISSES], BASE, ["_valid"]))
 
 
 @dataclass(frozen=True)
@@ -66,78 +66,73 @@ class Measures:
         return bool(self.base)
 
 
-def _joined_sums(rows: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures, scratch: Scratch | None) -> DataFrame:
-    scratch = scratch or Scratch(rows.sparkSession)
-    rows = rows.select(*by, "transaction_date", "maturity_date", "sku_id", "zip_code", *[c.alias(n) for n, c in _measures(of).items()])
-    if of.counting:
-        rows = rows.withColumn("_valid", F.col("_rows_in") > F.col("_invalid_in"))
-    if not lookups.zip_small:
-        # collapsed before the rows are shuffled on their code: a hot code is gone by then
-        rows = _collapsed(rows, [*by, "transaction_date", "maturity_date", "sku_id", "zip_code", *of.keys], of)
+FLAGS = ["_zip_invalid_flag", "_maturity_imputed_flag"]
+
+
+def _joined_sums(rows: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures) -> DataFrame:
+    flags = FLAGS if of.counting else []
+    # measures are derived after the joins: what may be shuffled to them stays narrow
+    rows = rows.select(*by, "transaction_date", "maturity_date", "sku_id", "zip_code", "quantity_sold", "revenue_usd", *flags)
     zips = lookups.zip_side(_numbered_rows(lookups.zip, "zip_code") if of.counting else None)
-    if lookups.zip_small or not lookups.zip_rows:
-        rows = rows.transform(enrich_zip, zips)
-    else:
-        rows = reduced_join(scratch(rows, "by_zip"), zips, "zip_code", lookups.zip_rows, enrich_zip)
-    rows = rows.transform(local_flag).transform(_after_join, "_zip", of)
-    if lookups.sku_small and lookups.few_categories:
-        return _direct(rows, lookups, by, of)
-    return _by_sku(rows, lookups, by, of, scratch)
-
-
-def _direct(localized: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures) -> DataFrame:
-    """Join and aggregate inside the scan stage; one exchange, of partial sums."""
-    numbers = F.broadcast(category_numbers(lookups.sku))
+    rows = rows.transform(enrich_zip, zips).transform(local_flag).transform(_weighed, "_zip", of)
+    rows = rows.drop("zip_code", "city", "state", "is_us")
     sku = lookups.sku.withColumn("category", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)))
-    sku = sku.join(numbers, "category").drop("category")
-    numbered = lookups.sku_side(_numbered_rows(sku, "sku_id") if of.counting else sku)
-    joined = localized.join(numbered, "sku_id", "left").withColumns(
+    category = "category"
+    if lookups.few_categories:
+        numbers = F.broadcast(category_numbers(lookups.sku))
+        sku, category = sku.join(numbers, "category").drop("category"), "_category"
+    skus = lookups.sku_side(_numbered_rows(sku, "sku_id") if of.counting else sku)
+    joined = rows.join(skus, "sku_id", "left").withColumns(
         {
             "_sku_lookup_miss_flag": F.col("sku_group").isNull().cast("long"),
             "sku_group": F.coalesce("sku_group", F.lit(UNKNOWN_GROUP)),
             "is_high_priority": F.coalesce("is_high_priority", F.lit(False)),
-            "_category": F.coalesce("_category", F.lit(0)),
+            category: F.coalesce(category, F.lit(0 if lookups.few_categories else UNKNOWN_CATEGORY)),
         }
     )
-    sums = _grouped(joined.transform(_after_join, "_sku", of), by, of, F.min("_category").alias("_category"))
-    return sums.join(numbers, "_category", "left").drop("_category")
-
-
-def _by_sku(localized: DataFrame, lookups: Lookups, by: Sequence[str], of: Measures, scratch: Scratch) -> DataFrame:
-    """Collapse to one row per SKU, day, maturity and locality; only those rows go
-    to the SKU join, so a hot SKU is gone before anything is shuffled on it."""
-    per_sku = _collapsed(localized, [*by, "transaction_date", "maturity_date", "sku_id", "local", *of.keys], of)
-    skus = lookups.sku_side(_numbered_rows(lookups.sku, "sku_id") if of.counting else None)
-    if lookups.sku_small or not lookups.sku_rows:
-        joined = per_sku.transform(enrich_sku, skus)
-    else:
-        joined = reduced_join(scratch(per_sku, "by_sku"), skus, "sku_id", lookups.sku_rows, enrich_sku)
-    joined = joined.transform(_after_join, "_sku", of)
-    return _grouped(joined, by, of, F.min("category").alias("category"))
+    joined = joined.transform(_weighed, "_sku", of)
+    joined = joined.withColumns(_measures(of))
+    keys = [*by, *GROUP_KEYS, *of.keys]
+    if of.counting:
+        joined = joined.withColumn("_valid", F.col("_zip_invalid_flag") == 0)
+        joined = joined.withColumns({k: F.when(F.col("_valid"), F.col(k)) for k in GROUP_KEYS})
+    if lookups.few_categories:
+        return _summed(joined, keys, of, category).join(numbers, "_category", "left").drop("_category")
+    per_category = _summed(joined, [*keys, "category"], of)
+    return _summed(per_category, keys, of, category)
+
+
+def _summed(rows: DataFrame, keys: list[str], of: Measures, smallest: str | None = None) -> DataFrame:
+    least = [F.min(smallest).alias(smallest)] if smallest else []
+    return rows.groupBy(*keys).agg(
+        *least,
+        F.max("is_high_priority").alias("is_high_priority"),
+        *[F.sum(name).alias(name) for name in [*of.joined, *of.base]],
+    )
 
 
 def _measures(of: Measures) -> dict[str, Column]:
-    """The measures of one row; a sum of no value stays null."""
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    """The measures of one joined row; a sum of no value stays null."""
+    one = F.lit(1).cast("long")
     known = {
         "_quantity": F.col("quantity_sold"),
         "_quantity_n": F.col("quantity_sold").isNotNull().cast("long"),
         "_units": to_units(F.col("revenue_usd")),
         "_units_n": F.col("revenue_usd").isNotNull().cast("long"),
         "_orders": one,
-        "_rows_in": one,
-        "_invalid_in": F.col("_zip_invalid_flag").cast("long") if of.counting else none,
-        "_imputed_in": F.col("_maturity_imputed_flag").cast("long") if of.counting else none,
-        "_zip_misses": none,
-        "_sku_misses": none,
     }
+    if of.counting:
+        weight = F.col("_zip_first") * F.col("_sku_first")
+        known |= {
+            "_rows_in": weight,
+            "_invalid_in": F.col("_zip_invalid_flag") * weight,
+            "_imputed_in": F.col("_maturity_imputed_flag") * weight,
+            "_zip_misses": F.col("_zip_lookup_miss_flag"),
+            "_sku_misses": F.col("_sku_lookup_miss_flag"),
+        }
     return {name: known[name] for name in [*of.joined, *of.base]}
 
 
-def _collapsed(rows: DataFrame, keys: list[str], of: Measures) -> DataFrame:
-    return rows.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in [*of.joined, *of.base]])
-
-
 def _numbered_rows(lookup: DataFrame, key: str) -> DataFrame:
     """The lookup with ``_first``: 1 in one row of each key, 0 in its repetitions."""
     others = [c for c in lookup.columns if c != key]
@@ -145,25 +140,12 @@ def _numbered_rows(lookup: DataFrame, key: str) -> DataFrame:
     return lookup.withColumn("_first", (place == 1).cast("long"))
 
 
-def _after_join(rows: DataFrame, side: str, of: Measures) -> DataFrame:
-    """Count the misses of a join, and each row before it once."""
+def _weighed(rows: DataFrame, side: str, of: Measures) -> DataFrame:
+    """After a join: 1 in one of the rows that a row before it became (``_zip_first``, ``_sku_first``).
+    Without counters, the miss flag is not kept."""
     if not of.counting:
-        return rows
-    weight = F.coalesce("_first", F.lit(1).cast("long"))
-    changed = {name: F.col(name) * weight for name in of.base}
-    changed[f"{side}_misses"] = F.col(f"{side}_lookup_miss_flag") * F.col("_orders")
-    return rows.withColumns(changed).drop("_first")
-
-
-def _grouped(joined: DataFrame, by: Sequence[str], of: Measures, category: Column) -> DataFrame:
-    keys = list(GROUP_KEYS)
-    if of.counting:
-        joined = joined.withColumns({k: F.when(F.col("_valid"), F.col(k)) for k in keys})
-    return joined.groupBy(*by, *keys, *of.keys).agg(
-        category,
-        F.max("is_high_priority").alias("is_high_priority"),
-        *[F.sum(name).alias(name) for name in [*of.joined, *of.base]],
-    )
+        return rows.drop(f"{side}_lookup_miss_flag")
+    return rows.withColumn(f"{side}_first", F.coalesce("_first", F.lit(1).cast("long"))).drop("_first")
 
 
 def category_numbers(sku: DataFrame) -> DataFrame:
@@ -197,9 +179,9 @@ def finish(sums: DataFrame) -> DataFrame:
     )
 
 
-def sales_aggregate(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
+def sales_aggregate(cleaned: DataFrame, lookups: Lookups, by: Sequence[str] = ()) -> DataFrame:
     """Keys, category, priority and six measures; ``_units`` is still attached."""
-    return finish(sales_sums(cleaned, lookups, by, scratch))
+    return finish(sales_sums(cleaned, lookups, by))
 
 
 def split_counted(sums: DataFrame) -> tuple[DataFrame, DataFrame]:

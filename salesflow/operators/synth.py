@@ -202,7 +202,7 @@ def with_noisy_zip(ids: DataFrame, lookups: Lookups, bits: int, seed: str = "txn
     row = F.col("id")
     intervals = weight_intervals(zip_weights(lookups.zip), "zip_code")
     place = point(digest(row, f"{seed}-places"), 2)
-    picked = sample_weighted(ids, place, intervals, "zip_code", bits, lookups.zip_small)
+    picked = sample_weighted(ids, place, intervals, "zip_code", bits, lookups.zip_whole_small)
     noise = digest(row, f"{seed}-noise")
     return picked.withColumn("zip_code_raw", noisy_zip(F.col("zip_code"), uniform(noise, 0), uniform(noise, 1)))
 

@@ -1,9 +1,9 @@
 """The two lookups together with what is known about their size.
 
 A lookup is broadcast only after one small job has measured it. Past the limit,
-or when nothing was measured, the plans join by shuffle instead and shrink the
-transactions first (see ``operators.aggregate``); with a measured number of rows, what has no
-match is kept out of that shuffle (``operators.reduction``).
+or when nothing was measured, the plans join by shuffle instead and keep narrow the
+rows they move (see ``operators.aggregate``). Of the ZIP lookup only keys that a cleaned code
+can equal are measured and joined: there are at most 100,000 of them, whatever its size.
 """
 
 from dataclasses import dataclass
@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesflow.functions import complete_code
+
 BROADCAST_LIMIT = 64 * 1024 * 1024
 """Largest lookup, in estimated in-memory bytes, that is sent to every executor."""
 
@@ -29,8 +31,8 @@ class Lookups:
     zip_small: bool = False
     few_groups: bool = False
     few_categories: bool = False
-    sku_rows: int = 0
-    zip_rows: int = 0
+    zip_whole_small: bool = False
+    """With the keys that no cleaned code equals."""
 
     @classmethod
     def measured(
@@ -40,20 +42,19 @@ class Lookups:
         broadcast_limit: int = BROADCAST_LIMIT,
         group_limit: int = GROUP_LIMIT,
     ) -> "Lookups":
-        """Measure both lookups in one job that returns two rows."""
-        sizes = _widths(sku, "sku", "sku_group", "category").unionByName(_widths(zips, "zip"))
+        """Measure both lookups in one job that returns a few rows."""
+        sizes = _widths(sku, F.lit("sku"), "sku_group", "category").unionByName(_widths(zips, F.when(complete_code("zip_code"), "zip").otherwise("zip_unusable")))
         found = {
             row["name"]: row
             for row in sizes.groupBy("name")
             .agg(
                 F.sum("width").alias("size"),
-                F.count(F.lit(1)).alias("rows"),
                 F.approx_count_distinct("group").alias("groups"),
                 F.approx_count_distinct("category").alias("categories"),
             )
             .collect()
         }
-        nothing = {"size": 0, "rows": 0, "groups": 0, "categories": 0}
+        nothing = {"size": 0, "groups": 0, "categories": 0}
         sku_found, zip_found = found.get("sku", nothing), found.get("zip", nothing)
         return cls(
             sku=sku,
@@ -62,8 +63,7 @@ class Lookups:
             zip_small=zip_found["size"] <= broadcast_limit,
             few_groups=sku_found["groups"] <= group_limit,
             few_categories=sku_found["categories"] <= group_limit,
-            sku_rows=sku_found["rows"],
-            zip_rows=zip_found["rows"],
+            zip_whole_small=zip_found["size"] + found.get("zip_unusable", nothing)["size"] <= broadcast_limit,
         )
 
     def sku_side(self, frame: DataFrame | None = None) -> DataFrame:
@@ -71,7 +71,8 @@ class Lookups:
         return _hinted(self.sku if frame is None else frame, self.sku_small)
 
     def zip_side(self, frame: DataFrame | None = None) -> DataFrame:
-        return _hinted(self.zip if frame is None else frame, self.zip_small)
+        """The rows of the ZIP lookup (or of a frame with its keys) that a cleaned code can match."""
+        return _hinted((self.zip if frame is None else frame).filter(complete_code("zip_code")), self.zip_small)
 
 
 def _widths(frame, name, group=None, category=None):
@@ -83,7 +84,7 @@ def _widths(frame, name, group=None, category=None):
     )
     absent = F.lit(None).cast("string")
     return frame.select(
-        F.lit(name).alias("name"),
+        name.alias("name"),
         width.cast("long").alias("width"),
         (F.col(group) if group else absent).alias("group"),
         (F.col(category) if category else absent).alias("category"),

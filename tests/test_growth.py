@@ -1,0 +1,49 @@
+"""What a query moves and holds grows no faster than its tables, also past the broadcast limits."""
+
+from dataclasses import replace
+
+import pytest
+from conftest import SMALL, rows
+from pyspark.sql import functions as F
+
+from salesflow.operators import aggregate, clean
+from salesflow.plans import pipeline
+from salesflow.session import Scratch
+from salesflow.sources import driver_tables as model
+from salesflow.sources.lookups import Lookups
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def stored(monkeypatch):
+    """Names of the tables that were stored on the way."""
+    names, store = [], Scratch.__call__
+    monkeypatch.setattr(Scratch, "__call__", lambda self, frame, name: names.append(name) or store(self, frame, name))
+    return names
+
+
+@pytest.mark.parametrize("few_categories", [True, False])
+def test_rows_are_moved_once_to_a_large_sku_lookup(spark, stored, few_categories):
+    large = replace(model.lookups(spark, SMALL), sku_small=False, few_categories=few_categories)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(aggregate.sales_aggregate(clean.clean(model.transactions(spark, SMALL)), large))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # transactions and lookup, each on the SKU alone; nothing is collapsed or stored before
+    assert found.count("Exchange hashpartitioning(sku_id") == 2 and not stored
+    assert not [line for line in found.splitlines() if "Exchange hashpartitioning(transaction_date" in line and "sku_id" in line]
+
+
+def test_codes_that_cleaning_cannot_give_do_not_make_the_lookup_large(spark, txn_frame, lookup_frames):
+    sku, zips = lookup_frames
+    longer = spark.range(20_000).select(F.format_string("%06d", "id").alias("zip_code"), F.lit("C").alias("city"), F.lit("CA").alias("state"), F.lit(True).alias("is_us"))
+    odd = spark.createDataFrame([(code, "C", "CA", True) for code in (None, "", "9410", "94105\n", " 94105", "９４１０５")], zips.schema)
+    many = Lookups.measured(sku, zips.unionByName(longer).unionByName(odd), broadcast_limit=4096)
+    assert many.zip_small and not many.zip_whole_small
+    txn = txn_frame([("c", "2025-10-01", "SKU_1", 1, 1.0, None, code) for code in ("94105", "94105\n", "941056", "00001", "9410", "")])
+    assert rows(pipeline.sales(txn, many)) == rows(pipeline.sales(txn, replace(many, zip_small=False)))
+    assert rows(pipeline.sales(txn, many)) == rows(pipeline.sales(txn, Lookups.measured(sku, zips)))
