@@ -7,7 +7,7 @@ from conftest import SMALL, rows
 from pyspark.sql import functions as F
 
 from salesflow.operators import aggregate, clean
-from salesflow.plans import pipeline
+from salesflow.plans import catalog, pipeline
 from salesflow.session import Scratch
 from salesflow.sources import driver_tables as model
 from salesflow.sources.lookups import Lookups
@@ -47,3 +47,8 @@ def test_codes_that_cleaning_cannot_give_do_not_make_the_lookup_large(spark, txn
     txn = txn_frame([("c", "2025-10-01", "SKU_1", 1, 1.0, None, code) for code in ("94105", "94105\n", "941056", "00001", "9410", "")])
     assert rows(pipeline.sales(txn, many)) == rows(pipeline.sales(txn, replace(many, zip_small=False)))
     assert rows(pipeline.sales(txn, many)) == rows(pipeline.sales(txn, Lookups.measured(sku, zips)))
+
+
+def test_latest_day_needs_no_lookup(spark):
+    found = plan(catalog.max_date(spark, SMALL))
+    assert "sku_id" not in found and "l_extendedprice" not in found
