@@ -13,7 +13,7 @@ from salesflow.plans import state as states
 from salesflow.plans.incremental import check_days, replay, run_batch
 from salesflow.plans.pipeline import text_dates
 from salesflow.schemas import GROUP_KEYS, STATE_KEYS, TRANSACTIONS
-from salesflow.session import workspace
+from salesflow.session import Scratch, workspace
 from salesflow.sources import archive
 from salesflow.sources import driver_tables as model
 from salesflow.sources.export import write_csv
@@ -313,7 +313,8 @@ def changed_replay(spark, sf):
 def state_rebuild_client(spark, sf):
     """A client's days dropped and stored anew, among those of others."""
     path = f"{workspace(spark, 'salesflow-rebuild')}/processed_sales_v1"
-    batch = states.to_state(_sales(spark, sf, by=CLIENT))
+    # used three times, computed once
+    batch = Scratch(spark)(states.to_state(_sales(spark, sf, by=CLIENT)), "batch")
     states.write_days(batch.withColumn("total_quantity", F.lit(0).cast("long")).filter("client_id = 'client_1'"), path)
     states.write_days(batch.filter("client_id <> 'client_1'"), path)
     states.rebuild_client(batch, path, "client_1")
@@ -355,7 +356,7 @@ def parity_head(spark, sf):
 
 def stored_day_parity(spark, sf):
     """Every client-day of a state that differs on purpose, against its recomputation in one job."""
-    state = states.to_state(model.perturbed(_sales(spark, sf, by=CLIENT)))
+    state = Scratch(spark)(states.to_state(model.perturbed(_sales(spark, sf, by=CLIENT))), "state")
     return check_days(model.transactions(spark, sf), model.lookups(spark, sf), state)
 
 

@@ -52,3 +52,10 @@ def test_codes_that_cleaning_cannot_give_do_not_make_the_lookup_large(spark, txn
 def test_latest_day_needs_no_lookup(spark):
     found = plan(catalog.max_date(spark, SMALL))
     assert "sku_id" not in found and "l_extendedprice" not in found
+
+
+def test_a_batch_and_a_state_are_computed_once(spark, stored):
+    catalog.state_rebuild_client(spark, SMALL)
+    assert stored.count("batch") == 1
+    catalog.stored_day_parity(spark, SMALL)
+    assert stored.count("state") == 1
