@@ -3,8 +3,9 @@
 ``spark.read.format("sales_archive")`` yields one input partition per archive. The
 first member of each archive is parsed as a typed CSV and streamed in Arrow
 batches, so a task holds one block of text whatever the archive's size. Deflate
-cannot be split, so an archive is the unit of parallelism: land the rows once
-(``sources.landing``) and query that table instead.
+cannot be split, so a file is the unit of parallelism. A large snapshot is therefore written as
+several files, ``transactions_day_<day>.part-<number>-of-<all>.zip``, each an archive like the one
+of a small snapshot; it is read only when all of them are there.
 
 Options: ``root``, and ``clients`` and ``days`` (comma-separated) to name archives, of which each has to
 exist. Without either, the archives under ``root`` are found by their names. Filters
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesflow.schemas import TRANSACTIONS
@@ -44,8 +46,13 @@ def archive_path(root: str, client_id: str, day: int) -> str:
     return f"{root.rstrip('/')}/{client_id}/transactions_day_{day}.zip"
 
 
-NAME = re.compile(r"(?:^|/)([^/]+)/transactions_day_([0-9]+)\.zip$")
-"""Client and day in the path of an archive."""
+NAME = re.compile(r"(?:^|/)([^/]+)/transactions_day_([0-9]+)(?:\.part-([0-9]+)-of-([0-9]+))?\.zip$")
+"""Client and day in the path of an archive, and number and count of its parts if it has several."""
+
+
+def part_path(path: str, part: int, parts: int) -> str:
+    """Where one of several files of an archive lies; the path itself where there is one."""
+    return path if parts == 1 else f"{path.removesuffix('.zip')}.part-{part:05d}-of-{parts:05d}.zip"
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
@@ -57,15 +64,20 @@ def read_archives(spark: SparkSession, root: str, clients: list[str] | None = No
     for option, values in (("clients", clients), ("days", days)):
         if values is not None:
             reader = reader.option(option, ",".join(map(str, values)))
-    return reader.load()
+    # Spark keeps the reader of a frame's last filtered scan for scans without a filter, so none may be without
+    return reader.load().filter(F.col("snapshot_day").isNotNull())
 
 
 def write_archives(snapshots: DataFrame, root: str) -> None:
-    """One archive per client and ``snapshot_day``."""
+    """One archive per client and ``snapshot_day``, in several files where it is large.
+
+    The rebalance gives a task rows of about the advisory partition size: those of a large snapshot are
+    split over several tasks, so what one of them sorts does not grow with the snapshot.
+    """
     _register(snapshots.sparkSession)
     keys = ["client_id", "snapshot_day"]
     rows = snapshots.select([snapshots[f.name].cast(f.dataType).alias(f.name) for f in ARCHIVE.fields])
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    rows = rows.hint("rebalance", *[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     rows.write.format(ArchiveSource.name()).option("root", root).mode("append").save()
 
 
@@ -129,16 +141,29 @@ class ArchiveReader(ds.DataSourceReader):
         return [a for a in named if all(test((a.client_id, a.day)[place], value) for place, test, value in self.wanted)]
 
     def _named(self):
-        return [Archive(c, d, archive_path(self.root, c, d)) for c in self.clients for d in self.days]
-
-    def _found(self):
+        found = {}
+        for client in dict.fromkeys(self.clients):
+            for one in self._found(f"/{client}"):
+                found.setdefault((one.client_id, one.day), []).append(one)
+        for wanted in ((c, d) for c in self.clients for d in self.days):
+            # opening one that is not there fails
+            yield from found.get(wanted) or [Archive(*wanted, archive_path(self.root, *wanted))]
+
+    def _found(self, below=""):
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(self.root)
-        for info in system.get_file_info(fs.FileSelector(base, recursive=True)):
-            parts = NAME.search(info.path)
-            if parts and parts[1] in (self.clients or [parts[1]]) and int(parts[2]) in (self.days or [int(parts[2])]):
-                yield Archive(parts[1], int(parts[2]), archive_path(self.root, parts[1], int(parts[2])))
+        found = {}
+        for info in system.get_file_info(fs.FileSelector(f"{base.rstrip('/')}{below}", recursive=True, allow_not_found=bool(below))):
+            name = NAME.search(info.path)
+            if name and name[1] in (self.clients or [name[1]]) and int(name[2]) in (self.days or [int(name[2])]):
+                part, parts = int(name[3] or 0), int(name[4] or 1)
+                found.setdefault((name[1], int(name[2])), set()).add((part, parts))
+        for (client, day), files in found.items():
+            whole, count = archive_path(self.root, client, day), len(files)
+            if files != {(n, count) for n in range(count)}:
+                raise ValueError(f"{whole} lacks parts, or has those of two writes: {sorted(files)}")
+            yield from (Archive(client, day, part_path(whole, n, count)) for n in range(count))
 
     def read(self, partition: Archive | None) -> Iterator:
         if partition is None:  # no archive is wanted
@@ -170,7 +195,7 @@ class ArchiveReader(ds.DataSourceReader):
 
 @dataclass
 class Written(ds.WriterCommitMessage):
-    """Temporary and final paths of what a task wrote."""
+    """What a task wrote: temporary paths, each with that of the archive it is (a part of)."""
 
     paths: list[tuple[str, str]]
 
@@ -209,18 +234,36 @@ class ArchiveWriter(ds.DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
-        self._each(messages, lambda system, temporary, final: system.move(temporary, final))
+        from pyarrow import fs
 
-    def abort(self, messages: list[Written | None]) -> None:
-        self._each(messages, lambda system, temporary, final: system.delete_file(temporary))
+        system, _ = fs.FileSystem.from_uri(self.root)
+        written = {}
+        for temporary, final in _paths(messages):
+            written.setdefault(final, []).append(temporary)
+        earlier = {}
+        for folder in {final.rsplit("/", 1)[0] for final in written}:
+            for info in system.get_file_info(fs.FileSelector(folder)):
+                if name := NAME.search(info.path):
+                    earlier.setdefault((folder, int(name[2])), []).append(info.path)
+        for final, files in written.items():
+            placed = [part_path(final, n, len(files)) for n in range(len(files))]
+            for temporary, path in zip(files, placed):
+                system.move(temporary, path)
+            folder, day = final.rsplit("/", 1)[0], int(NAME.search(final)[2])
+            for path in earlier.get((folder, day), []):
+                if path.rsplit("/", 1)[1] not in {p.rsplit("/", 1)[1] for p in placed}:
+                    system.delete_file(path)
 
-    def _each(self, messages, act):
+    def abort(self, messages: list[Written | None]) -> None:
         from pyarrow import fs
 
         system, _ = fs.FileSystem.from_uri(self.root)
-        for message in messages:
-            for temporary, final in message.paths if message else ():
-                act(system, temporary, final)
+        for temporary, _ in _paths(messages):
+            system.delete_file(temporary)
+
+
+def _paths(messages):
+    return [paths for message in messages if message for paths in message.paths]
 
 
 class _Stream:

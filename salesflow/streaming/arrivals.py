@@ -25,7 +25,7 @@ log = logging.getLogger(__name__)
 LANDED = "client_id string, day int"
 MARKS = "_snapshots"
 
-NAME_PATTERN = r"/([^/]+)/transactions_day_(\d+)\.zip$"
+NAME_PATTERN = r"/([^/]+)/transactions_day_(\d+)(?:\.part-\d+-of-\d+)?\.zip$"
 
 FILE_NAMES = T.StructType(
     [

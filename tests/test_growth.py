@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from salesflow.operators import aggregate, clean
 from salesflow.plans import catalog, pipeline
 from salesflow.session import Scratch
+from salesflow.sources import archive
 from salesflow.sources import driver_tables as model
 from salesflow.sources.lookups import Lookups
 
@@ -59,3 +60,31 @@ def test_a_batch_and_a_state_are_computed_once(spark, stored):
     assert stored.count("batch") == 1
     catalog.stored_day_parity(spark, SMALL)
     assert stored.count("state") == 1
+
+
+def test_a_large_snapshot_is_written_by_several_tasks(spark, tmp_path):
+    """So that none of them sorts all of it; its files are read together or not at all."""
+    root, size = str(tmp_path / "out"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    snapshot = spark.range(0, 20_000, 1, 8).selectExpr(
+        "'client_1' as client_id", "3 as snapshot_day", "concat('T', id) as transaction_id", "'2025-10-01' as transaction_date",
+        "sha2(string(id), 256) as sku_id", "id as quantity_sold", "1.5D as revenue_usd", "string(null) as maturity_date", "'94105' as zip_code_raw",
+    )
+    other = snapshot.limit(5).withColumn("client_id", F.lit("client_2"))
+    spark.conf.set(size, "64KB")
+    try:
+        archive.write_archives(snapshot.unionByName(other), root)
+    finally:
+        spark.conf.unset(size)
+    parts = sorted(p.name for p in (tmp_path / "out" / "client_1").iterdir())
+    assert len(parts) >= 4 and parts == [f"transactions_day_3.part-{n:05d}-of-{len(parts):05d}.zip" for n in range(len(parts))]
+    assert [p.name for p in (tmp_path / "out" / "client_2").iterdir()] == ["transactions_day_3.zip"]
+    for back in (archive.read_archives(spark, root), archive.read_archives(spark, root, ["client_1", "client_2"], [3])):
+        assert back.filter("client_id = 'client_1'").rdd.getNumPartitions() == len(parts)
+        assert rows(back.select(snapshot.columns)) == rows(snapshot.unionByName(other))
+    (tmp_path / "out" / "client_1" / parts[1]).rename(tmp_path / "kept")
+    with pytest.raises(Exception, match="lacks parts"):
+        archive.read_archives(spark, root).count()
+    # a smaller snapshot takes the place of all parts
+    archive.write_archives(snapshot.limit(7), root)
+    assert [p.name for p in (tmp_path / "out" / "client_1").iterdir()] == ["transactions_day_3.zip"]
+    assert archive.read_archives(spark, root).filter("client_id = 'client_1'").count() == 7
