@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import CHUNK_CHARS, HASHED_WORDS, Stored, WordCache, documents, free, mixed, release, ship
+from salesflow.llm.common import Stored, documents, free, mixed, release, ship
 from salesflow.llm.run_index import RunIndex, _words
 from salesflow.operators.reduction import filter_bits, key_bitmaps, with_match
 
@@ -57,6 +57,8 @@ HOT_SEGMENTS = 3000
 HOT_BYTES = 4 * SHARD_BYTES
 #: Segments of so many times the least length are searched for periods.
 LONG = 4
+#: Texts are cut together until they have so many elements: numpy's calls cost more than short texts.
+JOINED = 150_000
 
 SEGMENTS = [
     ("doc_id", pa.int64(), "long"),
@@ -70,12 +72,12 @@ SEGMENTS = [
 DDL = ", ".join(f"{name} {sql}" for name, _, sql in SEGMENTS)
 
 
-def elements(raw: bytes, unit: int, hashes: dict | None = None) -> bytes:
+def elements(raw: bytes, unit: int) -> bytes:
     """A text as a string of elements: itself, or the hashes of its words, below 2^63."""
     if unit == BYTES:
         return raw
-    hashed = map(xxhash.xxh3_64_intdigest if hashes is None else hashes.__getitem__, raw.split())
-    return (np.fromiter(hashed, np.uint64) >> np.uint64(1)).tobytes()
+    # hashing a word anew takes less than looking it up
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, raw.split()), np.uint64) >> np.uint64(1)).tobytes()
 
 
 def gram_hashes(raw: bytes, unit: int) -> np.ndarray:
@@ -170,19 +172,68 @@ def periodic(raw: bytes, unit: int, a: int, stop: int, marks: np.ndarray, least:
     return found
 
 
+def segments_of_many(raws: list[bytes], least: int, unit: int = BYTES) -> tuple:
+    """(text, start, size, key, digest, own) of the segments of many strings of elements at the first
+    level, a column each; ``text`` is a place in ``raws``. The strings lie in one array, and
+    windows that would cross from one to the next are left out."""
+    sizes = np.array([len(raw) // unit for raw in raws], np.int64)
+    windows = np.maximum(sizes - least + 1, 0)
+    if not windows.any():
+        return (*(np.zeros(0, np.int64) for _ in range(4)), [], np.zeros(0, bool))
+    offsets, joined = np.cumsum(sizes) - sizes, b"".join(raws)
+    h, width = gram_hashes(joined, unit), least - GRAM[unit] + 1
+    text = np.repeat(np.arange(len(raws)), windows)
+    at = np.arange(len(text)) + (offsets - np.cumsum(windows) + windows)[text]
+    least_of = sliding_least(h, width)
+    keys = least_of[at]
+    # every text ends with places that are no windows, so a new text is a jump of places
+    cut = np.flatnonzero((keys[1:] != keys[:-1]) | (at[1:] != at[:-1] + 1)) + 1
+    first, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
+    text, key, a = text[first], keys[first], at[first]
+    b = a + (end - first)
+    own = (end - first > 1) & (_times(h, least_of, width, key, a, b + width - 1) > 1)
+    places = zip((unit * a).tolist(), (unit * (b + least - 1)).tolist())
+    digests = [xxhash.xxh3_128_digest(joined[i:j]) for i, j in places]
+    return text, a - offsets[text], b + least - 1 - a, key.view(np.int64), digests, own
+
+
+def _times(h, least_of, width, key, a, stop):
+    """How often each key occurs in its stretch a..stop of ``h``; ``least_of``, of its windows."""
+    # places that are the least of a window: those whose windows' greatest key is their own
+    edge = np.full(width - 1, np.uint64(2**64 - 1))
+    greatest = ~sliding_least(np.concatenate([edge, ~least_of, edge]), width)
+    at = np.flatnonzero(greatest == h)
+    value, number = np.unique(h[at], return_inverse=True)
+    at, number = (x[np.argsort(number, kind="stable")] for x in (at, number))
+    placed = number * len(h) + at  # by value, then by place
+    base = np.searchsorted(value, key) * len(h)
+    return np.searchsorted(placed, base + stop) - np.searchsorted(placed, base + a)
+
+
 def _segments(least, unit, batches):
     release()
-    hashes = WordCache(xxhash.xxh3_64_intdigest, HASHED_WORDS) if unit == WORDS else None
     for batch in batches:
-        ids, versions, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), 0
-        while at < len(ids):
-            rows, size = [], 0
-            while at < len(ids) and size < CHUNK_CHARS:
-                raw = (texts[at].as_py() or "").encode("utf-8", "surrogatepass")
-                rows += [(ids[at], versions[at], *found) for found in segments_of(elements(raw, unit, hashes), 0, least, unit)]
-                size += len(raw)
+        texts, at = batch.column(2), 0
+        while at < len(texts):
+            first, raws, size = at, [], 0
+            while at < len(texts) and size < JOINED:
+                raws.append(elements((texts[at].as_py() or "").encode("utf-8", "surrogatepass"), unit))
+                size += len(raws[-1]) // unit
                 at += 1
-            yield _batch(rows)
+            text, start, length, key, digest, own = segments_of_many(raws, least, unit)
+            # texts that may hold long periods are cut one by one
+            long = np.unique(text[length - least + 1 > LONG * least])
+            keep = ~np.isin(text, long)
+            digest = pa.array(digest, pa.binary()).filter(pa.array(keep))
+            rows = pa.array(first + text[keep])
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), start[keep], length[keep], key[keep], digest, own[keep]]
+            yield pa.RecordBatch.from_arrays(
+                [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, (_, kind, _) in zip(columns, SEGMENTS)],
+                names=[n for n, _, _ in SEGMENTS],
+            )
+            if len(long):
+                ids, versions = batch.column(0), batch.column(1)
+                yield _batch([(ids[first + i].as_py(), versions[first + i].as_py(), *found) for i in long.tolist() for found in segments_of(raws[i], 0, least, unit)])
 
 
 def _batch(rows):

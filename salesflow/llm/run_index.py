@@ -17,10 +17,7 @@ SEPARATOR = b"\xff"
 def _words(text: np.ndarray) -> np.ndarray:
     """Big-endian 8-byte words at every position; zeros follow the text."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    word = np.zeros(len(text), np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | padded[i : i + len(text)]
-    return word
+    return np.ndarray(len(text), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def _eights(text: np.ndarray) -> np.ndarray:

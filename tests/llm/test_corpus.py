@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from odd_documents import frame, odd  # noqa: F401
 
@@ -185,6 +186,25 @@ def test_periods_of_long_texts(spark, frame, unit):
         assert [got[i][5] for i in range(len(texts))] == passage_words(texts, 51)
 
 
+@pytest.mark.parametrize("unit", [op2_repeats.BYTES, op2_repeats.WORDS])
+def test_short_texts_are_cut_together(odd, monkeypatch, unit):
+    """One call of numpy for many of them, with the segments that each has by itself."""
+    draw, least = random.Random(8), 400 if unit == op2_repeats.BYTES else 51
+    texts = [t for _, t in odd] + [" ".join(str(draw.randrange(n)) for _ in range(n)) for n in (3, 50, 51, 52, 90, 300, 900) for _ in range(30)]
+    texts += [texts[-1][:900] + " mid " + texts[-1][:900], "ab " * 2500, None, "", "q" * 400, "q" * 399]
+    expected, calls = [], []
+    for i, text in enumerate(texts):
+        raw = op2_repeats.elements((text or "").encode("utf-8", "surrogatepass"), unit)
+        expected += [(i, -i, *found) for found in op2_repeats.segments_of(raw, 0, least, unit)]
+    hashed = op2_repeats.gram_hashes
+    monkeypatch.setattr(op2_repeats, "gram_hashes", lambda *given: calls.append(1) or hashed(*given))
+    columns = [pa.array(range(len(texts)), pa.int64()), pa.array([-i for i in range(len(texts))], pa.int64()), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "text"])
+    found = [tuple(row.values()) for made in op2_repeats._segments(least, unit, [batch]) for row in made.to_pylist()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    assert len(calls) < 50 < len(texts)
+
+
 def test_a_text_of_megabytes_of_one_period():
     raw = b"xy" * 4_000_000 + b"the end"
     started = time.monotonic()
