@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from salesflow.llm.common import CHUNK_CHARS, HASHED_WORDS, Stored, WordCache, documents, lowered_words, release, shingles
 from salesflow.llm.components import components
+from salesflow.operators.reduction import filter_bits, key_bitmaps, with_match
 
 #: What verifying a candidate costs, in rows of postings.
 VERIFY_COST = 8
@@ -159,9 +160,13 @@ def classes_and_links(docs: DataFrame, width: int, percent: int, stored: Stored)
     """All rows as (doc_id, n, rep), rep being the smallest doc_id of an equal set (null for
     empty sets and null ids), and (node, root) of the linked ones."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(rows.mapInArrow(partial(_sets, width, percent), "doc_id long, n long, digest binary, prefix binary"), "sets")
+    # each is dropped as soon as what is made of it is stored
+    prefixes, ordered, across = (Stored(docs.sparkSession, f"jaccard-{name}") for name in ("prefixes", "ordered", "across"))
+    sets = prefixes(rows.mapInArrow(partial(_sets, width, percent), "doc_id long, n long, digest binary, prefix binary"), "sets")
     known = sets.filter("digest is not null and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    members = sets.select("doc_id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
+    members = stored(members.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "members")
     # 2: classes that share enough of their prefix by hash
     first = classes.select("rep", "n", "prefix").mapInArrow(_unpacked, "rep long, n long, token long")
     often = first.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
@@ -171,18 +176,21 @@ def classes_and_links(docs: DataFrame, width: int, percent: int, stored: Stored)
     required = F.greatest(F.lit(1), F.expr(f"least({least} - ({percent} * {least} + 99) div 100, {least} div 10)"))
     left = shared.filter(F.col("shared") >= required).select("rep").distinct()
     left = stored(classes.select("rep", "digest").join(left, "rep"), "left")
+    prefixes.drop()
     # 3: their whole sets, and prefixes by document frequency
-    # both sides grow with the input: never a broadcast, at any size
-    texts = rows.join(left.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").select("doc_id", "digest", "text")
+    # both sides grow with the input: never a broadcast, at any size; texts of other classes are kept from the shuffle
+    bits = filter_bits(left.count())
+    maybe = with_match(rows, key_bitmaps(left, "rep", bits), "doc_id", bits).filter("_may_match").drop("_may_match")
+    texts = maybe.join(left.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").select("doc_id", "digest", "text")
     whole = texts.mapInArrow(partial(_full_sets, width), "rep long, n long, digest binary, shingles binary")
-    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    if not members.filter("rep is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         whole = whole.dropDuplicates(["rep", "digest"])
-    whole = stored(whole.drop("digest"), "whole")
+    whole = across(whole.drop("digest"), "whole")
     each = whole.mapInArrow(_unpacked, "rep long, n long, token long")
     df = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     lists = each.join(df, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "token")).alias("found"))
     ddl = "rep long, n long, token long, position long, apart double"
-    postings = stored(lists.mapInArrow(partial(_postings, percent), ddl), "postings")
+    postings = ordered(lists.mapInArrow(partial(_postings, percent), ddl), "postings")
 
     def verify(pairs):
         x = whole.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
@@ -201,7 +209,8 @@ def classes_and_links(docs: DataFrame, width: int, percent: int, stored: Stored)
     each_root = labelled.groupBy("token", "root").agg(F.count("*").alias("own"))
     mixed_lists = each_root.groupBy("token").agg(F.sum("own").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
     counted = each_root.join(mixed_lists, "token").select("token", "root", (F.col("all") - F.col("own")).alias("others"))
-    labelled = stored(labelled.join(counted, ["token", "root"]).select("token", "rep", "n", "position", "root", "others"), "labelled")
+    labelled = across(labelled.join(counted, ["token", "root"]).select("token", "rep", "n", "position", "root", "others"), "labelled")
+    ordered.drop()
     levels = labelled.groupBy("rep").agg(chosen_level(percent).alias("level"))
     labelled = labelled.join(levels, "rep").filter(F.col("position") <= F.col("n") - least_sql(percent) + F.col("level") - 1)
     a = labelled.select("token", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "position", "level", "root")))
@@ -214,8 +223,8 @@ def classes_and_links(docs: DataFrame, width: int, percent: int, stored: Stored)
     pairs = a.join(b, (a["token"] == b["token"]) & apart & fits).groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     pairs = pairs.agg(F.count("*").alias("matches"), F.max(level).alias("level")).filter("matches >= level").select("a", "b")
     links = stored(links.unionByName(verify(pairs)), "links")
-    members = sets.select("doc_id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    return members.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), components(links, stored)
+    across.drop()
+    return members, components(links, stored)
 
 
 def jaccard_components(docs: DataFrame, width: int, percent: int, stored: Stored) -> DataFrame:

@@ -18,6 +18,7 @@ from salesflow.llm import op1_bpe, op2_repeats, op3_secrets, op8_jaccard, op9_qu
 from salesflow.llm.common import Stored, documents
 from salesflow.llm.components import components
 from salesflow.llm.run_index import RunIndex
+from salesflow.session import folder
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -289,6 +290,20 @@ def test_jaccard_query_equals_sql(spark):
     assert sorted(map(tuple, found.collect())) == sorted(con.execute(op8_jaccard.SQL).fetchall())
 
 
+def test_jaccard_join_keeps_little_on_disk(spark, frame, monkeypatch):
+    """Texts of classes without a candidate stay out of the shuffle, and tables go once they were used."""
+    stored, store = {}, Stored.__call__
+    monkeypatch.setattr(Stored, "__call__", lambda self, made, name: stored.setdefault(name, (self, made)) and store(self, made, name))
+    words = [f"w{i}" for i in range(300)]
+    pairs = [(i, " ".join(words[:280] + [f"own{i}"])) for i in range(5)] + [(10 + i, " ".join(f"{i}x{k}" for k in range(200))) for i in range(20)]
+    found = {r["doc_id"]: r["component_id"] for r in op8_jaccard.jaccard_components(frame(pairs), 3, 90, Stored(spark, "test")).collect()}
+    assert found == {i: 0 if i < 5 else i for i, _ in pairs}
+    assert "bitmap_construct_agg" in stored["whole"][1]._jdf.queryExecution().executedPlan().toString()
+    for name in ("sets", "whole", "postings", "labelled"):
+        place, system = folder(spark, stored[name][0].root)
+        assert not system.exists(place), name
+
+
 def test_levels_stay_within_what_partners_emit():
     for percent in (80, 90):
         for n in range(1, 400):
