@@ -5,9 +5,12 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,11 +88,40 @@ def release() -> None:
     """Frees what an earlier stage kept in this worker, and hands unused memory back."""
     _held.clear()
     gc.collect()
+    _hand_back()
+
+
+def _hand_back() -> None:
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
 
 
+def tidy(mapper: Callable) -> Callable:
+    """``mapper``, a generator over batches, that hands unused memory back when it ends: a worker waits
+    for its next task for up to a minute, beside others that run."""
+
+    @wraps(mapper)
+    def run(*given):
+        try:
+            yield from mapper(*given)
+        finally:
+            _hand_back()
+
+    return run
+
+
+_released: list = [None]
+
+
+def release_once() -> None:
+    """The same, by the first call in a task alone: it takes as long as a small group's work."""
+    task = TaskContext.get()
+    if task is None or task.taskAttemptId() != _released[0]:
+        release()
+        _released[0] = task and task.taskAttemptId()
+
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -98,6 +130,7 @@ def over_texts(make: Callable[[], Callable[[str], tuple]], schema: pa.Schema) ->
     task, the function from a text (null: empty) to the values of the columns of ``schema``
     after the key columns."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
@@ -153,6 +186,11 @@ def lowered_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def hashed(words: Iterable[bytes]) -> np.ndarray:
+    """64-bit hashes of words: ``xxh3_64_intdigest`` of each, joined as bytes, which takes less than making numbers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+
+
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 

@@ -25,6 +25,7 @@ of any name do no harm. An empty table gives an empty result.
 """
 
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import CHUNK_CHARS, HASHED_WORDS, Stored, WordCache, documents, lowered_words, release, shingles
+from salesflow.llm.common import Stored, documents, hashed, lowered_words, mixed, release, tidy
 from salesflow.llm.components import components
 from salesflow.operators.reduction import filter_bits, key_bitmaps, with_match
 
 #: What verifying a candidate costs, in rows of postings.
 VERIFY_COST = 8
 LEVELS = (1, 2, 3, 4, 6, 8, 12)
+#: Characters of texts whose sets are made together.
+JOINED = 500_000
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -56,30 +59,60 @@ def required_level(n: int, percent: int) -> int:
     return emitted_level(least_overlap(n, percent), percent)
 
 
-def _hashes() -> WordCache:
-    release()
-    return WordCache(xxhash.xxh3_64_intdigest, HASHED_WORDS)
-
-
+def sets_of_many(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sets of many texts as ``shingles`` gives them, in one array, and where each ends. The
+    words lie in one array: numpy's calls cost more than short texts, hashing a word less than looking it up."""
+    parts = [lowered_words(text) for text in texts]
+    words = np.fromiter(map(len, parts), np.int64, len(parts))
+    one = np.concatenate([np.zeros(0, np.uint64), *map(hashed, parts)])
+    spans = np.minimum(words, width)
+    sizes, begins = np.where(words > 0, words - spans + 1, 0), np.cumsum(words) - words
+    ends = np.cumsum(sizes)
+    at = np.arange(int(sizes.sum())) + np.repeat(begins - ends + sizes, sizes)
+    span = np.repeat(spans, sizes)
+    total, shortest = span.astype(np.uint64), span.min(initial=width)
+    for i in range(width):
+        inside = slice(None) if i < shortest else np.flatnonzero(i < span)
+        total[inside] = mixed(total[inside] * np.uint64(0x9E3779B97F4A7C15) + one[at[inside] + i])
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        total[a:b].sort()
+    fresh = np.ones(len(total), bool)
+    fresh[1:] = total[1:] != total[:-1]
+    fresh[(ends - sizes)[sizes > 0]] = True
+    return total[fresh], np.concatenate([[0], np.cumsum(fresh)])[ends]
+
+
+def _chunks(texts: pa.Array, width: int):
+    """(place of the first, packed sets) of as many texts at a time as ``JOINED`` characters hold."""
+    at = 0
+    while at < len(texts):
+        first, some, size = at, [], 0
+        while at < len(texts) and size < JOINED:
+            some.append(texts[at].as_py() or "")
+            size += len(some[-1])
+            at += 1
+        found, ends = sets_of_many(some, width)
+        packed, places = found.tobytes(), [0, *(8 * ends).tolist()]
+        yield first, [packed[a:b] for a, b in pairwise(places)]
+
+
+@tidy
 def _sets(width, percent, batches):
     """doc_id, size, digest of the set (null: empty), first shingles by hash."""
-    hashes = _hashes()
+    release()
     for batch in batches:
-        ids, texts, at = batch.column(0), batch.column(1), 0
-        while at < len(texts):
-            rows, size, first = [], 0, at
-            while at < len(texts) and size < CHUNK_CHARS:
-                text = texts[at].as_py() or ""
-                found = shingles(lowered_words(text), hashes, width)
-                n = len(found)
+        for first, found in _chunks(batch.column(1), width):
+            rows = []
+            for one in found:
+                n = len(one) // 8
                 keep = n - least_overlap(n, percent) + emitted_level(n, percent)
-                rows.append((n, xxhash.xxh3_128_digest(found.tobytes()) if n else None, found[:keep].tobytes()))
-                size += len(text)
-                at += 1
+                rows.append((n, xxhash.xxh3_128_digest(one) if n else None, one[: 8 * keep]))
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), *columns], names=["doc_id", "n", "digest", "prefix"])
+            ids = batch.column(0).slice(first, len(found))
+            yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n", "digest", "prefix"])
 
 
+@tidy
 def _unpacked(batches):
     """(rep, n, packed shingles) to a row per shingle."""
     for batch in batches:
@@ -92,18 +125,17 @@ def _unpacked(batches):
             yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(n[some]), pa.array(flat[some])], names=["rep", "n", "token"])
 
 
+@tidy
 def _full_sets(width, batches):
     """Whole sets of the texts whose set is the expected one."""
-    hashes = _hashes()
+    release()
     for batch in batches:
-        rows = []
-        for rep, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            found = shingles(lowered_words(text.as_py() or ""), hashes, width)
-            if xxhash.xxh3_128_digest(found.tobytes()) == digest:
-                rows.append((rep, len(found), digest, found.tobytes()))
-        if rows:
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "digest", "shingles"])
+        for first, found in _chunks(batch.column(2), width):
+            reps, digests = (batch.column(i).slice(first, len(found)).to_pylist() for i in (0, 1))
+            rows = [(rep, len(one) // 8, digest, one) for rep, digest, one in zip(reps, digests, found) if xxhash.xxh3_128_digest(one) == digest]
+            if rows:
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "digest", "shingles"])
 
 
 def chosen_level(percent: int):
@@ -124,6 +156,7 @@ def least_sql(percent: int):
     return F.expr(f"({percent} * n + 99) div 100")
 
 
+@tidy
 def _postings(percent, batches):
     """Postings of each class's longest prefix; positions count the unshared shingles first."""
     for batch in batches:
@@ -141,6 +174,7 @@ def _postings(percent, batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["rep", "n", "token", "position", "apart"])
 
 
+@tidy
 def _verified(percent, batches):
     """Pairs whose whole sets are similar enough."""
     for batch in batches:

@@ -11,10 +11,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from odd_documents import frame, odd  # noqa: F401
 
 import corpus_pipeline
-from salesflow.llm import op1_bpe, op2_repeats, op3_secrets, op8_jaccard, op9_quality, op10_packing
+from salesflow.llm import common, op1_bpe, op2_repeats, op3_secrets, op8_jaccard, op9_quality, op10_packing
 from salesflow.llm.common import Stored, documents
 from salesflow.llm.components import components
 from salesflow.llm.run_index import RunIndex
@@ -290,6 +291,24 @@ def test_jaccard_query_equals_sql(spark):
     assert sorted(map(tuple, found.collect())) == sorted(con.execute(op8_jaccard.SQL).fetchall())
 
 
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_sets_of_many_texts_are_those_of_each(odd, width):
+    texts = [t or "" for _, t in odd] + ["a", "a b", "A b\tC d e f", "x " * 40, ""]
+    for some in (texts, texts[::-1], [""], []):
+        found, ends = op8_jaccard.sets_of_many(some, width)
+        each = [common.shingles(common.lowered_words(t), common.WordCache(xxhash.xxh3_64_intdigest), width) for t in some]
+        assert [a.tolist() for a in np.split(found, ends)[:-1]] == [e.tolist() for e in each]
+
+
+def test_idle_workers_hand_memory_back(monkeypatch):
+    calls, batch = [], pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c"])], names=["doc_id", "text"])
+    monkeypatch.setattr(common, "_hand_back", lambda: calls.append(1))
+    made = op8_jaccard._sets(3, 90, [batch])
+    assert next(made).num_rows == 1
+    before = len(calls)
+    assert list(made) == [] and len(calls) == before + 1
+
+
 def test_jaccard_join_keeps_little_on_disk(spark, frame, monkeypatch):
     """Texts of classes without a candidate stay out of the shuffle, and tables go once they were used."""
     stored, store = {}, Stored.__call__
