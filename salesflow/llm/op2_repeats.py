@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesflow.llm.common import Stored, documents, free, mixed, release, ship
+from salesflow.llm.common import Stored, documents, free, hashed, mixed, release, release_once, ship, tidy
 from salesflow.llm.run_index import RunIndex, _words
 from salesflow.operators.reduction import filter_bits, key_bitmaps, with_match
 
@@ -50,11 +50,11 @@ BYTES, WORDS = 1, 8
 #: Elements of a k-gram: shared lines shorter than this never decide a key.
 GRAM = {BYTES: 96, WORDS: 12}
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Bytes of segments in one index.
-SHARD_BYTES = 1_000_000
+#: Elements of segments in one index: its arrays fit a core's cache.
+SHARD = 200_000
 #: A key with more different segments, or more bytes of them, is hot.
 HOT_SEGMENTS = 3000
-HOT_BYTES = 4 * SHARD_BYTES
+HOT_BYTES = 4_000_000
 #: Segments of so many times the least length are searched for periods.
 LONG = 4
 #: Texts are cut together until they have so many elements: numpy's calls cost more than short texts.
@@ -77,7 +77,7 @@ def elements(raw: bytes, unit: int) -> bytes:
     if unit == BYTES:
         return raw
     # hashing a word anew takes less than looking it up
-    return (np.fromiter(map(xxhash.xxh3_64_intdigest, raw.split()), np.uint64) >> np.uint64(1)).tobytes()
+    return (hashed(raw.split()) >> np.uint64(1)).tobytes()
 
 
 def gram_hashes(raw: bytes, unit: int) -> np.ndarray:
@@ -182,16 +182,19 @@ def segments_of_many(raws: list[bytes], least: int, unit: int = BYTES) -> tuple:
         return (*(np.zeros(0, np.int64) for _ in range(4)), [], np.zeros(0, bool))
     offsets, joined = np.cumsum(sizes) - sizes, b"".join(raws)
     h, width = gram_hashes(joined, unit), least - GRAM[unit] + 1
-    text = np.repeat(np.arange(len(raws)), windows)
-    at = np.arange(len(text)) + (offsets - np.cumsum(windows) + windows)[text]
-    least_of = sliding_least(h, width)
-    keys = least_of[at]
-    # every text ends with places that are no windows, so a new text is a jump of places
-    cut = np.flatnonzero((keys[1:] != keys[:-1]) | (at[1:] != at[:-1] + 1)) + 1
-    first, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
-    text, key, a = text[first], keys[first], at[first]
-    b = a + (end - first)
-    own = (end - first > 1) & (_times(h, least_of, width, key, a, b + width - 1) > 1)
+    keys = sliding_least(h, width)
+    # a segment begins where the key changes, at a text's first window, and after its last
+    change = np.zeros(len(keys) + 1, bool)
+    change[1:-1] = keys[1:] != keys[:-1]
+    some = np.flatnonzero(windows)
+    change[offsets[some]] = change[(offsets + windows)[some]] = True
+    marks = np.flatnonzero(change)
+    # of texts that begin at one place, all but the last are empty
+    text = np.searchsorted(offsets, marks[:-1], "right") - 1
+    inside = marks[:-1] < (offsets + windows)[text]
+    text, a, b = text[inside], marks[:-1][inside], marks[1:][inside]
+    key = keys[a]
+    own = (b - a > 1) & (_times(h, keys, width, key, a, b + width - 1) > 1)
     places = zip((unit * a).tolist(), (unit * (b + least - 1)).tolist())
     digests = [xxhash.xxh3_128_digest(joined[i:j]) for i, j in places]
     return text, a - offsets[text], b + least - 1 - a, key.view(np.int64), digests, own
@@ -210,6 +213,7 @@ def _times(h, least_of, width, key, a, stop):
     return np.searchsorted(placed, base + stop) - np.searchsorted(placed, base + a)
 
 
+@tidy
 def _segments(least, unit, batches):
     release()
     for batch in batches:
@@ -241,6 +245,7 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind, _) in zip(columns, SEGMENTS)], names=[n for n, _, _ in SEGMENTS])
 
 
+@tidy
 def _fetched(unit, batches):
     """The bytes of each document's wanted places."""
     for batch in batches:
@@ -262,6 +267,7 @@ def _bytes_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "version", "start", "key", "hot", "bytes"])
 
 
+@tidy
 def _finer(least, unit, level, batches):
     """Segments of hot segments by the next level's key, joined with the key they had."""
     for batch in batches:
@@ -277,7 +283,7 @@ def _finer(least, unit, level, batches):
 
 def _indexed(least, unit, table):
     """Long matches in one shard (an Arrow table): elements (start, end) of documents."""
-    release()
+    release_once()
     strings = table.column("bytes").to_pylist()
     ids, versions, starts = (table.column(c).to_pylist() for c in ("doc_id", "version", "start"))
     rows = []
@@ -340,7 +346,7 @@ def repeated_spans(docs: DataFrame, stored: Stored, least: int = LEAST, unit: in
         ordinary = held.filter("not hot")
         total = ordinary.agg(F.sum(F.length("bytes"))).first()[0] or 0
         if total:
-            shards = 1 + total // SHARD_BYTES
+            shards = 1 + total // (unit * SHARD)
             sharded = ordinary.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
             spans.append(sharded.groupBy("shard").applyInArrow(lambda shard: _indexed(least, unit, shard), "doc_id long, version long, start long, stop long"))
         hot = held.filter("hot")
@@ -387,6 +393,7 @@ def cut(text: str, spans: list[dict]) -> tuple[bytes, bytes, int]:
     return raw, b"".join([*parts, raw[end:]]), len(found)
 
 
+@tidy
 def _counted(batches):
     kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
@@ -431,6 +438,7 @@ def remove(docs: DataFrame, stored: Stored, least: int = LEAST, least_words: int
         spans = spans.unionByName(repeated_spans(docs, stored, least_words, WORDS))
 
     @F.arrow_udf("string")
+    @tidy
     def left(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         release()
         for texts, found in batches:

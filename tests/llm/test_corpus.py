@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +16,7 @@ import xxhash
 from odd_documents import frame, odd  # noqa: F401
 
 import corpus_pipeline
-from salesflow.llm import common, op1_bpe, op2_repeats, op3_secrets, op8_jaccard, op9_quality, op10_packing
+from salesflow.llm import common, op1_bpe, op2_repeats, op3_secrets, op8_jaccard, op9_quality, op10_packing, run_index
 from salesflow.llm.common import Stored, documents
 from salesflow.llm.components import components
 from salesflow.llm.run_index import RunIndex
@@ -119,6 +120,31 @@ def test_run_index_finds_all_matches():
         assert [x.tolist() for x in RunIndex(strings).repeated(least)] == expected
 
 
+@pytest.mark.parametrize("bits", [run_index.PLACE_BITS, 4])
+def test_suffixes_are_sorted_in_both_forms(monkeypatch, bits):
+    """A sort key holds two ranks and the place, or (texts beyond that) two ranks."""
+    monkeypatch.setattr(run_index, "PLACE_BITS", bits)
+    draw = random.Random(9)
+    for kind in (np.uint8, np.uint64):
+        for n in (1, 2, 7, 40, 300):
+            for letters in ([0, 1], [5], [0, 7, 200, 255]):
+                # a separator ends every text
+                text = np.array([*(draw.choice(letters) for _ in range(n - 1)), np.iinfo(kind).max], kind)
+                order, rank = run_index.suffix_array(text)
+                assert order.tolist() == sorted(range(n), key=lambda i: text[i:].tolist())
+                assert rank[order].tolist() == list(range(n))
+
+
+def test_memory_is_handed_back_once_a_task(monkeypatch):
+    """Not at every shard of it: that took as long as a small shard's index."""
+    calls, table = [], pa.table({name: pa.array([1], pa.int64()) for name in ("doc_id", "version", "start")} | {"bytes": [b"a" * 900]})
+    monkeypatch.setattr(common, "_released", [None])
+    monkeypatch.setattr(common, "_hand_back", lambda: calls.append(1))
+    monkeypatch.setattr(common.TaskContext, "get", lambda: SimpleNamespace(taskAttemptId=lambda: 7))
+    found = [op2_repeats._indexed(400, op2_repeats.BYTES, table) for _ in range(3)]
+    assert len(calls) == 1 and all(f.equals(found[0]) for f in found) and len(found[0]) > 0
+
+
 @pytest.mark.parametrize("hot", [3000, 1])
 def test_repeats_equal_brute_force(spark, frame, odd, monkeypatch, hot):
     monkeypatch.setattr(op2_repeats, "HOT_SEGMENTS", hot)
