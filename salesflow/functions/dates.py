@@ -8,11 +8,12 @@ DATE_LENGTH = 10
 def lenient_date(text: Column) -> Column:
     """``yyyy-MM-dd`` text as a date; anything else becomes null.
 
-    A cast alone would also take ``2025-1-5`` or trailing text, so the date written out
-    must be the text again. That costs less than a pattern or a parse with a format.
+    A cast alone would also take ``2025-1-5``, blanks around it or a time after it, so the dashes must be
+    in their places and a digit in the last one: of ten characters that leaves two each for month and day.
+    That costs less than a pattern, a parse with a format or the date written out again.
     """
-    date = text.try_cast("date")
-    return F.when((F.length(text) == DATE_LENGTH) & (date.cast("string") == text), date)
+    dashes = (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
+    return F.when((F.length(text) == DATE_LENGTH) & dashes & F.substring(text, 10, 1).between("0", "9"), text.try_cast("date"))
 
 
 def strict_date(text: Column, parsed: Column) -> Column:

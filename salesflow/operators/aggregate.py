@@ -74,6 +74,8 @@ def _joined_sums(rows: DataFrame, lookups: Lookups, by: Sequence[str], of: Measu
     # measures are derived after the joins: what may be shuffled to them stays narrow
     rows = rows.select(*by, "transaction_date", "maturity_date", "sku_id", "zip_code", "quantity_sold", "revenue_usd", *flags)
     zips = lookups.zip_side(_numbered_rows(lookups.zip, "zip_code") if of.counting else None)
+    # both sides hold complete codes only, and those are equal as numbers where they are as texts
+    rows, zips = _by_number(rows), _by_number(zips)
     rows = rows.transform(enrich_zip, zips).transform(local_flag).transform(_weighed, "_zip", of)
     rows = rows.drop("zip_code", "city", "state", "is_us")
     sku = lookups.sku.withColumn("category", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)))
@@ -133,6 +135,10 @@ def _measures(of: Measures) -> dict[str, Column]:
     return {name: known[name] for name in [*of.joined, *of.base]}
 
 
+def _by_number(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("zip_code", F.col("zip_code").try_cast("int"))
+
+
 def _numbered_rows(lookup: DataFrame, key: str) -> DataFrame:
     """The lookup with ``_first``: 1 in one row of each key, 0 in its repetitions."""
     others = [c for c in lookup.columns if c != key]

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from salesflow.schemas import LANDING, LANDING_PARTITIONS
 
+ROW_GROUP_BYTES = 8 * 1024 * 1024
+"""Of a file's parts that are read by tasks of their own, before compression. A day's file of the default
+size would be one such part, and a run over a few days is read by as many tasks."""
+
 
 def land(txn: DataFrame, path: str) -> None:
     """Replace the client-days present in ``txn``; others stay as they are.
@@ -37,6 +41,7 @@ def replace_partitions(rows: DataFrame, path: str, partitions: list[str]) -> Non
         rows.hint("rebalance", *[F.col(p) for p in partitions])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("parquet.block.size", ROW_GROUP_BYTES)
         .partitionBy(*partitions)
         .parquet(path)
     )

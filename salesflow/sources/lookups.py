@@ -17,6 +17,10 @@ from salesflow.functions import complete_code
 BROADCAST_LIMIT = 64 * 1024 * 1024
 """Largest lookup, in estimated in-memory bytes, that is sent to every executor."""
 
+HASH_LIMIT = 2 * 1024 * 1024 * 1024
+"""Largest lookup whose shuffled parts are hashed by the tasks that join them. Past it, or when nothing was
+measured, rows and lookup are sorted instead, which takes longer and spills."""
+
 GROUP_LIMIT = 10_000
 """Most SKU groups (or categories) that one task is given to put in order."""
 
@@ -33,6 +37,8 @@ class Lookups:
     few_categories: bool = False
     zip_whole_small: bool = False
     """With the keys that no cleaned code equals."""
+    sku_hashed: bool = False
+    """Past the broadcast limit, within the one for hashing."""
 
     @classmethod
     def measured(
@@ -41,6 +47,7 @@ class Lookups:
         zips: DataFrame,
         broadcast_limit: int = BROADCAST_LIMIT,
         group_limit: int = GROUP_LIMIT,
+        hash_limit: int = HASH_LIMIT,
     ) -> "Lookups":
         """Measure both lookups in one job that returns a few rows."""
         sizes = _widths(sku, F.lit("sku"), "sku_group", "category").unionByName(_widths(zips, F.when(complete_code("zip_code"), "zip").otherwise("zip_unusable")))
@@ -64,11 +71,13 @@ class Lookups:
             few_groups=sku_found["groups"] <= group_limit,
             few_categories=sku_found["categories"] <= group_limit,
             zip_whole_small=zip_found["size"] + found.get("zip_unusable", nothing)["size"] <= broadcast_limit,
+            sku_hashed=sku_found["size"] <= hash_limit,
         )
 
     def sku_side(self, frame: DataFrame | None = None) -> DataFrame:
         """The SKU lookup, or a frame no larger than it, hinted if it is small."""
-        return _hinted(self.sku if frame is None else frame, self.sku_small)
+        side = self.sku if frame is None else frame
+        return side.hint("shuffle_hash") if self.sku_hashed and not self.sku_small else _hinted(side, self.sku_small)
 
     def zip_side(self, frame: DataFrame | None = None) -> DataFrame:
         """The rows of the ZIP lookup (or of a frame with its keys) that a cleaned code can match."""

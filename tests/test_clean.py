@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from salesflow.functions import lenient_date
 from salesflow.operators import clean
 
 ZIP_CASES = [
@@ -83,3 +84,20 @@ def test_high_water_filters(txn_frame):
 def test_clean_drops_its_helpers(txn_frame):
     columns = clean.clean(txn_frame([])).columns
     assert not {"zip_candidate", "maturity_parsed", "_transaction_parsed"} & set(columns)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_only_dates_written_out_in_full_are_read(spark, ansi):
+    """The rule is that the date written out is the text again."""
+    odd = [" 025-10-05", "+025-10-05", "2025-10-5T", "2025-10- 5", "2025-10-T5", "2025-1 -05", "2025-1T-05", "20251-0-05", "2025-10-05", "0001-01-01",
+           "2025-02-29", "2024-02-29", "2025/10/05", "2025-10-0\\n", "２025-10-05", "2025-10-0５", "-025-10-05", "2025-10-5 ", "0000-01-01", "2025-1-005",
+           "2025--1-05", "20a5-10-05", "2025-10-32", "2025-10-05T", "        -1", "", None]
+    texts = spark.createDataFrame([(t,) for t in odd], "text string")
+    parsed = texts.select("text", lenient_date(F.col("text")).cast("string").alias("date"), F.expr("try_cast(text as date)").cast("string").alias("as_cast"))
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        found = parsed.collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    assert [r["date"] for r in found] == [r["text"] if r["text"] and r["as_cast"] == r["text"] else None for r in found]
+    assert [r["date"] for r in found if r["date"]] == ["2025-10-05", "0001-01-01", "2024-02-29", "0000-01-01"]

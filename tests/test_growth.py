@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from salesflow.operators import aggregate, clean
 from salesflow.plans import catalog, pipeline
 from salesflow.session import Scratch
-from salesflow.sources import archive
+from salesflow.sources import archive, landing
 from salesflow.sources import driver_tables as model
 from salesflow.sources.lookups import Lookups
 
@@ -39,6 +40,28 @@ def test_rows_are_moved_once_to_a_large_sku_lookup(spark, stored, few_categories
     assert not [line for line in found.splitlines() if "Exchange hashpartitioning(transaction_date" in line and "sku_id" in line]
 
 
+def test_a_shuffled_lookup_is_hashed_while_it_is_not_too_large(spark, txn_frame, lookup_frames):
+    hashed = Lookups.measured(*lookup_frames, broadcast_limit=0)
+    larger = Lookups.measured(*lookup_frames, broadcast_limit=0, hash_limit=0)
+    txn = txn_frame([("c", "2025-10-01", f"SKU_{n % 7}", n, 1.0, None, "94105") for n in range(50)])
+    found, sorting = plan(pipeline.sales(txn, hashed)), plan(pipeline.sales(txn, larger))
+    assert "ShuffledHashJoin [sku_id" in found and "Sort [sku_id" not in found
+    assert "ShuffledHashJoin" not in sorting and "ShuffledHashJoin" not in plan(pipeline.sales(txn, Lookups(*lookup_frames)))
+    assert rows(pipeline.sales(txn, hashed)) == rows(pipeline.sales(txn, larger)) == rows(pipeline.sales(txn, Lookups.measured(*lookup_frames)))
+
+
+def test_a_large_day_is_read_by_several_tasks(spark, tmp_path):
+    day = spark.range(0, 400_000, 1, 4).selectExpr(
+        "'client_1' as client_id", "concat('T', id) as transaction_id", "'2025-10-01' as transaction_date", "sha2(string(id), 256) as sku_id",
+        "id as quantity_sold", "1.5D as revenue_usd", "string(null) as maturity_date", "'94105' as zip_code_raw",
+    )
+    landing.land(day, str(tmp_path / "landing"))
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "landing").rglob("*.parquet")]
+    assert sum(f.num_row_groups for f in files) >= 3 * len(files)
+    assert landing.read_landing(spark, str(tmp_path / "landing")).exceptAll(day.select(landing.LANDING.fieldNames())).isEmpty()
+    assert sum(f.num_rows for f in files) == 400_000
+
+
 def test_codes_that_cleaning_cannot_give_do_not_make_the_lookup_large(spark, txn_frame, lookup_frames):
     sku, zips = lookup_frames
     longer = spark.range(20_000).select(F.format_string("%06d", "id").alias("zip_code"), F.lit("C").alias("city"), F.lit("CA").alias("state"), F.lit(True).alias("is_us"))
